@@ -1,4 +1,38 @@
-"""The queries of this package."""
+"""The queries of this package, with production parameters over whole tables."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quarry.llm.common import documents
+from quarry.llm.packing import pack_documents
+from quarry.llm.sharding import assign_shards
+from quarry.llm.substring import substring_dedup
+
+SHARDS = [f"shard-{k:03d}" for k in range(64)]
+
+
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substring_dedup(documents(spark, sf_dir))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def op5_table_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assign_shards(documents(spark, sf_dir), "doc_id", SHARDS)
+
+
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(documents(spark, sf_dir), tokenizer_path()).select(
+        "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"
+    )
+
+
+QUERIES = {f.__name__: f for f in (op2_substring_dedup, op5_table_sharding, op10_best_fit_packing)}
+ORACLES: dict[str, str] = {}
