@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm.common import documents
+from quarry.llm.jaccard import jaccard_join
 from quarry.llm.packing import pack_documents
 from quarry.llm.sharding import assign_shards
 from quarry.llm.substring import substring_dedup
@@ -19,6 +20,10 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join(documents(spark, sf_dir))
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = substring_dedup(documents(spark, sf_dir))
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -34,5 +39,5 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op2_substring_dedup, op5_table_sharding, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_jaccard_join, op2_substring_dedup, op5_table_sharding, op10_best_fit_packing)}
 ORACLES: dict[str, str] = {}
