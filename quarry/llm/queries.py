@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import documents
 from quarry.llm.jaccard import jaccard_join
+from quarry.llm.licenses import scan_licenses
 from quarry.llm.packing import pack_documents
+from quarry.llm.quality import held_out, score, train
 from quarry.llm.sharding import assign_shards
 from quarry.llm.substring import substring_dedup
+from quarry.llm.tiff import media_features, text_media
 
 SHARDS = [f"shard-{k:03d}" for k in range(64)]
 
@@ -29,15 +32,35 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op4_tiff_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_features(text_media(documents(spark, sf_dir)))
+
+
 def op5_table_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(documents(spark, sf_dir), "doc_id", SHARDS)
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_licenses(documents(spark, sf_dir))
+    return found.select(
+        "doc_id",
+        F.size("sentence_ids").cast("long").alias("n_sentences"),
+        F.array_join("sentence_ids", ",").alias("sentence_ids"),
+        F.array_join("licenses", ",").alias("licenses"),
+    )
+
+
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    scored = score(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir), tokenizer_path()).select(
         "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_jaccard_join, op2_substring_dedup, op5_table_sharding, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_jaccard_join, op2_substring_dedup, op4_tiff_media, op5_table_sharding, op6_license_scan, op7_quality_classifier, op10_best_fit_packing)}
 ORACLES: dict[str, str] = {}
