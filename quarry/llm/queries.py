@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm.common import documents
+from quarry.llm import lines, mixing
+from quarry.llm.fingerprints import digest, edit_fingerprints, likeness
 from quarry.llm.jaccard import jaccard_join
 from quarry.llm.licenses import scan_licenses
 from quarry.llm.packing import pack_documents
@@ -32,6 +34,12 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    cut = lines.line_dedup(docs)
+    return cut.select("doc_id", "n_lines", "n_removed_lines", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op4_tiff_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_features(text_media(documents(spark, sf_dir)))
 
@@ -56,11 +64,36 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix_sources(documents(spark, sf_dir))
+    return mixed.select(
+        "doc_id",
+        F.col("_topic").alias("topic"),
+        F.col("_tokens").alias("tokens"),
+        F.round("_weight", 6).alias("weight"),
+        F.round("_probability", 6).alias("probability"),
+        F.col("_selected").alias("selected"),
+    )
+
+
+def op9_scaled_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = edit_fingerprints(documents(spark, sf_dir))
+    return made.select(
+        "doc_id",
+        F.length("text").cast("long").alias("n_chars"),
+        F.sha2("edited", 256).alias("edited_sha256"),
+        digest("sketch").alias("fingerprint"),
+        digest("edited_sketch").alias("edited_fingerprint"),
+        likeness("sketch", "edited_sketch").alias("near_edited"),
+        likeness("sketch", "next_sketch").alias("near_next"),
+    )
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir), tokenizer_path()).select(
         "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_jaccard_join, op2_substring_dedup, op4_tiff_media, op5_table_sharding, op6_license_scan, op7_quality_classifier, op10_best_fit_packing)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_jaccard_join, op2_substring_dedup, op3_line_dedup, op4_tiff_media, op5_table_sharding, op6_license_scan, op7_quality_classifier, op8_source_mixing, op9_scaled_fingerprint, op10_best_fit_packing)}
+ORACLES: dict[str, str] = {"op3_line_dedup": lines.ORACLE, "op8_source_mixing": mixing.oracle()}
