@@ -1,4 +1,691 @@
 """Registered queries over the driver's tables, with their DuckDB SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from quarry.functions import answers, identity, text, vectors
+from quarry.operators import chunking, dense, fusion, lexical, metrics
+from quarry.plans import retrieve as plans
+from quarry.sources import markup
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def _query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql.strip()
+        return f
+
+    return add
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# --- SQL shared by oracles ------------------------------------------------------
+
+_FOLD = "replace(lower(translate({x}, 'İIıâîûÂÎÛ', 'iiiaiuaiu')), 'ß', 'ss')"
+_TERM = r"[\p{L}\p{N}\p{M}]+"
+
+
+def _fold(x: str) -> str:
+    return _FOLD.format(x=x)
+
+
+def _tokens(x: str) -> str:
+    return f"regexp_extract_all({_fold(x)}, '{_TERM}')"
+
+
+def _terms(x: str) -> str:
+    """Distinct terms in first-seen order."""
+    toks = _tokens(x)
+    return f"list_filter({toks}, lambda t, i: list_position({toks}, t) = i)[1:32]"
+
+
+_BM25 = """
+tok AS (SELECT doc_id AS chunk_id, {tokens} AS terms FROM documents),
+len AS (SELECT chunk_id, len(terms) AS dl FROM tok),
+post AS (SELECT chunk_id, term, count(*) AS tf FROM (SELECT chunk_id, unnest(terms) AS term FROM tok) GROUP BY ALL),
+hits AS (SELECT qid, phrase, chunk_id, sum(tf) AS f FROM wanted JOIN post ON {match} GROUP BY ALL),
+held AS (SELECT qid, phrase, count(*) AS n FROM hits GROUP BY ALL),
+stats AS (SELECT count(*) AS total, avg(dl) AS average FROM len),
+scored AS (
+  SELECT qid, chunk_id, round(sum(greatest(ln((total - n + 0.5) / (n + 0.5)), 1e-6) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * dl / average))), 6) AS score
+  FROM hits JOIN held USING (qid, phrase) JOIN len USING (chunk_id), stats GROUP BY qid, chunk_id
+),
+lex AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS rank FROM scored)
+"""
+_EXACT = "wanted.term = post.term"
+_PREFIX = "(wanted.term = post.term OR (wanted.is_prefix AND starts_with(post.term, wanted.term)))"
+
+
+def _bm25(wanted: str, match: str = _EXACT) -> str:
+    return f"WITH wanted AS ({wanted}),{_BM25.format(tokens=_tokens('text'), match=match)}"
+
+
+_ASKED = f"SELECT item_id AS qid, unnest({_terms('text')}) AS term, generate_subscripts({_terms('text')}, 1) AS phrase, false AS is_prefix FROM benchmark"
+_ASKED_PREFIX = f"SELECT qid, term, phrase, length(term) >= 3 AND regexp_matches(term, '\\p{{L}}') AS is_prefix FROM ({_ASKED})"
+_ASKED_STEM = f"""
+SELECT qid, term, min(phrase) AS phrase, is_prefix FROM (
+  SELECT * FROM ({_ASKED_PREFIX})
+  UNION ALL SELECT qid, substr(term, 1, 7), phrase + 1000, true FROM ({_ASKED}) WHERE length(term) > 7 AND regexp_matches(term, '\\p{{L}}') AND NOT regexp_matches(term, '\\p{{N}}')
+) GROUP BY qid, term, is_prefix"""
+
+
+def _benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
+
+
+def _bm25_rows(spark: SparkSession, sf_dir: str, how: lexical.LexicalQuery, k: int) -> DataFrame:
+    postings, lengths = lexical.build_index(_t(spark, sf_dir, "documents"), "doc_id")
+    return lexical.bm25(postings, lengths, _benchmark(spark, sf_dir), how, k)
+
+
+# --- terms and lexical search ---------------------------------------------------------
+
+
+@_query(f"SELECT doc_id, len(list_distinct({_tokens('text')})) AS n_terms, array_to_string({_terms('text')}, ' ') AS terms FROM documents WHERE length(text) <= 4096")
+def normalize_terms(spark, sf_dir):
+    docs = _t(spark, sf_dir, "documents").filter(F.length("text") <= text.MAX_QUERY_CHARS)
+    return docs.select(
+        "doc_id",
+        F.size(F.array_distinct(text.tokens(text.fold("text")))).cast("long").alias("n_terms"),
+        F.array_join(text.query_terms("text"), " ").alias("terms"),
+    )
+
+
+@_query(
+    f"""WITH post AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({_tokens('text')}) AS term FROM documents) GROUP BY ALL)
+SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM post GROUP BY term"""
+)
+def term_document_freq(spark, sf_dir):
+    return lexical.document_frequency(lexical.build_index(_t(spark, sf_dir, "documents"), "doc_id")[0])
+
+
+@_query(_bm25(_ASKED) + "SELECT qid, chunk_id, score, rank FROM lex WHERE rank <= 10")
+def bm25_topk(spark, sf_dir):
+    return _bm25_rows(spark, sf_dir, lexical.LexicalQuery(), 10)
+
+
+@_query(_bm25(_ASKED_PREFIX, _PREFIX) + "SELECT qid, chunk_id, score, rank FROM lex WHERE rank <= 10")
+def bm25_prefix(spark, sf_dir):
+    return _bm25_rows(spark, sf_dir, lexical.LexicalQuery(3), 10)
+
+
+@_query(_bm25(_ASKED_STEM, _PREFIX) + "SELECT qid, chunk_id, score, rank FROM lex WHERE rank <= 10")
+def bm25_stem(spark, sf_dir):
+    return _bm25_rows(spark, sf_dir, lexical.LexicalQuery(3, 7), 10)
+
+
+@_query(
+    _bm25(_ASKED)
+    + """SELECT qid, chunk_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS rank
+FROM scored WHERE chunk_id IN (SELECT doc_id FROM documents WHERE lang = 'en') QUALIFY rank <= 5"""
+)
+def bm25_in_collection(spark, sf_dir):
+    docs = _t(spark, sf_dir, "documents")
+    postings, lengths = lexical.build_index(docs, "doc_id")
+    inside = docs.filter("lang = 'en'").select(F.col("doc_id").alias("chunk_id"))
+    return lexical.bm25(postings, lengths, _benchmark(spark, sf_dir), lexical.LexicalQuery(), 5, inside)
+
+
+@_query(
+    f"""WITH w AS ({_ASKED_STEM})
+SELECT qid, string_agg('"' || term || '"' || CASE WHEN is_prefix THEN '*' ELSE '' END, ' OR ' ORDER BY phrase, term) AS expression FROM w GROUP BY qid"""
+)
+def match_expressions(spark, sf_dir):
+    return lexical.match_expression(_benchmark(spark, sf_dir), lexical.LexicalQuery(3, 7))
+
+
+# --- dense search ------------------------------------------------------------------
+
+_COS = "list_dot_product({a}::DOUBLE[], {b}::DOUBLE[]) / sqrt(list_dot_product({a}::DOUBLE[], {a}::DOUBLE[])) / sqrt(list_dot_product({b}::DOUBLE[], {b}::DOUBLE[]))"
+
+
+def _knn_sql(where_q: str, k: int, where_v: str = "true") -> str:
+    cos = _COS.format(a="v.embedding", b="q.embedding")
+    return f"""SELECT q.vec_id AS qid, v.vec_id AS vec_id, round({cos}, 6) AS cosine,
+  row_number() OVER (PARTITION BY q.vec_id ORDER BY round({cos}, 6) DESC, v.vec_id) AS rank
+FROM embeddings v, (SELECT * FROM embeddings WHERE {where_q}) q WHERE {where_v} QUALIFY rank <= {k}"""
+
+
+def _knn_rows(spark, sf_dir, where_q: str, k: int, where_v: str = "true") -> DataFrame:
+    vecs = _t(spark, sf_dir, "embeddings")
+    asked = vecs.filter(where_q).select(F.col("vec_id").alias("qid"), "embedding")
+    return dense.knn(vecs.filter(where_v), asked, k)
+
+
+@_query(_knn_sql("vec_id = 0", 50))
+def knn_cosine_topk(spark, sf_dir):
+    return _knn_rows(spark, sf_dir, "vec_id = 0", 50)
+
+
+@_query(_knn_sql("vec_id % 20 = 0", 10))
+def knn_batch(spark, sf_dir):
+    return _knn_rows(spark, sf_dir, "vec_id % 20 = 0", 10)
+
+
+@_query(_knn_sql("vec_id % 20 = 0", 10, "v.label = 1"))
+def knn_label_filtered(spark, sf_dir):
+    return _knn_rows(spark, sf_dir, "vec_id % 20 = 0", 10, "label = 1")
+
+
+@_query("SELECT count(*) AS vectors, sum(CASE WHEN abs(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) - 1) < 1e-3 THEN 1 ELSE 0 END)::BIGINT AS units FROM embeddings")
+def vector_unit_check(spark, sf_dir):
+    return _t(spark, sf_dir, "embeddings").agg(F.count("*").alias("vectors"), F.sum(vectors.is_unit("embedding").cast("long")).alias("units"))
+
+
+@_query("SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: (x * 3.0)::DOUBLE / (3.0 * sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))))), 4) AS total FROM embeddings")
+def vector_normalize(spark, sf_dir):
+    tripled = _t(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double") * 3).alias("v"))
+    unit = tripled.select("vec_id", vectors.l2_normalize("v").alias("u"))
+    return unit.select("vec_id", F.round(F.aggregate("u", F.lit(0.0), lambda s, x: s + x.cast("double")), 4).alias("total"))
+
+
+# --- fusion, reranking, context ---------------------------------------------------------
+
+_HYBRID = (
+    _bm25("SELECT vec_id AS qid, unnest(terms) AS term, generate_subscripts(terms, 1) AS phrase, false AS is_prefix FROM (SELECT vec_id, " + _terms("text[1:120]") + " AS terms FROM embeddings JOIN documents ON doc_id = vec_id WHERE vec_id % 20 = 0)")
+    + ", den AS (SELECT qid, vec_id AS chunk_id, rank FROM (" + _knn_sql("vec_id % 20 = 0 AND vec_id IN (SELECT doc_id FROM documents)", 50, "v.vec_id IN (SELECT doc_id FROM documents)") + """)),
+fused AS (
+  SELECT qid, chunk_id, l.rank AS lexical_rank, d.rank AS dense_rank, round(coalesce(1 / (60.0 + l.rank), 0) + coalesce(1 / (60.0 + d.rank), 0), 12) AS score
+  FROM (SELECT * FROM lex WHERE rank <= 50) l FULL JOIN den d USING (qid, chunk_id)
+), numbered AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS fused_rank FROM fused),
+tiered AS (SELECT *, CASE WHEN least(lexical_rank, dense_rank) = 1 THEN 0 WHEN least(lexical_rank, dense_rank) <= 4 THEN 1 ELSE 2 END AS tier FROM numbered),
+final AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY tier, fused_rank) AS final_rank FROM tiered)
+"""
+)
+
+
+def _asked(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Documents with embeddings of the same id as chunks; every twentieth asks its first words."""
+    docs = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+    vecs = _t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
+    asked = docs.join(vecs.filter("chunk_id % 20 = 0"), "chunk_id")
+    return docs.join(vecs, "chunk_id", "left"), asked.select(F.col("chunk_id").alias("qid"), F.substring("text", 1, 120).alias("query"), "embedding")
+
+
+def _lists(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    chunks, asked = _asked(spark, sf_dir)
+    lex = lexical.bm25(*lexical.build_index(chunks), asked, lexical.LexicalQuery(), 50)
+    return lex, dense.knn(chunks.filter(F.col("embedding").isNotNull()), asked, 50, "chunk_id")
+
+
+@_query(_HYBRID + "SELECT qid, chunk_id, lexical_rank, dense_rank, score, fused_rank FROM numbered")
+def rrf_fuse(spark, sf_dir):
+    return fusion.fuse(*_lists(spark, sf_dir))
+
+
+@_query(_HYBRID + "SELECT qid, chunk_id, tier, fused_rank, final_rank FROM final WHERE final_rank <= 16")
+def rrf_leaders(spark, sf_dir):
+    promoted = fusion.promote_leaders(fusion.fuse(*_lists(spark, sf_dir)), 4)
+    return promoted.filter("final_rank <= 16").select("qid", "chunk_id", "tier", "fused_rank", "final_rank")
+
+
+@_query(_HYBRID + "SELECT qid, chunk_id, score, lexical_rank, dense_rank, final_rank, text[1:280] AS excerpt FROM final JOIN documents ON doc_id = chunk_id WHERE final_rank <= 8")
+def hybrid_search(spark, sf_dir):
+    ranked = fusion.promote_leaders(fusion.fuse(*_lists(spark, sf_dir)), 4)
+    docs = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), text.excerpt("text").alias("excerpt"))
+    return fusion.hydrate(ranked, docs, 8).select("qid", "chunk_id", "score", "lexical_rank", "dense_rank", "final_rank", "excerpt")
+
+
+_OVERLAP = f"""round(len(list_filter({_terms('q.query')}, lambda t: list_contains({_tokens('d.text')}, t))) / len({_terms('q.query')}), 6)"""
+
+
+@_query(
+    _bm25(_ASKED)
+    + f""", top AS (SELECT qid, chunk_id, rank FROM lex WHERE rank <= 16),
+s AS (SELECT top.*, {_OVERLAP} AS overlap FROM top JOIN (SELECT item_id, text AS query FROM benchmark) q ON item_id = qid JOIN documents d ON doc_id = chunk_id)
+SELECT qid, chunk_id, overlap, row_number() OVER (PARTITION BY qid ORDER BY CASE WHEN rank <= 1 THEN 0 WHEN rank <= 10 THEN 1 ELSE 2 END, CASE WHEN rank BETWEEN 2 AND 10 THEN overlap END DESC NULLS LAST, rank) AS rerank FROM s"""
+)
+def rerank_term_overlap(spark, sf_dir):
+    top = _bm25_rows(spark, sf_dir, lexical.LexicalQuery(), 16)
+    docs = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+    scored = top.join(docs, "chunk_id").join(F.broadcast(_benchmark(spark, sf_dir)), "qid").withColumn("overlap", F.round(fusion.term_overlap("query", "text"), 6))
+    return fusion.rerank(scored, "overlap", 10, 1, "rank").select("qid", "chunk_id", "overlap", "rerank")
+
+
+_CONTEXT = (
+    _bm25(_ASKED).replace("WITH wanted", "WITH RECURSIVE wanted", 1)
+    + r""", cand AS (SELECT qid, chunk_id, rank, len(regexp_extract_all(text, '\S+')) AS cost FROM lex JOIN documents ON doc_id = chunk_id WHERE rank <= 16),
+walk AS (
+  SELECT qid, 0::BIGINT AS r, []::BIGINT[] AS chosen, 0::BIGINT AS used, 0::BIGINT AS skipped FROM cand GROUP BY qid
+  UNION ALL
+  SELECT w.qid, w.r + 1,
+    CASE WHEN len(chosen) < 8 AND used + cost <= 1500 THEN list_append(chosen, chunk_id) ELSE chosen END,
+    CASE WHEN len(chosen) < 8 AND used + cost <= 1500 THEN used + cost ELSE used END,
+    CASE WHEN len(chosen) < 8 AND used + cost > 1500 THEN skipped + 1 ELSE skipped END
+  FROM walk w JOIN cand c ON c.qid = w.qid AND c.rank = w.r + 1
+)
+SELECT qid, array_to_string(chosen, ',') AS chosen, used, skipped FROM walk QUALIFY row_number() OVER (PARTITION BY qid ORDER BY r DESC) = 1"""
+)
+
+
+@_query(_CONTEXT)
+def context_pack(spark, sf_dir):
+    top = _bm25_rows(spark, sf_dir, lexical.LexicalQuery(), 16)
+    costs = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), text.word_count("text").alias("cost"))
+    packed = fusion.pack_context(top.join(costs, "chunk_id"), 1500, 8, rank_col="rank")
+    return packed.select("qid", F.array_join(F.col("chosen").cast("array<string>"), ",").alias("chosen"), "used", "skipped")
+
+
+# --- metrics ------------------------------------------------------------------------
+
+_LABELLED = (
+    _bm25(_ASKED)
+    + """, questions AS (SELECT item_id AS qid, item_id % 3 = 0 AS require_all, CASE WHEN item_id % 5 > 0 THEN 'c' || (item_id % 4) END AS category, CASE WHEN item_id % 2 = 0 THEN 'dev' ELSE 'holdout' END AS split FROM benchmark),
+labels AS (SELECT item_id AS qid, n AS label, trim(regexp_replace(substr(text, n * 40 + 1, 30), '\\s+', ' ', 'g')) AS contains FROM benchmark, range(3) r(n)),
+ranks AS (
+  SELECT l.qid, label, min(rank) AS rank FROM labels l LEFT JOIN (SELECT x.qid, rank, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS hay FROM lex x JOIN documents ON doc_id = chunk_id WHERE rank <= 16) h
+  ON h.qid = l.qid AND contains(hay, l.contains) GROUP BY ALL
+)"""
+)
+_SCORED = (
+    _LABELLED
+    + """, placed AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rank ASC NULLS LAST, label) AS j FROM ranks),
+per AS (
+  SELECT qid, bool_and(coalesce(rank <= 5, false)) AS all_5, bool_or(coalesce(rank <= 5, false)) AS any_5, bool_and(coalesce(rank <= 10, false)) AS all_10, bool_or(coalesce(rank <= 10, false)) AS any_10,
+    bool_and(coalesce(rank <= 8, false)) AS all_8, bool_or(coalesce(rank <= 8, false)) AS any_8, min(rank) AS first, CASE WHEN count(rank) = count(*) THEN max(rank) END AS last,
+    sum(CASE WHEN rank IS NOT NULL AND greatest(rank, j) <= 10 THEN 1 / log2(greatest(rank, j) + 1.0) ELSE 0 END) AS dcg, sum(CASE WHEN j <= 10 THEN 1 / log2(j + 1.0) ELSE 0 END) AS ideal
+  FROM placed GROUP BY qid
+), answered AS (SELECT q.*, per.* EXCLUDE (qid), CASE WHEN require_all THEN last ELSE first END AS at_any FROM questions q JOIN per USING (qid)),
+scores AS (
+  SELECT qid, require_all, category, split, CASE WHEN require_all THEN all_5 ELSE any_5 END AS found_at_5, CASE WHEN require_all THEN all_10 ELSE any_10 END AS found_at_10,
+    CASE WHEN require_all THEN all_8 ELSE any_8 END AS in_context, CASE WHEN at_any <= 10 THEN 1.0 / at_any ELSE 0 END AS reciprocal_rank,
+    CASE WHEN require_all THEN dcg / ideal WHEN at_any <= 10 THEN 1 / log2(at_any + 1.0) ELSE 0 END AS ndcg FROM answered
+)"""
+)
+
+
+def _label_ranks(spark, sf_dir) -> DataFrame:
+    top = _bm25_rows(spark, sf_dir, lexical.LexicalQuery(), 16)
+    docs = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+    ranked = top.join(docs, "chunk_id").select("qid", "rank", F.lit("documents").alias("document"), "text")
+    parts = F.array(*(F.struct(F.lit(n).cast("long").alias("label"), F.substring("query", n * 40 + 1, 30).alias("contains")) for n in range(3)))
+    labels = _benchmark(spark, sf_dir).select("qid", F.lit("documents").alias("document"), F.explode(parts).alias("l")).select("qid", "document", "l.label", "l.contains")
+    return metrics.label_ranks(ranked, labels)
+
+
+def _scores(spark, sf_dir) -> DataFrame:
+    q = F.col("qid")
+    questions = _benchmark(spark, sf_dir).select(
+        "qid",
+        (q % 3 == 0).alias("require_all"),
+        F.when(q % 5 > 0, F.concat(F.lit("c"), (q % 4).cast("string"))).alias("category"),
+        F.when(q % 2 == 0, "dev").otherwise("holdout").alias("split"),
+    )
+    return metrics.question_scores(_label_ranks(spark, sf_dir), questions)
+
+
+@_query(_LABELLED + "SELECT qid, label, rank FROM ranks")
+def label_ranks(spark, sf_dir):
+    return _label_ranks(spark, sf_dir)
+
+
+@_query(_SCORED + "SELECT qid, found_at_5, found_at_10, in_context, round(reciprocal_rank, 6) AS reciprocal_rank FROM scores")
+def recall_mrr(spark, sf_dir):
+    return _scores(spark, sf_dir).select("qid", "found_at_5", "found_at_10", "in_context", F.round("reciprocal_rank", 6).alias("reciprocal_rank"))
+
+
+@_query(_SCORED + "SELECT qid, round(ndcg, 6) AS ndcg FROM scores")
+def ndcg10(spark, sf_dir):
+    return _scores(spark, sf_dir).select("qid", F.round("ndcg", 6).alias("ndcg"))
+
+
+@_query(
+    _SCORED
+    + """, named AS (SELECT * REPLACE (coalesce(category, 'uncategorized') AS category) FROM scores),
+keyed AS (SELECT 'overall' AS kind, 'all' AS key, * FROM named UNION ALL SELECT 'category', category, * FROM named UNION ALL SELECT 'split', split, * FROM named)
+SELECT kind, key, count(*) AS queries, round(avg(found_at_5::DOUBLE), 6) AS recall_at_5, round(avg(found_at_10::DOUBLE), 6) AS recall_at_10, round(avg(reciprocal_rank), 6) AS mrr_at_10,
+  round(avg(ndcg), 6) AS ndcg_at_10, round(avg(in_context::DOUBLE), 6) AS in_context FROM keyed GROUP BY kind, key"""
+)
+def group_means(spark, sf_dir):
+    return metrics.group_means(_scores(spark, sf_dir))
+
+
+@_query(
+    """SELECT l_returnflag, quantile_disc(l_extendedprice, 0.5) AS p50, quantile_disc(l_extendedprice, 0.95) AS p95, median(l_quantity) AS median_quantity FROM lineitem GROUP BY l_returnflag"""
+)
+def percentile_nearest_rank(spark, sf_dir):
+    return _t(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(
+        metrics.nearest_rank(50, "l_extendedprice").alias("p50"), metrics.nearest_rank(95, "l_extendedprice").alias("p95"), F.median("l_quantity").alias("median_quantity")
+    )
+
+
+@_query(
+    """SELECT count(*) FILTER (NOT answerable AND abstained) AS true_positive, count(*) FILTER (answerable AND abstained) AS false_positive,
+  count(*) FILTER (answerable AND NOT abstained) AS true_negative, count(*) FILTER (NOT answerable AND NOT abstained) AS false_negative,
+  round(count(*) FILTER (NOT answerable AND abstained) / nullif(count(*) FILTER (abstained), 0), 6) AS precision, round(count(*) FILTER (NOT answerable AND abstained) / nullif(count(*) FILTER (NOT answerable), 0), 6) AS recall
+FROM (SELECT quality = 1 AS answerable, toxic = 1 AS abstained FROM labels)"""
+)
+def confusion_abstention(spark, sf_dir):
+    flags = _t(spark, sf_dir, "labels").select((F.col("quality") == 1).alias("answerable"), (F.col("toxic") == 1).alias("abstained"))
+    return metrics.confusion(flags).withColumns({"precision": F.round("precision", 6), "recall": F.round("recall", 6)})
+
+
+def _outcomes(labels: DataFrame) -> DataFrame:
+    d = F.col("doc_id")
+    return labels.select(
+        (F.col("quality") == 1).alias("answerable"), (F.col("toxic") == 1).alias("abstained"), (d % 3 > 0).alias("valid_citations"), ((d % 4 > 0) & (F.col("quality") == 1) & (F.col("toxic") == 0)).alias("cited_evidence"),
+        (d % 3).alias("found"), F.lit(2).cast("long").alias("expected"), (d % 3 == 0).alias("uncited"),
+        F.when(d % 7 == 0, "length").when(d % 11 == 0, "repetition").otherwise("stop").alias("finish_reason"), F.when(d % 5 > 0, (d % 5).cast("string")).alias("category"),
+    )
+
+
+@_query(
+    """WITH o AS (SELECT quality = 1 AS answerable, toxic = 1 AS abstained, doc_id % 3 > 0 AS valid_citations, doc_id % 4 > 0 AND quality = 1 AND toxic = 0 AS cited_evidence, doc_id % 3 AS found, 2 AS expected, doc_id % 3 = 0 AS uncited,
+  CASE WHEN doc_id % 7 = 0 THEN 'length' WHEN doc_id % 11 = 0 THEN 'repetition' ELSE 'stop' END AS finish_reason, CASE WHEN doc_id % 5 > 0 THEN (doc_id % 5)::VARCHAR END AS category FROM labels)
+SELECT category, count(*) AS probes, round(count(*) FILTER (NOT abstained AND valid_citations) / nullif(count(*) FILTER (NOT abstained), 0), 6) AS valid_citation_rate,
+  round(count(*) FILTER (answerable AND cited_evidence) / nullif(count(*) FILTER (answerable), 0), 6) AS cited_evidence_coverage, round(count(*) FILTER (answerable AND found = expected) / nullif(count(*) FILTER (answerable), 0), 6) AS expected_fact_rate,
+  round(avg(found / expected) FILTER (answerable), 6) AS coverage, count(*) FILTER (uncited) AS uncited, count(*) FILTER (finish_reason = 'stop') AS finish_stop, count(*) FILTER (finish_reason = 'length') AS finish_length, count(*) FILTER (finish_reason = 'repetition') AS finish_repetition
+FROM o WHERE category IS NOT NULL GROUP BY category"""
+)
+def answer_metrics(spark, sf_dir):
+    got = metrics.answer_metrics(_outcomes(_t(spark, sf_dir, "labels")), ["category"])
+    return got.withColumns({c: F.round(c, 6) for c in ("valid_citation_rate", "cited_evidence_coverage", "expected_fact_rate", "coverage")})
+
+
+@_query("SELECT source, count(DISTINCT lang) AS splits FROM documents GROUP BY source HAVING count(DISTINCT lang) > 1")
+def split_leak_check(spark, sf_dir):
+    return metrics.split_leaks(_t(spark, sf_dir, "documents"), "source", "lang")
+
+
+@_query(
+    """SELECT l_linenumber, l_orderkey, row_number() OVER (PARTITION BY l_linenumber ORDER BY CASE WHEN l_discount = 0 THEN 1 ELSE 0 END, l_tax / nullif(l_discount, 0) DESC, l_orderkey) AS place
+FROM lineitem WHERE l_quantity = 50"""
+)
+def nan_last_order(spark, sf_dir):
+    rows = _t(spark, sf_dir, "lineitem").filter("l_quantity = 50").withColumn("s", F.when(F.col("l_discount") == 0, float("nan")).otherwise(F.col("l_tax") / F.col("l_discount")))
+    order = Window.partitionBy("l_linenumber").orderBy(F.isnan("s"), F.desc(F.when(~F.isnan("s"), F.col("s") + 0.0)), "l_orderkey")
+    return rows.select("l_linenumber", "l_orderkey", F.row_number().over(order).cast("long").alias("place"))
+
+
+# --- identity, sets, pages of rows ------------------------------------------------------
+
+
+@_query("SELECT lang, sha256(text) AS sha256, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY lang, sha256(text)")
+def exact_dedup_sha(spark, sf_dir):
+    docs = _t(spark, sf_dir, "documents").select("lang", identity.content_sha256("text").alias("sha256"), "doc_id")
+    return docs.groupBy("lang", "sha256").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
+
+
+@_query(
+    """SELECT lang, sha256, count(*) AS duplicates FROM (SELECT lang, sha256(text) AS sha256, row_number() OVER (PARTITION BY lang, sha256(text) ORDER BY doc_id) AS k FROM documents) WHERE k > 1 GROUP BY ALL"""
+)
+def duplicate_uploads(spark, sf_dir):
+    docs = _t(spark, sf_dir, "documents").select("lang", identity.content_sha256("text").alias("sha256"))
+    return docs.groupBy("lang", "sha256").agg((F.count("*") - 1).alias("duplicates")).filter("duplicates > 0")
+
+
+@_query(
+    """SELECT 'both' AS side, count(*) AS n FROM (SELECT doc_id FROM documents INTERSECT SELECT doc_id FROM labels)
+UNION ALL SELECT 'unlabelled', count(*) FROM (SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels)
+UNION ALL SELECT 'orphaned', count(*) FROM (SELECT doc_id FROM labels EXCEPT SELECT doc_id FROM documents)"""
+)
+def set_reconcile(spark, sf_dir):
+    docs, labels = _t(spark, sf_dir, "documents").select("doc_id"), _t(spark, sf_dir, "labels").select("doc_id").distinct()
+    sides = docs.withColumn("d", F.lit(1)).join(labels.withColumn("l", F.lit(1)), "doc_id", "full_outer")
+    n = lambda c: F.sum(F.when(c, 1).otherwise(0)).cast("long")
+    d, has = F.col("d").isNotNull(), F.col("l").isNotNull()
+    one = sides.agg(n(d & has).alias("both"), n(d & ~has).alias("unlabelled"), n(~d & has).alias("orphaned"))
+    return one.select(F.expr("stack(3, 'both', both, 'unlabelled', unlabelled, 'orphaned', orphaned) AS (side, n)"))
+
+
+@_query("SELECT doc_id, lang, n_chars FROM documents WHERE doc_id > 25 ORDER BY doc_id LIMIT 50")
+def keyset_page(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").filter("doc_id > 25").orderBy("doc_id").limit(50).select("doc_id", "lang", "n_chars")
+
+
+_DESCRIPTOR = {"model_id": "m", "model_sha256": "a" * 64, "pooling": "last", "query_prefix": "Q: ", "document_prefix": "", "dimensions": "64", "normalized": "true", "max_tokens": "512", "require_trailing_eos": "true"}
+
+
+def _fields_sql() -> str:
+    field = lambda k, v: f"'{k}=' || octet_length(encode({v})) || ':' || {v} || chr(10)"
+    parts = [("encoding", "'2'"), *((k, f"'{v}' || l" if k == "model_id" else f"'{v}'") for k, v in _DESCRIPTOR.items()), ("chunker_version", "'1'")]
+    return " || ".join(field(k, f"({v})") for k, v in parts)
+
+
+@_query(f"SELECT label, sha256({_fields_sql()}) AS fingerprint FROM (SELECT DISTINCT label, label::VARCHAR AS l FROM embeddings)")
+def space_fingerprints(spark, sf_dir):
+    spaces = _t(spark, sf_dir, "embeddings").select("label").distinct().withColumns({k: F.lit(v) for k, v in _DESCRIPTOR.items()})
+    spaces = spaces.withColumn("model_id", F.concat("model_id", F.col("label").cast("string")))
+    return spaces.select("label", identity.space_fingerprint_column().alias("fingerprint"))
+
+
+# --- text analysis -----------------------------------------------------------------------
+
+
+@_query(r"SELECT doc_id, trim(regexp_replace(text, '[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+', ' ', 'g')) AS squashed, text[1:280] AS excerpt FROM documents")
+def squash_excerpt(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").select("doc_id", text.squash("text").alias("squashed"), text.excerpt("text").alias("excerpt"))
+
+
+_HTML = r"regexp_replace(html, '(?s)<!--.*?-->', ' ', 'g')"
+for _pattern in (r"(?is)<script\b[^>]*>.*?</script[^>]*>", r"(?is)<style\b[^>]*>.*?</style[^>]*>", r"</?[A-Za-z!?/][^<>]*>"):
+    _HTML = f"regexp_replace({_HTML}, '{_pattern}', ' ', 'g')"
+for _entity, _char in (("&lt;", "'<'"), ("&gt;", "'>'"), ("&quot;", "'\"'"), ("&#39;", "''''"), ("&nbsp;", "chr(160)"), ("&amp;", "'&'")):
+    _HTML = f"replace({_HTML}, '{_entity}', {_char})"
+
+
+@_query(f"SELECT page_id, trim(regexp_replace({_HTML}, '[\\s\\x{{A0}}]+', ' ', 'g')) AS visible FROM pages")
+def html_to_text(spark, sf_dir):
+    return _t(spark, sf_dir, "pages").select("page_id", text.squash(text.html_text("html")).alias("visible"))
+
+
+@_query()
+def html_to_text_exact(spark, sf_dir):
+    exact = F.pandas_udf(lambda s: s.map(lambda h: " ".join(markup.html_to_text(h or "").split())), "string")
+    return _t(spark, sf_dir, "pages").select("page_id", exact("html").alias("visible"))
+
+
+_SOLID = r"regexp_replace(text, '\s', '', 'g')"
+_RUNS = r"list_sum(list_transform(regexp_extract_all(' ' || regexp_replace(text, '\s+', '  ', 'g') || ' ', ' \p{L} (?: \p{L} ){3,}'), lambda r: len(regexp_extract_all(r, '\S+'))))"
+
+
+@_query(
+    rf"""SELECT doc_id, CASE WHEN length({_SOLID}) < 200 THEN NULL
+  WHEN (length({_SOLID}) - length(regexp_replace({_SOLID}, '[\x{{FFFD}}\p{{Cc}}]', '', 'g'))) * 1000 >= length({_SOLID}) * 10 THEN 'unmapped characters'
+  WHEN coalesce({_RUNS}, 0) * 100 >= len(regexp_extract_all(text, '\S+')) * 40 THEN 'words split into single letters' END AS issue FROM documents"""
+)
+def suspicious_text(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").select("doc_id", text.suspicious("text").alias("issue"))
+
+
+@_query()
+def hyphen_join(spark, sf_dir):
+    broken = F.regexp_replace("text", r"(\p{Ll}{3})(\p{Ll}{3})", "$1-\n$2")
+    return _t(spark, sf_dir, "documents").select("doc_id", F.sha2(text.join_hyphenated(broken), 256).alias("sha256"))
+
+
+_SENTENCES = r"list_filter(regexp_extract_all(text, '[^.!?;\n]*(?:[.!?;\n]\s*|$)'), lambda s: s <> '')"
+
+
+@_query(f"SELECT doc_id, len({_SENTENCES}) AS sentences, length({_SENTENCES}[1]) AS first_chars, sha256(array_to_string({_SENTENCES}, '')) AS joined FROM documents")
+def sentence_split(spark, sf_dir):
+    s = text.sentences("text")
+    return _t(spark, sf_dir, "documents").select("doc_id", F.size(s).cast("long").alias("sentences"), F.length(F.get(s, 0)).cast("long").alias("first_chars"), F.sha2(F.array_join(s, ""), 256).alias("joined"))
+
+
+_KEY = r"trim(regexp_replace(regexp_replace({x}, '^\s*(?:\d+[.)]\s+)?(?:[*\-•]\s+)*', ''), '\s+', ' ', 'g'))"
+_KEYS = "list_filter(list_transform(string_split(text, chr(10)), lambda l: " + _KEY.format(x="l") + "), lambda k: k <> '')"
+
+
+@_query(f"SELECT doc_id, round(CASE WHEN len({_KEYS}) = 0 THEN 1.0 ELSE len(list_distinct({_KEYS})) / len({_KEYS}) END, 6) AS ratio FROM documents")
+def distinct_line_ratio(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").select("doc_id", F.round(text.distinct_line_ratio("text"), 6).alias("ratio"))
+
+
+@_query(
+    f"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
+k AS (SELECT doc_id, i, {_KEY.format(x='line')} AS key FROM l), n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) - row_number() OVER (PARTITION BY doc_id, key ORDER BY i) AS island FROM k WHERE key <> '')
+SELECT doc_id, max(c) AS longest_run, bool_or(c >= 3 AND length(key) >= 12) AS looped FROM (SELECT doc_id, key, island, count(*) AS c FROM n GROUP BY ALL) GROUP BY doc_id"""
+)
+def line_repeat_runs(spark, sf_dir):
+    lines = _t(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
+    keys = lines.select("doc_id", "i", text.line_key("line").alias("key")).filter("key != ''")
+    own, same = Window.partitionBy("doc_id").orderBy("i"), Window.partitionBy("doc_id", "key").orderBy("i")
+    runs = keys.withColumn("island", F.row_number().over(own) - F.row_number().over(same)).groupBy("doc_id", "key", "island").agg(F.count("*").alias("c"))
+    return runs.groupBy("doc_id").agg(F.max("c").alias("longest_run"), F.bool_or((F.col("c") >= 3) & (F.length("key") >= 12)).alias("looped"))
+
+
+_CITED = "CASE turn % 4 WHEN 0 THEN text || ' [1] and [2, 3].' WHEN 1 THEN text || ' [^4] [7-9] [x] [1999].' WHEN 2 THEN text || ' [bkz. [5]] [ 2 ]' ELSE text END"
+_PARTS = r"list_filter(regexp_extract_all(answer, '\[([^\[\]]*)\]', 1), lambda s: regexp_full_match(s, '\s*\^*\s*(0|[1-9]\d{0,2})\s*([-–—−]\s*(0|[1-9]\d{0,2})\s*)?\\*\s*(,\s*\^*\s*(0|[1-9]\d{0,2})\s*([-–—−]\s*(0|[1-9]\d{0,2})\s*)?\\*\s*)*'))"
+
+
+@_query(
+    rf"""WITH a AS (SELECT conv_id, turn, {_CITED} AS answer FROM conversations),
+p AS (SELECT conv_id, turn, flatten(list_transform({_PARTS}, lambda s: string_split(s, ','))) AS parts FROM a),
+n AS (SELECT conv_id, turn, flatten(list_transform(parts, lambda p: range(regexp_extract_all(p, '\d+')[1]::BIGINT, regexp_extract_all(p, '\d+')[-1]::BIGINT + 1))) AS numbers FROM p)
+SELECT conv_id, turn, coalesce(array_to_string(list_filter(numbers, lambda x, i: list_position(numbers, x) = i), ','), '') AS cited FROM n"""
+)
+def citation_numbers(spark, sf_dir):
+    answer = F.expr(_CITED)
+    return _t(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(answers.cited_numbers(answer).cast("array<string>"), ",").alias("cited"))
+
+
+@_query()
+def citation_markers(spark, sf_dir):
+    rows = _t(spark, sf_dir, "conversations").select("conv_id", "turn", F.expr(_CITED).alias("answer"))
+    got = rows.select("conv_id", "turn", answers.citations("answer", F.lit(5)).alias("c"))
+    return got.select("conv_id", "turn", F.to_json("c").alias("citations"))
+
+
+@_query()
+def abstentions(spark, sf_dir):
+    said = F.when(F.col("turn") % 5 == 0, F.lit("The documents do not mention this. But [1] is close.")).when(F.col("turn") % 7 == 0, F.lit(answers.REFUSAL_TR)).otherwise(F.col("text"))
+    return _t(spark, sf_dir, "conversations").select("conv_id", "turn", answers.is_abstention(said).alias("abstained"))
+
+
+@_query(
+    """SELECT conv_id, string_agg('<|im_start|>' || role || chr(10) || replace(replace(text, '<|', '< |'), '|>', '| >') || '<|im_end|>', chr(10) ORDER BY turn) || chr(10) || '<|im_start|>assistant' || chr(10) AS prompt FROM conversations GROUP BY conv_id"""
+)
+def chat_render(spark, sf_dir):
+    lines = _t(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", text.chat_line("role", "text").alias("line")))).alias("ls"))
+    return lines.select("conv_id", F.concat(F.array_join(F.transform("ls", lambda x: x["line"]), "\n"), F.lit("\n<|im_start|>assistant\n")).alias("prompt"))
+
+
+@_query(
+    """SELECT conv_id, turn, regexp_replace('<think>' || role || '</think>  ' || text, '(?s)<think>.*?</think>\\s*', '', 'g') AS answer, CASE upper(regexp_extract(text, '^[^\\p{L}]*(\\p{L}+)', 1)) WHEN 'YES' THEN true WHEN 'NO' THEN false END AS verdict FROM conversations"""
+)
+def model_output_clean(spark, sf_dir):
+    raw = F.concat(F.lit("<think>"), "role", F.lit("</think>  "), "text")
+    return _t(spark, sf_dir, "conversations").select("conv_id", "turn", text.think_free(raw).alias("answer"), text.judge_verdict("text").alias("verdict"))
+
+
+@_query(
+    """WITH p AS (SELECT DISTINCT l_orderkey % 50 AS doc, l_linenumber * 2 + l_suppkey % 3 AS page FROM lineitem),
+r AS (SELECT doc, page, page - row_number() OVER (PARTITION BY doc ORDER BY page) AS island FROM p), i AS (SELECT doc, min(page) AS a, max(page) AS b FROM r GROUP BY doc, island)
+SELECT doc, string_agg(CASE WHEN a = b THEN a::VARCHAR ELSE a || '-' || b END, ', ' ORDER BY a) AS pages FROM i GROUP BY doc"""
+)
+def page_runs(spark, sf_dir):
+    pages = _t(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 50).alias("doc"), (F.col("l_linenumber") * 2 + F.col("l_suppkey") % 3).alias("page")).distinct()
+    runs = pages.withColumn("island", F.col("page") - F.row_number().over(Window.partitionBy("doc").orderBy("page"))).groupBy("doc", "island").agg(F.min("page").alias("a"), F.max("page").alias("b"))
+    shown = F.when(F.col("a") == F.col("b"), F.col("a").cast("string")).otherwise(F.concat_ws("-", "a", "b"))
+    return runs.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("a", shown.alias("s")))).alias("rs")).select("doc", F.array_join(F.transform("rs", lambda r: r["s"]), ", ").alias("pages"))
+
+
+# --- parsing and chunking -------------------------------------------------------------
+
+
+@_query(
+    r"""WITH w AS (SELECT doc_id, regexp_extract_all(text, '\S+') AS words FROM documents),
+s AS (SELECT doc_id, words, unnest(range(0, greatest(0, ceil((len(words) - 128) / 96.0))::BIGINT + 1)) AS ordinal FROM w WHERE len(words) > 0)
+SELECT doc_id, ordinal, array_to_string(words[ordinal * 96 + 1 : ordinal * 96 + 128], ' ') AS text, len(words[ordinal * 96 + 1 : ordinal * 96 + 128]) AS token_count FROM s"""
+)
+def chunk_words(spark, sf_dir):
+    return chunking.word_windows(_t(spark, sf_dir, "documents"), 128, 32)
+
+
+@_query()
+def chunk_structured(spark, sf_dir):
+    docs = _t(spark, sf_dir, "documents").select("doc_id", markup.parsed(F.encode("text", "UTF-8"), F.lit("txt")).alias("p")).select("doc_id", "p.blocks", "p.pages")
+    return chunking.chunk(docs).select("doc_id", "ordinal", F.array_join("heading_path", " > ").alias("heading_path"), "text", "token_count")
+
+
+@_query()
+def parse_blocks(spark, sf_dir):
+    docs = _t(spark, sf_dir, "documents").select("doc_id", markup.parsed(F.encode("text", "UTF-8"), F.lit("md")).alias("p"))
+    return docs.select("doc_id", F.posexplode("p.blocks").alias("at", "b")).select("doc_id", "at", "b.kind", "b.level", "b.text")
+
+
+_HEADER = "upper(regexp_extract(html, '<title>([^<]*)</title>', 1))"
+
+
+@_query(
+    """WITH h AS (SELECT doc, page, heading FROM (SELECT page_id % 20 AS doc, page_id // 20 AS page, 'H' || (page_id // 20 % 2) AS heading FROM pages)),
+n AS (SELECT doc, heading, count(DISTINCT page) AS pages FROM h GROUP BY ALL), t AS (SELECT doc, count(DISTINCT page) AS all_pages FROM h GROUP BY ALL)
+SELECT doc, page, heading, CASE WHEN pages >= 3 AND pages * 2 >= all_pages THEN 'paragraph' ELSE 'heading' END AS kind FROM h JOIN n USING (doc, heading) JOIN t USING (doc)"""
+)
+def running_header_demote(spark, sf_dir):
+    page = F.expr("page_id div 20")
+    h = _t(spark, sf_dir, "pages").select((F.col("page_id") % 20).alias("doc"), page.alias("page"), F.concat(F.lit("H"), (page % 2).cast("string")).alias("heading"))
+    n = h.groupBy("doc", "heading").agg(F.countDistinct("page").alias("pages"))
+    t = h.groupBy("doc").agg(F.countDistinct("page").alias("all_pages"))
+    running = (F.col("pages") >= 3) & (F.col("pages") * 2 >= F.col("all_pages"))
+    return h.join(n, ["doc", "heading"]).join(t, "doc").select("doc", "page", "heading", F.when(running, "paragraph").otherwise("heading").alias("kind"))
+
+
+# --- names and formats ------------------------------------------------------------------
+
+
+@_query(
+    """SELECT DISTINCT source, lower(translate(source, 'İIı', 'iii')) AS key, regexp_full_match(source, '[\\p{L}\\p{N}\\p{M} _.\\-]{1,64}') AND trim(source) = source AS valid FROM documents"""
+)
+def collection_names(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").select("source", text.name_key("source").alias("key"), text.valid_name("source").alias("valid")).distinct()
+
+
+@_query(
+    """WITH f AS (SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'a.md' WHEN 1 THEN 'x/b.TXT' WHEN 2 THEN 'c.pdf' WHEN 3 THEN 'd.csv' WHEN 4 THEN 'noext' ELSE 'e.md' END AS name,
+  CASE page_id % 6 WHEN 2 THEN 'application/pdf; q=1' WHEN 4 THEN 'text/plain' WHEN 5 THEN 'application/pdf' END AS media FROM pages)
+SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'md' WHEN 1 THEN 'txt' WHEN 2 THEN 'pdf' WHEN 4 THEN 'txt' END AS kind,
+  CASE page_id % 6 WHEN 3 THEN 'unsupported file type' WHEN 5 THEN 'the media type contradicts the file name' END AS error FROM f"""
+)
+def format_detection(spark, sf_dir):
+    from quarry.sources import formats
+
+    k = F.col("page_id") % 6
+    name = F.when(k == 0, "a.md").when(k == 1, "x/b.TXT").when(k == 2, "c.pdf").when(k == 3, "d.csv").when(k == 4, "noext").otherwise("e.md")
+    media = F.when(k == 2, "application/pdf; q=1").when(k == 4, "text/plain").when(k == 5, "application/pdf")
+    return _t(spark, sf_dir, "pages").select("page_id", formats.detect(name, media).alias("f")).select("page_id", "f.kind", "f.error")
+
+
+# --- lifecycle ---------------------------------------------------------------------------
+
+
+@_query("SELECT user_id AS document_id, max(event_id) AS job_id, arg_max(event_type, event_id) AS status FROM events GROUP BY user_id")
+def latest_job_per_doc(spark, sf_dir):
+    return _t(spark, sf_dir, "events").groupBy(F.col("user_id").alias("document_id")).agg(F.max("event_id").alias("job_id"), F.max_by("event_type", "event_id").alias("status"))
+
+
+@_query("SELECT source, count(d.doc_id) AS document_count, count(l.doc_id) AS labelled FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY source")
+def doc_count_per_group(spark, sf_dir):
+    docs, labels = _t(spark, sf_dir, "documents").select("doc_id", "source"), _t(spark, sf_dir, "labels").select("doc_id", F.lit(1).alias("l"))
+    return docs.join(labels, "doc_id", "left").groupBy("source").agg(F.count("*").alias("document_count"), F.count("l").alias("labelled"))
+
+
+@_query(
+    """WITH j AS (SELECT event_id AS id, user_id AS document_id, CASE WHEN event_id % 4 = 0 THEN 'running' WHEN event_id % 4 = 1 THEN 'queued' ELSE 'succeeded' END AS status FROM events),
+f AS (SELECT min(id) AS id FROM j WHERE status = 'queued')
+SELECT j.id, document_id, CASE WHEN status = 'running' THEN 'queued' WHEN j.id = f.id THEN 'running' ELSE status END AS status FROM j, f"""
+)
+def queue_transition(spark, sf_dir):
+    k = F.col("event_id") % 4
+    jobs = _t(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("document_id"), F.when(k == 0, "running").when(k == 1, "queued").otherwise("succeeded").alias("status"))
+    first = jobs.filter("status = 'queued'").agg(F.min("id").alias("first"))
+    after = F.when(F.col("status") == "running", "queued").when(F.col("id") == F.col("first"), "running").otherwise(F.col("status"))
+    return jobs.join(F.broadcast(first), F.lit(True)).select("id", "document_id", after.alias("status"))
+
+
+@_query("SELECT doc_id, sha256(text) AS sha256 FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
+def orphan_sources(spark, sf_dir):
+    docs, labels = _t(spark, sf_dir, "documents"), _t(spark, sf_dir, "labels")
+    return docs.join(labels, "doc_id", "left_anti").select("doc_id", identity.content_sha256("text").alias("sha256"))
