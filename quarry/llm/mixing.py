@@ -24,7 +24,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import settle
+from quarry.llm.common import settle, settle_table
 
 DIMENSIONS = ("source", "lang", "topic")
 
@@ -50,43 +50,35 @@ def unit_hash(key: Column) -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(key.cast("string"), F.lit("null")).cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(2.0**32)
 
 
-def _targets(cells: DataFrame, dim: str, temper: float, given: Mapping[str, float] | None) -> DataFrame:
-    """(dim, goal): the share of tokens that each value should have. Without
-    given shares, the observed ones to the power ``temper``, normalised."""
-    seen = cells.groupBy(dim).agg(F.sum("tokens").cast("double").alias("t"))
-    if given is None:
-        raised = seen.withColumn("g", F.pow("t", F.lit(temper)))
-    else:
-        share = F.create_map(*(x for k, v in given.items() for x in (F.lit(k), F.lit(float(v))))) if given else F.create_map()
-        raised = seen.withColumn("g", F.coalesce(F.element_at(share, F.col(dim)), F.lit(0.0)))
-    total = raised.agg(F.sum("g").alias("all"))
-    return raised.join(F.broadcast(total), F.lit(True)).select(dim, (F.col("g") / F.col("all")).alias("goal"))
+def _with_goals(cells: DataFrame, temper: float, targets: Mapping[str, Mapping[str, float]]) -> DataFrame:
+    """``cells`` with all tokens (``everything``) and, for each dimension, the tokens that its value
+    should have. Without given shares, the observed ones to the power ``temper``, normalised."""
+    total = cells.agg(F.sum("tokens").cast("double").alias("everything"))
+    out = cells.join(F.broadcast(total), F.lit(True)).withColumn("weight", F.lit(1.0))
+    for dim in DIMENSIONS:
+        seen = cells.groupBy(dim).agg(F.sum("tokens").cast("double").alias("t"))
+        given = targets.get(dim)
+        if given is None:
+            raised = seen.select(dim, F.pow("t", F.lit(temper)).alias("g"))
+        else:
+            share = F.create_map(*(x for k, v in given.items() for x in (F.lit(k), F.lit(float(v)))))
+            raised = seen.select(dim, F.coalesce(F.element_at(share, F.col(dim)), F.lit(0.0)).alias("g"))
+        raised = raised.join(F.broadcast(raised.agg(F.sum("g").alias("all"))), F.lit(True)).select(dim, (F.col("g") / F.col("all")).alias(f"goal_{dim}"))
+        out = out.join(raised, dim)
+    return out
 
 
 def rake(cells: DataFrame, temper: float, rounds: int, targets: Mapping[str, Mapping[str, float]]) -> DataFrame:
     """Cells (source, lang, topic, tokens > 0) with ``weight``, after ``rounds`` over
-    all dimensions. A weight is the product of its three values' factors; a step
-    sets one dimension's factors from the sums under the other two's."""
-    total = settle(cells.agg(F.sum("tokens").cast("double").alias("everything")))
-    whole = cells.join(F.broadcast(total), F.lit(True))
-    goals = {d: settle(_targets(cells, d, temper, targets.get(d))) for d in DIMENSIONS}
-    factors = {d: goals[d].select(d, F.lit(1.0).alias(f"f_{d}")) for d in DIMENSIONS}
+    all dimensions; each round is settled as a table, so plans stay short."""
+    state = settle_table(_with_goals(cells, temper, targets))
     for _ in range(rounds):
         for dim in DIMENSIONS:
-            state = whole
-            for other in DIMENSIONS:
-                if other != dim:
-                    state = state.join(factors[other], other)
-            rest = F.lit(1.0)
-            for other in DIMENSIONS:
-                if other != dim:
-                    rest = rest * F.col(f"f_{other}")
-            have = state.groupBy(dim).agg(F.sum(F.col("tokens") * rest).alias("have"), F.max("everything").alias("everything"))
-            scaled = F.when(F.col("have") > 0, F.col("goal") * F.col("everything") / F.col("have")).otherwise(0.0)
-            factors[dim] = settle(have.join(goals[dim], dim).select(dim, scaled.alias(f"f_{dim}")))
-    for dim in DIMENSIONS:
-        whole = whole.join(factors[dim], dim)
-    return settle(whole.select(*DIMENSIONS, "tokens", "everything", (F.col("f_source") * F.col("f_lang") * F.col("f_topic")).alias("weight")))
+            have = F.sum(F.col("tokens") * F.col("weight"))
+            factor = state.groupBy(dim).agg(F.when(have > 0, F.max(f"goal_{dim}") / have).otherwise(0.0).alias("f"))
+            state = state.join(factor, dim).withColumn("weight", F.col("weight") * F.col("f") * F.col("everything")).drop("f")
+        state = settle_table(state)
+    return state
 
 
 def calibrate(cells: DataFrame, keep: float, steps: int) -> DataFrame:
