@@ -19,10 +19,12 @@ columns are ignored.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import WORD_BREAK, keyed_text
+from quarry.llm.common import WORD_BREAK, keyed_text, settle
 
 _FIRST = -(2**63)
 
@@ -70,14 +72,16 @@ def digest(sketch: str) -> Column:
     return F.concat_ws(":", F.size(sketch), F.sha2(F.array_join(F.transform(sketch, lambda h: F.hex(h)), ""), 256))
 
 
-def neighbours(keyed: DataFrame, bucket_rows: int = 50_000) -> DataFrame:
-    """(doc_id, before, before_chars): for each id the one that it follows in
-    descending order (the next larger; for the largest, the smallest) and that
-    document's length. Ids are dealt to ranges, neighbours are found within a
-    range by a window, and over the ranges' edges, one row a range, likewise."""
-    ids = keyed.groupBy("doc_id").agg(F.max(F.length("text")).alias("n"))
-    seen = ids.agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("c")).first()
-    span = 1 if not seen["c"] else max(1, (seen["hi"] - seen["lo"]) * bucket_rows // seen["c"])
+def neighbours(ids: DataFrame, least_rows: int = 1000) -> tuple[DataFrame, bool]:
+    """(doc_id, before, before_chars): for each id of ``ids`` (doc_id, n, times) the one that
+    it follows in descending order (the next larger; for the largest, the
+    smallest) and that document's length; and whether ids repeat. Ids are dealt
+    to ranges, neighbours are found within a range by a window, and over the
+    ranges' edges, one row a range, likewise. A range holds about the root of
+    the rows, so neither window grows in step with them."""
+    seen = ids.agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("c"), F.max("times").alias("times")).first()
+    rows = max(least_rows, math.isqrt(seen["c"]))
+    span = 1 if not seen["c"] else max(1, (seen["hi"] - seen["lo"]) * rows // seen["c"])
     ids = ids.withColumn("range", F.floor(F.col("doc_id").cast("double") / F.lit(float(span))))
     here = F.struct(F.col("doc_id").alias("before"), F.col("n").alias("before_chars"))
     edges = ids.groupBy("range").agg(F.min(F.struct("doc_id", "n")).alias("first"))
@@ -87,15 +91,16 @@ def neighbours(keyed: DataFrame, bucket_rows: int = 50_000) -> DataFrame:
         F.coalesce(F.lead("first").over(along), F.min("first").over(along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("beyond"),
     )
     within = Window.partitionBy("range").orderBy("doc_id")
-    return (
+    found = (
         ids.withColumn("up", F.lead(here).over(within))
-        .join(F.broadcast(edges) if seen["c"] <= 100 * bucket_rows else edges, "range")
+        .join(F.broadcast(edges) if seen["c"] <= 10_000 * rows else edges, "range")
         .select(
             "doc_id",
             F.coalesce("up.before", "beyond.doc_id").alias("before"),
             F.coalesce("up.before_chars", "beyond.n").alias("before_chars"),
         )
     )
+    return found, (seen["times"] or 0) > 1
 
 
 def edit_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, fraction: int = 4) -> DataFrame:
@@ -106,9 +111,10 @@ def edit_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     A document hands its first code points and its sketch to the one before it:
     what moves is the texts once, a third of them and the sketches."""
     keyed = keyed_text(docs, id_col, text_col).withColumn("doc_id", F.coalesce("doc_id", F.lit(_FIRST)))
-    before = neighbours(keyed)
+    ids = settle(keyed.groupBy("doc_id").agg(F.max(F.length("text")).alias("n"), F.count("*").alias("times")))
+    before, repeated = neighbours(ids)
     followed = keyed.join(before, "doc_id")
-    if keyed.count() != before.count():
+    if repeated:
         # repeated ids: the smallest text is the one that is handed on
         followed = followed.groupBy("doc_id", "before", "before_chars").agg(F.min("text").alias("text"))
     handed = with_sketch(followed, "text", "next_sketch", width, fraction).select(
