@@ -258,21 +258,33 @@ def source_block(number: int, label: str, text: str) -> str:
 # --- columns ---------------------------------------------------------------------
 
 
-@F.pandas_udf("struct<valid:array<int>,invalid:array<int>,markers:array<struct<start:int,end:int,numbers:array<int>>>>")
-def citations(answer: pd.Series, sources: pd.Series) -> pd.DataFrame:
+def _citations(answer: pd.Series, sources: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([extract_citations(a or "", int(n)) for a, n in zip(answer, sources)], columns=["valid", "invalid", "markers"])
 
 
-@F.pandas_udf("boolean")
-def is_abstention(answer: pd.Series) -> pd.Series:
+def citations(answer: str | Column, sources: str | Column) -> Column:
+    return F.pandas_udf(_citations, "struct<valid:array<int>,invalid:array<int>,markers:array<struct<start:int,end:int,numbers:array<int>>>>")(answer, sources)
+
+
+
+def _is_abstention(answer: pd.Series) -> pd.Series:
     return answer.fillna("").map(abstained)
 
 
-@F.pandas_udf("array<int>")
-def facts(answer: pd.Series, expect: pd.Series, refused: pd.Series) -> pd.Series:
+def is_abstention(answer: str | Column) -> Column:
+    return F.pandas_udf(_is_abstention, "boolean")(answer)
+
+
+
+def _facts(answer: pd.Series, expect: pd.Series, refused: pd.Series) -> pd.Series:
     return pd.Series([found_facts(a or "", list(e), bool(r)) for a, e, r in zip(answer, expect, refused)])
 
 
+def facts(answer: str | Column, expect: str | Column, refused: str | Column) -> Column:
+    return F.pandas_udf(_facts, "array<int>")(answer, expect, refused)
+
+
+
 def cited_numbers(answer: str | Column) -> Column:
     """Numbers cited in brackets, ranges expanded, each once in first-seen order."""
     x = F.col(answer) if isinstance(answer, str) else answer

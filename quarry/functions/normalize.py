@@ -10,6 +10,7 @@ import re
 import unicodedata
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Code points ignored by default, and private use.
@@ -52,11 +53,15 @@ def normalize_for_lexical(text: str) -> str:
     return unicodedata.normalize("NFC", "".join(map(str.lower, x)).replace("ß", "ss"))
 
 
-@F.pandas_udf("string")
-def normalized(texts: pd.Series) -> pd.Series:
+def _normalized(texts: pd.Series) -> pd.Series:
     return texts.map(normalize_for_lexical, na_action="ignore")
 
 
+def normalized(texts: str | Column) -> Column:
+    return F.pandas_udf(_normalized, "string")(texts)
+
+
+
 def is_term_char(ch: str) -> bool:
     return not "\U0001f100" <= ch <= "\U0001f1ff" and (ch.isalnum() or unicodedata.category(ch)[0] in "NM" or ch.isalpha())
 

@@ -153,6 +153,6 @@ def html_text(html: str | Column) -> Column:
     x = F.regexp_replace(x, r"(?is)<script\b[^>]*>.*?</script[^>]*>", " ")
     x = F.regexp_replace(x, r"(?is)<style\b[^>]*>.*?</style[^>]*>", " ")
     x = F.regexp_replace(x, r"</?[A-Za-z!?/][^<>]*>", " ")
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", "\u00a0"), ("&amp;", "&")):
+    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", "\u00a0"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
         x = F.replace(x, F.lit(entity), F.lit(char))
     return x

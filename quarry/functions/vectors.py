@@ -50,11 +50,15 @@ def bag_of_words(text: str, dims: int = 16) -> list[float]:
     return (counts / np.linalg.norm(counts)).astype(np.float32).tolist()
 
 
-@F.pandas_udf("array<float>")
-def fake_embedding(texts: pd.Series) -> pd.Series:
+def _fake_embedding(texts: pd.Series) -> pd.Series:
     return texts.fillna("").map(bag_of_words)
 
 
+def fake_embedding(texts: str | Column) -> Column:
+    return F.pandas_udf(_fake_embedding, "array<float>")(texts)
+
+
+
 def unit_vectors(n: int, dims: int, seed: int = 1) -> np.ndarray:
     """``n`` random unit vectors from a 64-bit xorshift sequence."""
     state, out = seed & 0xFFFFFFFFFFFFFFFF or 1, np.empty(n * dims)

@@ -45,9 +45,12 @@ def _tokens(x: str) -> str:
 
 
 def _terms(x: str) -> str:
-    """Distinct terms in first-seen order."""
-    toks = _tokens(x)
-    return f"list_filter({toks}, lambda t, i: list_position({toks}, t) = i)[1:32]"
+    """Distinct terms of a question in first-seen order: 32 at most, of its first
+    4096 characters; one that is cut there is dropped."""
+    head = f"({x})[1:4096]"
+    cut = f"regexp_matches({_fold(head)}, '[\\p{{L}}\\p{{N}}\\p{{M}}]$') AND regexp_matches(({x})[4097:4097], '[\\p{{L}}\\p{{N}}\\p{{M}}]')"
+    toks = f"(CASE WHEN {cut} THEN {_tokens(head)}[:-2] ELSE {_tokens(head)} END)"
+    return f"list_filter(list_filter({toks}, lambda t, i: list_position({toks}, t) = i), lambda t: regexp_matches(t, '[\\p{{L}}\\p{{N}}]'))[1:32]"
 
 
 _BM25 = """
@@ -92,10 +95,15 @@ def _bm25_rows(spark: SparkSession, sf_dir: str, how: lexical.LexicalQuery, k: i
 # --- terms and lexical search ---------------------------------------------------------
 
 
-@_query(f"SELECT doc_id, len(list_distinct({_tokens('text')})) AS n_terms, array_to_string({_terms('text')}, ' ') AS terms FROM documents WHERE length(text) <= 4096")
+@_query(
+    f"""WITH t AS (SELECT doc_id, {_tokens('text')} AS toks, {_tokens('text[1:4096]')} AS head,
+  regexp_matches({_fold('text[1:4096]')}, '[\\p{{L}}\\p{{N}}\\p{{M}}]$') AND regexp_matches(text[4097:4097], '[\\p{{L}}\\p{{N}}\\p{{M}}]') AS cut FROM documents),
+u AS (SELECT doc_id, term, min(i) AS i FROM (SELECT doc_id, unnest(whole) AS term, generate_subscripts(whole, 1) AS i FROM (SELECT doc_id, CASE WHEN cut THEN head[:-2] ELSE head END AS whole FROM t))
+  WHERE regexp_matches(term, '[\\p{{L}}\\p{{N}}]') GROUP BY doc_id, term QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY min(i)) <= 32)
+SELECT doc_id, len(list_distinct(toks)) AS n_terms, coalesce((SELECT string_agg(term, ' ' ORDER BY i) FROM u WHERE u.doc_id = t.doc_id), '') AS terms FROM t"""
+)
 def normalize_terms(spark, sf_dir):
-    docs = _t(spark, sf_dir, "documents").filter(F.length("text") <= text.MAX_QUERY_CHARS)
-    return docs.select(
+    return _t(spark, sf_dir, "documents").select(
         "doc_id",
         F.size(F.array_distinct(text.tokens(text.fold("text")))).cast("long").alias("n_terms"),
         F.array_join(text.query_terms("text"), " ").alias("terms"),
@@ -193,7 +201,7 @@ def vector_normalize(spark, sf_dir):
 # --- fusion, reranking, context ---------------------------------------------------------
 
 _HYBRID = (
-    _bm25("SELECT vec_id AS qid, unnest(terms) AS term, generate_subscripts(terms, 1) AS phrase, false AS is_prefix FROM (SELECT vec_id, " + _terms("text[1:120]") + " AS terms FROM embeddings JOIN documents ON doc_id = vec_id WHERE vec_id % 20 = 0)")
+    _bm25("SELECT vec_id AS qid, unnest(terms) AS term, generate_subscripts(terms, 1) AS phrase, false AS is_prefix FROM (SELECT vec_id, " + _terms("text") + " AS terms FROM embeddings JOIN documents ON doc_id = vec_id WHERE vec_id % 20 = 0)")
     + ", den AS (SELECT qid, vec_id AS chunk_id, rank FROM (" + _knn_sql("vec_id % 20 = 0 AND vec_id IN (SELECT doc_id FROM documents)", 50, "v.vec_id IN (SELECT doc_id FROM documents)") + """)),
 fused AS (
   SELECT qid, chunk_id, l.rank AS lexical_rank, d.rank AS dense_rank, round(coalesce(1 / (60.0 + l.rank), 0) + coalesce(1 / (60.0 + d.rank), 0), 12) AS score
@@ -206,11 +214,11 @@ final AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY tier, fused_ran
 
 
 def _asked(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    """Documents with embeddings of the same id as chunks; every twentieth asks its first words."""
+    """Documents with embeddings of the same id as chunks; every twentieth is asked for."""
     docs = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
     vecs = _t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
     asked = docs.join(vecs.filter("chunk_id % 20 = 0"), "chunk_id")
-    return docs.join(vecs, "chunk_id", "left"), asked.select(F.col("chunk_id").alias("qid"), F.substring("text", 1, 120).alias("query"), "embedding")
+    return docs.join(vecs, "chunk_id", "left"), asked.select(F.col("chunk_id").alias("qid"), F.col("text").alias("query"), "embedding")
 
 
 def _lists(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
@@ -400,10 +408,10 @@ def split_leak_check(spark, sf_dir):
 
 @_query(
     """SELECT l_linenumber, l_orderkey, row_number() OVER (PARTITION BY l_linenumber ORDER BY CASE WHEN l_discount = 0 THEN 1 ELSE 0 END, l_tax / nullif(l_discount, 0) DESC, l_orderkey) AS place
-FROM lineitem WHERE l_quantity = 50"""
+FROM lineitem"""
 )
 def nan_last_order(spark, sf_dir):
-    rows = _t(spark, sf_dir, "lineitem").filter("l_quantity = 50").withColumn("s", F.when(F.col("l_discount") == 0, float("nan")).otherwise(F.col("l_tax") / F.col("l_discount")))
+    rows = _t(spark, sf_dir, "lineitem").withColumn("s", F.when(F.col("l_discount") == 0, float("nan")).otherwise(F.col("l_tax") / F.col("l_discount")))
     order = Window.partitionBy("l_linenumber").orderBy(F.isnan("s"), F.desc(F.when(~F.isnan("s"), F.col("s") + 0.0)), "l_orderkey")
     return rows.select("l_linenumber", "l_orderkey", F.row_number().over(order).cast("long").alias("place"))
 
@@ -471,7 +479,7 @@ def squash_excerpt(spark, sf_dir):
 _HTML = r"regexp_replace(html, '(?s)<!--.*?-->', ' ', 'g')"
 for _pattern in (r"(?is)<script\b[^>]*>.*?</script[^>]*>", r"(?is)<style\b[^>]*>.*?</style[^>]*>", r"</?[A-Za-z!?/][^<>]*>"):
     _HTML = f"regexp_replace({_HTML}, '{_pattern}', ' ', 'g')"
-for _entity, _char in (("&lt;", "'<'"), ("&gt;", "'>'"), ("&quot;", "'\"'"), ("&#39;", "''''"), ("&nbsp;", "chr(160)"), ("&amp;", "'&'")):
+for _entity, _char in (("&lt;", "'<'"), ("&gt;", "'>'"), ("&quot;", "'\"'"), ("&#39;", "''''"), ("&nbsp;", "chr(160)"), ("&copy;", "'©'"), ("&middot;", "'·'"), ("&amp;", "'&'")):
     _HTML = f"replace({_HTML}, '{_entity}', {_char})"
 
 

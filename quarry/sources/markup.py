@@ -12,6 +12,7 @@ import re
 from dataclasses import dataclass, field
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quarry.sources.outline import Outline
@@ -234,7 +235,8 @@ class _Markdown:
                     j += 1
                 self.read(own, "list_item", False)
                 i = j
-            elif "|" in line and i + 1 < len(lines) and _DELIMITER.match(lines[i + 1]) and not held and len(_cells(line)) == len(_cells(lines[i + 1])):
+            elif "|" in line and i + 1 < len(lines) and _DELIMITER.match(lines[i + 1]) and len(_cells(line)) == len(_cells(lines[i + 1])):
+                close()
                 j = i + 2
                 while j < len(lines) and lines[j].strip() and "|" in lines[j]:
                     j += 1
@@ -318,9 +320,7 @@ def parse(data: bytes, kind: str) -> Parsed:
     return (parse_markdown if kind == "md" else parse_plain)(decode_utf8(data))
 
 
-@F.pandas_udf(PARSED_SCHEMA)
-def parsed(content: pd.Series, kind: pd.Series) -> pd.DataFrame:
-    """Blocks of binary documents; what cannot be read has ``error``."""
+def _parsed(content: pd.Series, kind: pd.Series) -> pd.DataFrame:
     rows = []
     for data, k in zip(content, kind):
         try:
@@ -329,3 +329,8 @@ def parsed(content: pd.Series, kind: pd.Series) -> pd.DataFrame:
         except ParseError as bad:
             rows.append((None, [], [], [], str(bad)))
     return pd.DataFrame(rows, columns=["title", "blocks", "warnings", "pages", "error"])
+
+
+def parsed(content: str | Column, kind: str | Column) -> Column:
+    """Blocks of binary documents; what cannot be read has ``error``."""
+    return F.pandas_udf(_parsed, PARSED_SCHEMA)(content, kind)
