@@ -73,9 +73,11 @@ def line_dedup(
     """All rows and columns of ``docs`` with the text that stays, ``n_lines`` and ``n_removed_lines``
     (those two under names with underscores before them where they clash)."""
     names = docs.columns
-    key = "_line_dedup_id"
-    own = docs.withColumn(key, F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_LAST)))
-    slim = own.select(key, F.col(f"`{text_col}`").alias("_text"))
+    key = "_id"
+    # the other columns travel as one struct, so no name of theirs can clash
+    others = [F.col(f"`{c}`") for c in names if c != text_col]
+    own = docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_LAST)).alias(key), F.col(f"`{text_col}`").alias("_text"), F.struct(*others).alias("_row"))
+    slim = own.select(key, "_text")
     several = F.filter("_chunks", lambda c: c["size"] >= least_lines)
     occurring = with_chunks(slim, "_text", window, divisor).select(key, F.explode(several).alias("c")).select(key, "c.h1", "c.h2")
     repeated = occurring.groupBy("h1", "h2").agg(F.min(key).alias("first"), F.count("*").alias("times")).filter("times > 1").drop("times")
@@ -92,7 +94,7 @@ def line_dedup(
     )
     spared = occurring.join(collided, ["h1", "h2"]).groupBy(key).agg(F.collect_set(F.struct("h1", "h2")).alias("_spared"))
 
-    whole = with_chunks(own.join(listed, key, "left").join(spared, key, "left"), text_col, window, divisor)
+    whole = with_chunks(own.join(listed, key, "left").join(spared, key, "left"), "_text", window, divisor)
     at_first = lambda c: F.element_at(F.filter("_chunks", lambda o: (o["h1"] == c["h1"]) & (o["h2"] == c["h2"])), 1)["at"]
     earlier = lambda c: F.exists(
         "_repeated", lambda r: (r["h1"] == c["h1"]) & (r["h2"] == c["h2"]) & ((r["first"] < F.col(key)) | (at_first(c) < c["at"]))
@@ -102,14 +104,13 @@ def line_dedup(
     stays = F.when(F.col("_repeated").isNull(), F.col("_chunks")).otherwise(F.filter("_chunks", lambda c: ~gone(c)))
     kept = F.flatten(F.transform("_stays", lambda c: F.slice("_lines", c["at"], c["size"])))
     lines_out, removed_out = (f"_{c}" if c in names else c for c in ("n_lines", "n_removed_lines"))
-    n = F.when(F.col(f"`{text_col}`").isNull(), 0).otherwise(F.size("_lines")).cast("long")
-    done = (
-        whole.withColumn("_stays", stays).withColumn("_kept", kept)
-        .withColumn(lines_out, n)
-        .withColumn(removed_out, F.when(F.col(f"`{text_col}`").isNull(), 0).otherwise(F.size("_lines") - F.size("_kept")).cast("long"))
-        .withColumn(text_col, F.when(F.col(f"`{text_col}`").isNotNull(), F.array_join("_kept", "\n")))
-    )
-    return done.select(*(F.col(f"`{c}`") for c in names), lines_out, removed_out)
+    empty = F.col("_text").isNull()
+    done = whole.withColumn("_stays", stays).withColumn("_kept", kept)
+    return done.select(
+        *(F.when(~empty, F.array_join("_kept", "\n")).alias(c) if c == text_col else F.col(f"_row.`{c}`") for c in names),
+        F.when(empty, 0).otherwise(F.size("_lines")).cast("long").alias(lines_out),
+        F.when(empty, 0).otherwise(F.size("_lines") - F.size("_kept")).cast("long").alias(removed_out),
+    )
 
 
 ORACLE = """

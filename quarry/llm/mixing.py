@@ -111,7 +111,10 @@ def mix_sources(
     """All rows and columns of ``docs`` with ``_topic``, ``_tokens``, ``_weight``, ``_probability`` and ``_selected``."""
     name = lambda c: F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("∅"))
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    own = docs.withColumns({"_source": name(source_col), "_lang": name(lang_col), "_topic": topic_of(text), "_tokens": token_count(text)})
+    # the input's columns travel as one struct, so no name of theirs can clash
+    own = docs.select(
+        F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), name(source_col).alias("_source"), name(lang_col).alias("_lang"), topic_of(text).alias("_topic"), token_count(text).alias("_tokens")
+    )
     cells = settle(own.groupBy(F.col("_source").alias("source"), F.col("_lang").alias("lang"), F.col("_topic").alias("topic")).agg(F.sum("_tokens").alias("tokens")))
     counted = cells.filter("tokens > 0")
     weighed = calibrate(rake(counted, temper, rounds, targets or {}), keep, steps)
@@ -121,8 +124,8 @@ def mix_sources(
         table = F.broadcast(table)
     return (
         own.join(table, ["_source", "_lang", "_topic"])
-        .withColumn("_selected", unit_hash(F.col(f"`{id_col}`")) < F.col("_probability"))
-        .select(*(F.col(f"`{c}`") for c in docs.columns), "_topic", "_tokens", "_weight", "_probability", "_selected")
+        .withColumn("_selected", unit_hash(F.col(f"_row.`{id_col}`")) < F.col("_probability"))
+        .select(*(F.col(f"_row.`{c}`") for c in docs.columns), *(F.col(c).alias(f"_{c}" if c in docs.columns else c) for c in ("_topic", "_tokens", "_weight", "_probability", "_selected")))
     )
 
 
