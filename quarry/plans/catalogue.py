@@ -213,18 +213,15 @@ final AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY tier, fused_ran
 )
 
 
-def _asked(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    """Documents with embeddings of the same id as chunks; every twentieth is asked for."""
+def _lists(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Documents with embeddings of the same id as chunks; every twentieth is asked
+    for. The index needs no embeddings and the vectors no texts, so neither is joined in."""
     docs = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
     vecs = _t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
-    asked = docs.join(vecs.filter("chunk_id % 20 = 0"), "chunk_id")
-    return docs.join(vecs, "chunk_id", "left"), asked.select(F.col("chunk_id").alias("qid"), F.col("text").alias("query"), "embedding")
-
-
-def _lists(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    chunks, asked = _asked(spark, sf_dir)
-    lex = lexical.bm25(*lexical.build_index(chunks), asked, lexical.LexicalQuery(), 50)
-    return lex, dense.knn(chunks.filter(F.col("embedding").isNotNull()), asked, 50, "chunk_id")
+    known = vecs.join(docs.select("chunk_id"), "chunk_id", "left_semi")
+    asked = docs.filter("chunk_id % 20 = 0").join(vecs.select("chunk_id"), "chunk_id", "left_semi").select(F.col("chunk_id").alias("qid"), F.col("text").alias("query"))
+    lex = lexical.bm25(*lexical.build_index(docs), asked, lexical.LexicalQuery(), 50)
+    return lex, dense.knn(known, known.filter("chunk_id % 20 = 0").select(F.col("chunk_id").alias("qid"), "embedding"), 50, "chunk_id")
 
 
 @_query(_HYBRID + "SELECT qid, chunk_id, lexical_rank, dense_rank, score, fused_rank FROM numbered")
