@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm import hashing
 from quarry.llm.common import keyed_text, settle
 
 PIECES = "doc_id long, row long, piece int, start long, length long, ids_crc32 long"
@@ -32,34 +33,25 @@ _PIECES = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("piece", pa.i
 _IDS = pa.list_(pa.int32())
 
 
-class _Words(dict):
-    """The ids of each word met, as little-endian unsigned 32-bit numbers."""
-
-    def __init__(self, model) -> None:
-        self._encode = model.encode
-
-    def __missing__(self, word: str) -> bytes:
-        ids = self[word] = array("I", self._encode(word, None, False, False).ids).tobytes()
-        return ids
-
-
 class WordTokens:
-    """Ids of a text through a table of its words.
+    """Ids of texts through a table of their words, in numpy.
 
     White space separates tokens for good in this vocabulary (it is dropped, and
     normalization does not reach across it), so a text's ids are its words' ids
-    in turn. The table outlives a task in its Python worker and is emptied when
+    in turn. Words are known by a 64-bit hash and their length; a word takes some
+    40 bytes. The table outlives a task in its Python worker and is emptied when
     it holds ``limit`` words."""
 
     _of: dict[str, "WordTokens"] = {}
 
-    def __init__(self, path: str, limit: int = 1_600_000) -> None:
+    def __init__(self, path: str, limit: int = 2_400_000) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        model = Tokenizer.from_file(path)
-        model.encode_special_tokens = True
-        self._limit, self._known = limit, _Words(model)
+        self._model = Tokenizer.from_file(path)
+        self._model.encode_special_tokens = True
+        self._limit = limit
+        self._clear()
 
     @classmethod
     def of(cls, path: str) -> "WordTokens":
@@ -67,14 +59,81 @@ class WordTokens:
             cls._of[path] = cls(path)
         return cls._of[path]
 
-    def encode(self, text: str) -> bytes:
-        """Token ids of a text, as little-endian unsigned 32-bit numbers."""
-        known = self._known
-        if len(known) > self._limit:
-            known.clear()
-        # str.split() also parts at four control characters that are no white space to the model
-        odd = "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text
-        return known[text] if odd else b"".join(map(known.__getitem__, text.split()))
+    def _clear(self) -> None:
+        self._count = self._used = 0
+        #: open addressing: the hash in each slot (0: free), and which word it is
+        self._keys, self._word = np.zeros(1 << 16, np.uint64), np.zeros(1 << 16, np.int32)
+        #: by word: where its ids begin in the pool, and how many they are
+        self._first, self._size, self._pool = np.zeros(1 << 15, np.int64), np.zeros(1 << 15, np.int32), np.zeros(1 << 17, np.uint32)
+
+    def _find(self, hashes: np.ndarray) -> np.ndarray:
+        """The word of each hash, -1 if not known."""
+        mask = np.uint64(len(self._keys) - 1)
+        out = np.full(len(hashes), -1, np.int32)
+        left, slot, wanted = np.arange(len(hashes)), (hashes & mask).astype(np.int64), hashes
+        while len(left):
+            there = self._keys[slot]
+            hit = there == wanted
+            out[left[hit]] = self._word[slot[hit]]
+            on = ~hit & (there != 0)
+            left, wanted, slot = left[on], wanted[on], (slot[on] + 1) & int(mask)
+        return out
+
+    def _place(self, hashes: np.ndarray, word: np.ndarray) -> None:
+        """Puts distinct new hashes into free slots; of several that want one, one gets it at a time."""
+        mask = len(self._keys) - 1
+        slot = (hashes & np.uint64(mask)).astype(np.int64)
+        while len(hashes):
+            free = self._keys[slot] == 0
+            self._keys[slot[free]] = hashes[free]
+            won = self._keys[slot] == hashes
+            self._word[slot[won]] = word[won]
+            hashes, word, slot = hashes[~won], word[~won], (slot[~won] + 1) & mask
+
+    def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
+        ids, size = array("I"), np.empty(len(words), np.int32)
+        for lo in range(0, len(words), 2048):
+            for k, coded in enumerate(self._model.encode_batch(words[lo : lo + 2048], add_special_tokens=False), lo):
+                got = coded.ids
+                size[k] = len(got)
+                ids.extend(got)
+        n, end = self._count + len(words), self._used + len(ids)
+        while 5 * n > 3 * len(self._keys):
+            known = self._keys != 0
+            keys, word = self._keys[known], self._word[known]
+            self._keys, self._word = np.zeros(2 * len(self._keys), np.uint64), np.zeros(2 * len(self._word), np.int32)
+            self._place(keys, word)
+        if n > len(self._first):
+            self._first, self._size = np.resize(self._first, n + n // 2), np.resize(self._size, n + n // 2)
+        if end > len(self._pool):
+            self._pool = np.resize(self._pool, end + end // 2)
+        self._pool[self._used : end] = np.frombuffer(ids, np.uint32) if len(ids) else 0
+        self._first[self._count : n] = self._used + np.cumsum(size) - size
+        self._size[self._count : n] = size
+        self._place(hashes, np.arange(self._count, n, dtype=np.int32))
+        self._count, self._used = n, end
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """Token ids of each text, as little-endian unsigned 32-bit numbers."""
+        if self._count > self._limit:
+            self._clear()
+        raw, at = hashing.text_buffer(texts)
+        starts, ends, first = hashing.word_spans(raw, at)
+        hashes = hashing.mix(hashing.span_hashes(raw, starts, ends) ^ (ends - starts).astype(np.uint64))
+        hashes[hashes == 0] = 1
+        words = self._find(hashes)
+        unknown = np.flatnonzero(words < 0)
+        if len(unknown):
+            new, which = np.unique(hashes[unknown], return_index=True)
+            where = unknown[which]
+            data = raw.tobytes()
+            self._learn(new, [data[a:b].decode() for a, b in zip(starts[where].tolist(), ends[where].tolist())])
+            words[unknown] = self._find(hashes[unknown])
+        n = self._size[words]
+        before = np.concatenate(([0], np.cumsum(n, dtype=np.int64)))
+        ids = self._pool[np.repeat(self._first[words] - before[:-1], n) + np.arange(before[-1])].tobytes()
+        cut = (4 * before[first]).tolist()
+        return [ids[a:b] for a, b in zip(cut, cut[1:])]
 
 
 def token_pieces(keyed: DataFrame, tokenizer_path: str, capacity: int, end_id: int, with_ids: bool = False) -> DataFrame:
@@ -87,8 +146,8 @@ def token_pieces(keyed: DataFrame, tokenizer_path: str, capacity: int, end_id: i
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
                 columns: list[list] = [[], [], [], [], [], [], []]
-                for doc, text, row in zip(*(c.to_pylist() for c in part.columns)):
-                    ids = coder.encode(text) + end
+                for doc, row, ids in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), coder.encode(part.column(1))):
+                    ids += end
                     for piece, start in enumerate(range(0, len(ids), 4 * capacity)):
                         cut = ids[start : start + 4 * capacity]
                         values = (doc, row, piece, start // 4, len(cut) // 4, zlib.crc32(cut), cut)
