@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -25,7 +26,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
             spark.sparkContext.setCheckpointDir(known)
         return known
     if spark.sparkContext.getCheckpointDir() is None:
-        if not conf.get("spark.master", "").startswith("local["):
+        if not re.fullmatch(r"local(\[[^\]]*\])?", conf.get("spark.master", "")):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         made = tempfile.mkdtemp(prefix="quarry-checkpoint-")
         atexit.register(shutil.rmtree, made, True)
