@@ -103,3 +103,17 @@ def answer_metrics(outcomes: DataFrame, by: list[str] | None = None) -> DataFram
 def split_leaks(items: DataFrame, key: str, split: str = "split") -> DataFrame:
     """Keys that occur in more than one split."""
     return items.groupBy(key).agg(F.countDistinct(split).alias("splits")).filter("splits > 1")
+
+
+def bench_gate(runs: DataFrame, least_speed_up: float = 5.0, most_recall_change: float = 0.02) -> DataFrame:
+    """One row per tier of (tier, device, warm, ms, found, wanted, recall): medians of warm runs
+    by device, the speed-up, and whether it passes: fast enough, no fewer facts than
+    the CPU found (less one at most than were wanted there), recall hardly changed."""
+    by = runs.groupBy("tier", "device").agg(
+        F.median(F.when(F.col("warm"), F.col("ms"))).alias("ms"), F.max("found").alias("found"), F.max("wanted").alias("wanted"), F.max("recall").alias("recall")
+    )
+    side = lambda d: by.filter(F.col("device") == d).select("tier", *(F.col(c).alias(f"{d}_{c}") for c in ("ms", "found", "wanted", "recall")))
+    both = side("cpu").join(side("gpu"), "tier").withColumn("speed_up", F.round(F.col("cpu_ms") / F.col("gpu_ms"), 3))
+    sound = (F.col("cpu_found") + 1 >= F.col("cpu_wanted")) & (F.col("gpu_found") >= F.col("cpu_found"))
+    near = F.abs(F.col("gpu_recall") - F.col("cpu_recall")) <= most_recall_change
+    return both.withColumn("passes", (F.col("speed_up") >= least_speed_up) & sound & near)
