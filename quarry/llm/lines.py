@@ -33,9 +33,23 @@ def line_hash(line: Column) -> Column:
     return F.conv(F.substring(F.md5(line.cast("binary")), 1, 7), 16, 10).cast("long")
 
 
+def _at(code: Column) -> Column:
+    return F.shiftright(code, 32).cast("int")
+
+
+def _size(code: Column) -> Column:
+    return code.bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")
+
+
+def _chunk(code: Column) -> Column:
+    """The bytes of a chunk of ``_lines``."""
+    return F.array_join(F.slice("_lines", _at(code), _size(code)), "\n")
+
+
 def with_chunks(df: DataFrame, text: str, window: int, divisor: int) -> DataFrame:
-    """``df`` with ``_lines`` of a text column and ``_chunks``: array<struct<at, size,
-    h1, h2>>, at counted from 1."""
+    """``df`` with ``_lines`` of a text column and ``_codes`` of its chunks: the first
+    line, counted from 1, in the upper half of a number and how many in the lower.
+    Numbers make sets of chunks fit for array functions that hash."""
     known = F.col("_hashes")
 
     def rolled(i: Column) -> Column:
@@ -46,19 +60,14 @@ def with_chunks(df: DataFrame, text: str, window: int, divisor: int) -> DataFram
 
     n = F.size("_lines")
     ends = F.filter(F.sequence(F.lit(1), n), lambda i: (i == n) | (rolled(i - 1) % divisor == 0))
-    spans = F.transform(
-        "_ends",
-        lambda e, k: F.struct((F.coalesce(F.get("_ends", k - 1), F.lit(0)) + 1).alias("at"), (e - F.coalesce(F.get("_ends", k - 1), F.lit(0))).alias("size")),
-    )
-    chunk = lambda s: F.array_join(F.slice("_lines", s["at"], s["size"]), "\n")
-    hashed = F.transform("_spans", lambda s: F.struct(s["at"].alias("at"), s["size"].alias("size"), F.xxhash64(chunk(s)).alias("h1"), F.xxhash64(F.lit(1), chunk(s)).alias("h2")))
+    before = lambda k: F.coalesce(F.get("_ends", k - 1), F.lit(0)).cast("long")
+    codes = F.transform("_ends", lambda e, k: F.shiftleft(before(k) + 1, 32) + (e - before(k)))
     return (
         df.withColumn("_lines", F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1))
         .withColumn("_hashes", F.transform("_lines", line_hash))
         .withColumn("_ends", ends)
-        .withColumn("_spans", spans)
-        .withColumn("_chunks", hashed)
-        .drop("_hashes", "_ends", "_spans")
+        .withColumn("_codes", codes)
+        .drop("_hashes", "_ends")
     )
 
 
@@ -73,39 +82,38 @@ def line_dedup(
     """All rows and columns of ``docs`` with the text that stays, ``n_lines`` and ``n_removed_lines``
     (those two under names with underscores before them where they clash)."""
     names = docs.columns
-    key = "_id"
+    key = ["_id", "_mark"]
     # the other columns travel as one struct, so no name of theirs can clash
     others = [F.col(f"`{c}`") for c in names if c != text_col]
-    own = docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_LAST)).alias(key), F.col(f"`{text_col}`").alias("_text"), F.struct(*others).alias("_row"))
-    slim = own.select(key, "_text")
-    several = F.filter("_chunks", lambda c: c["size"] >= least_lines)
-    occurring = with_chunks(slim, "_text", window, divisor).select(key, F.explode(several).alias("c")).select(key, "c.h1", "c.h2")
-    repeated = occurring.groupBy("h1", "h2").agg(F.min(key).alias("first"), F.count("*").alias("times")).filter("times > 1").drop("times")
-    listed = occurring.join(repeated, ["h1", "h2"]).groupBy(key).agg(F.collect_set(F.struct("h1", "h2", "first")).alias("_repeated"))
+    own = docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_LAST)).alias("_id"), F.col(f"`{text_col}`").alias("_text"), F.struct(*others).alias("_row"))
+    # rows that share an id and differ in text are told apart
+    own = own.withColumn("_mark", F.xxhash64("_text"))
+    slim = own.select(*key, "_text")
+    several = F.filter("_codes", lambda c: _size(c) >= least_lines)
+    hashed = F.transform(several, lambda c: F.struct(c.alias("code"), F.xxhash64(_chunk(c)).alias("h1"), F.xxhash64(F.lit(1), _chunk(c)).alias("h2")))
+    occurring = with_chunks(slim, "_text", window, divisor).select(*key, F.explode(hashed).alias("c")).select(*key, "c.*")
+    place = F.struct("_id", "code")
+    repeated = occurring.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("times")).filter("times > 1").drop("times")
+    met = occurring.join(repeated, ["h1", "h2"])
+    listed = met.groupBy(*key).agg(F.collect_set("code").alias("_listed"), F.collect_set(F.when(place != F.col("first"), F.col("code"))).alias("_gone"))
 
     # the bytes of repeated chunks, compared through the least and greatest of each key
-    found = with_chunks(slim.join(listed, key), "_text", window, divisor)
-    is_listed = lambda c: F.exists("_repeated", lambda r: (r["h1"] == c["h1"]) & (r["h2"] == c["h2"]))
-    held = F.filter("_chunks", lambda c: (c["size"] >= least_lines) & is_listed(c))
-    bytes_of = F.transform(held, lambda c: F.struct(c["h1"].alias("h1"), c["h2"].alias("h2"), F.array_join(F.slice("_lines", c["at"], c["size"]), "\n").alias("bytes")))
+    found = with_chunks(slim.join(listed.select(*key, "_listed"), key), "_text", window, divisor)
+    held = found.select(F.explode(F.transform("_listed", _chunk)).alias("bytes"))
     collided = (
-        found.select(F.explode(bytes_of).alias("b")).groupBy("b.h1", "b.h2")
-        .agg(F.min("b.bytes").alias("lo"), F.max("b.bytes").alias("hi")).filter("lo != hi").select("h1", "h2")
+        held.groupBy(F.xxhash64("bytes").alias("h1"), F.xxhash64(F.lit(1), "bytes").alias("h2"))
+        .agg(F.min("bytes").alias("lo"), F.max("bytes").alias("hi")).filter("lo != hi").select("h1", "h2")
     )
-    spared = occurring.join(collided, ["h1", "h2"]).groupBy(key).agg(F.collect_set(F.struct("h1", "h2")).alias("_spared"))
+    spared = occurring.join(collided, ["h1", "h2"]).groupBy(*key).agg(F.collect_set("code").alias("_spared"))
 
-    whole = with_chunks(own.join(listed, key, "left").join(spared, key, "left"), "_text", window, divisor)
-    at_first = lambda c: F.element_at(F.filter("_chunks", lambda o: (o["h1"] == c["h1"]) & (o["h2"] == c["h2"])), 1)["at"]
-    earlier = lambda c: F.exists(
-        "_repeated", lambda r: (r["h1"] == c["h1"]) & (r["h2"] == c["h2"]) & ((r["first"] < F.col(key)) | (at_first(c) < c["at"]))
-    )
-    spare = lambda c: F.exists(F.coalesce(F.col("_spared"), F.array().cast("array<struct<h1:bigint,h2:bigint>>")), lambda r: (r["h1"] == c["h1"]) & (r["h2"] == c["h2"]))
-    gone = lambda c: (c["size"] >= least_lines) & earlier(c) & ~spare(c)
-    stays = F.when(F.col("_repeated").isNull(), F.col("_chunks")).otherwise(F.filter("_chunks", lambda c: ~gone(c)))
-    kept = F.flatten(F.transform("_stays", lambda c: F.slice("_lines", c["at"], c["size"])))
     lines_out, removed_out = (f"_{c}" if c in names else c for c in ("n_lines", "n_removed_lines"))
+    # a null text has a null mark, meets no list and stays as it is
+    whole = with_chunks(own.join(listed.select(*key, "_gone"), key, "left").join(spared, key, "left"), "_text", window, divisor)
+    none = F.array().cast("array<bigint>")
+    gone = F.array_except(F.coalesce("_gone", none), F.coalesce("_spared", none))
+    stays = F.when(F.col("_gone").isNull(), F.col("_codes")).otherwise(F.array_except("_codes", gone))
     empty = F.col("_text").isNull()
-    done = whole.withColumn("_stays", stays).withColumn("_kept", kept)
+    done = whole.withColumn("_stays", stays).withColumn("_kept", F.flatten(F.transform("_stays", lambda c: F.slice("_lines", _at(c), _size(c)))))
     return done.select(
         *(F.when(~empty, F.array_join("_kept", "\n")).alias(c) if c == text_col else F.col(f"_row.`{c}`") for c in names),
         F.when(empty, 0).otherwise(F.size("_lines")).cast("long").alias(lines_out),
