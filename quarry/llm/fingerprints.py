@@ -10,8 +10,7 @@ DataFrame functions only. Words: maximal runs without ASCII white space, in
 lower case; with fewer words than a shingle, all of them form one.
 
 Defined results: a null text is an empty one, whose sketch is empty; two empty
-sketches are alike (1.0), an empty and another are not (0.0); a null id comes
-before all others in descending order's end, that is, last; where ids repeat,
+sketches are alike (1.0), an empty and another are not (0.0); a null id counts as the smallest of all; where ids repeat,
 each row is fingerprinted and the one with the smallest text is the "next"
 document; a single document is its own next; an empty table gives no rows; other
 columns are ignored.

@@ -14,7 +14,7 @@ documents. Keys whose bytes differ (a collision) remove nothing.
 
 Defined results: a null text stays null and has no lines; an empty text is one
 empty line; single-line chunks stay; a null id is larger than all others; rows
-that repeat an id count as one document each holding its first occurrence; an
+that repeat an id and text keep the same first occurrence; an
 empty table gives no rows; all columns of the input are kept.
 """
 
