@@ -280,7 +280,7 @@ def jaccard_join(
     width: int = 5,
     num: int = 3,
     den: int = 4,
-    group_bytes: int = 3 << 20,
+    group_bytes: int = 2 << 20,
     bucket_hashes: int = 400_000,
 ) -> DataFrame:
     """One row per document: n_shingles, component_id (the smallest doc_id reachable

@@ -44,7 +44,7 @@ class WordTokens:
 
     _of: dict[str, "WordTokens"] = {}
 
-    def __init__(self, path: str, limit: int = 2_400_000) -> None:
+    def __init__(self, path: str, limit: int = 1_200_000) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import hashing
-from quarry.llm.common import keyed_text
+from quarry.llm.common import keyed_text, small_batches
 
 _KIND = np.full(256, 2, np.uint8)
 _KIND[[9, 10, 11, 12, 13, 32]] = 0
@@ -200,6 +200,7 @@ def score(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col
 
 def keep_good(docs: DataFrame, model: QualityModel, text_col: str = "text", least: float = 0.5) -> DataFrame:
     """The rows of ``docs``, all columns, that score ``least`` or more."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 

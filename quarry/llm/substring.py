@@ -88,7 +88,7 @@ def substring_dedup(
     id_col: str = "doc_id",
     text_col: str = "text",
     width: int = 20,
-    group_bytes: int = 3 << 20,
+    group_bytes: int = 2 << 20,
     bucket_windows: int = 400_000,
 ) -> DataFrame:
     """One row per document: its words, how many go, the text of those that stay
