@@ -41,7 +41,7 @@ def remove_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The smallest doc_id of each component of near copies; documents without an id stay."""
-    copies = settle(jaccard_join(docs).filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct())
+    copies = settle(jaccard_join(docs, count_links=False).filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct())
     if copies.count() <= BROADCAST_IDS:
         copies = F.broadcast(copies)
     return docs.join(copies, "doc_id", "left_anti").select(COLUMNS)

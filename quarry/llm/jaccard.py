@@ -20,6 +20,10 @@
    component is compared, until no two sets of different components that share a
    key are left uncompared: no link between components can be missed.
    A pair is compared by its exact intersection of 64-bit shingle hashes.
+5. All links lie within components, so each set's links are counted there: the
+   sets of a component are dealt by a hash to blocks, and each pair of blocks is
+   one group, where products of 0/1 matrices give all intersections. No pair
+   becomes a row; the work grows with the square of a component's different sets.
 
 Words: maximal runs without ASCII white space, with A-Z in lower case.
 
@@ -40,7 +44,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.llm import hashing
-from quarry.llm.common import grouped_text, keyed_text, settle, text_bytes
+from quarry.llm.common import grouped_text, keyed_text, settle, shuffle_partitions, text_bytes
 from quarry.llm.components import components
 
 _LAST = np.iinfo(np.int64).max
@@ -273,6 +277,68 @@ def _links(reps: DataFrame, entries: DataFrame, num: int, den: int) -> DataFrame
             state = state.drop("comp").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node")).select(*cols)
 
 
+def _links_within(n: np.ndarray, weight: np.ndarray, values: np.ndarray, at: np.ndarray, left: np.ndarray, right: np.ndarray | None, num: int, den: int, slab: int = 4096) -> np.ndarray:
+    """For each set (its shared shingles ``values[at[i]:at[i + 1]]``) the weight of the sets
+    linked with it: over all pairs of sets, or of ``left`` with ``right`` ones if given."""
+    known, col, times = np.unique(values, return_inverse=True, return_counts=True)
+    row = hashing.owners(np.diff(at))
+    # a shingle of one set alone is in no intersection
+    several = times > 1
+    row, col = row[several[col]], (np.cumsum(several) - 1)[col[several[col]]]
+    order = np.argsort(col, kind="stable")
+    row, col = row[order], col[order]
+    other = left if right is None else right
+    same = np.zeros((len(left), len(other)), np.int64)
+    for lo in range(0, int(several.sum()), slab):
+        i, j = np.searchsorted(col, (lo, lo + slab))
+        held = np.zeros((len(n), min(slab, int(several.sum()) - lo)), np.float32)
+        held[row[i:j], col[i:j] - lo] = 1
+        same += (held[left] @ held[other].T).astype(np.int64)
+    linked = (num + den) * same >= num * (n[left][:, None] + n[other][None, :])
+    out = np.zeros(len(n), np.int64)
+    if right is None:
+        np.fill_diagonal(linked, False)
+    else:
+        out[right] = weight[left] @ linked
+    out[left] = linked @ weight[other]
+    return out
+
+
+def _link_counts(reps: DataFrame, classes: DataFrame, labels: DataFrame | None, num: int, den: int, block_sets: int, block_shingles: int) -> DataFrame:
+    """(sig, links): for each class in a component with others, the documents of
+    the classes linked with it."""
+    # different sets under one id are one node, and may be linked with each other
+    alike = reps.groupBy("node").count().filter("count > 1").select("node", F.col("node").alias("comp"))
+    inside = alike if labels is None else labels.select("node", "comp").unionByName(alike.join(labels, "node", "left_anti"))
+    members = reps.join(inside, "node")
+    sizes = settle(members.groupBy("comp").agg(F.count("*").alias("sets"), F.sum("n").alias("shingles")))
+    # a component of several blocks has so many sets or shingles that there are few of them
+    wide = sizes.select("comp", F.greatest(F.ceil(F.col("sets") / block_sets), F.ceil(F.col("shingles") / block_shingles)).cast("int").alias("blocks")).filter("blocks > 1")
+    groups = max(shuffle_partitions(reps.sparkSession), int(sizes.agg(F.sum("shingles").alias("s")).first()["s"] or 0) // block_shingles)
+    placed = members.join(F.broadcast(wide), "comp", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int"))
+    weighed = placed.join(classes.select("sig", "class_size"), "sig")
+    dealt = weighed.withColumn("met", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("comp"), F.lit(groups))).otherwise(F.xxhash64("comp")).alias("grp"),
+        F.least("block", "met").alias("lo"), F.greatest("block", "met").alias("hi"), "block", "comp", "sig", "n", "class_size", "toks",
+    )
+
+    def count(key, table):
+        table = table.sort_by("comp").combine_chunks()
+        comp, n, weight, block = (hashing.column(table, c).to_numpy(zero_copy_only=False) for c in ("comp", "n", "class_size", "block"))
+        toks = hashing.column(table, "toks")
+        at, values = np.array(toks.offsets, np.int64), np.array(toks.values, np.int64)
+        cut = np.concatenate(([0], np.flatnonzero(np.diff(comp)) + 1, [len(comp)]))
+        links = np.zeros(len(comp), np.int64)
+        for a, b in zip(cut[:-1], cut[1:]):
+            left, right = np.arange(b - a), None
+            if key[1].as_py() != key[2].as_py():
+                left, right = np.flatnonzero(block[a:b] == key[1].as_py()), np.flatnonzero(block[a:b] == key[2].as_py())
+            links[a:b] = _links_within(n[a:b], weight[a:b], values[at[a] : at[b]], at[a : b + 1] - at[a], left, right, num, den)
+        return pa.table([hashing.column(table, "sig"), pa.array(links, pa.int64())], names=["sig", "links"])
+
+    return dealt.groupBy("grp", "lo", "hi").applyInArrow(count, "sig binary, links long").groupBy("sig").agg(F.sum("links").alias("links"))
+
+
 def jaccard_join(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -282,10 +348,14 @@ def jaccard_join(
     den: int = 4,
     group_bytes: int = 2 << 20,
     bucket_hashes: int = 400_000,
+    count_links: bool = True,
+    block_sets: int = 512,
+    block_shingles: int = 500_000,
 ) -> DataFrame:
     """One row per document: n_shingles, component_id (the smallest doc_id reachable
     over links of Jaccard similarity >= num/den), class_id (the smallest doc_id
-    with an equal set) and class_size."""
+    with an equal set), class_size and, if ``count_links``, n_links (how many other
+    rows are linked with it, equal sets among them)."""
     keyed = keyed_text(docs, id_col, text_col).withColumn("doc_id", F.coalesce("doc_id", F.lit(_LAST)))
     sets = settle(_shingle_sets(keyed, width, num, den, group_bytes, bucket_hashes))
     known = sets.filter(F.col("sig").isNotNull())
@@ -295,7 +365,7 @@ def jaccard_join(
     reps = settle(
         known.join(classes.select("sig", F.col("node").alias("doc_id")), ["sig", "doc_id"])
         .withColumn("k", F.row_number().over(of_class)).filter("k = 1")
-        .select(F.col("doc_id").alias("node"), "n", "toks", "freq")
+        .select(F.col("doc_id").alias("node"), "sig", "n", "toks", "freq")
     )
     small = boundary([(r["top"], r["subsets"], r["scans"]) for r in _costs(reps, num, den).collect()])
     labels = _links(reps, _entries(reps, small, num, den), num, den)
@@ -303,9 +373,13 @@ def jaccard_join(
         placed = classes.withColumn("comp", F.col("node"))
     else:
         placed = classes.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    grouped = known.select("doc_id", "n", "sig").join(placed, "sig").select("doc_id", "n", "comp", F.col("node").alias("class"), "class_size")
-    alone = sets.filter(F.col("sig").isNull()).select("doc_id", "n", F.col("doc_id").alias("comp"), F.col("doc_id").alias("class"), F.lit(1).cast("long").alias("class_size"))
+    linked = F.lit(0).cast("long")
+    if count_links:
+        placed = placed.join(_link_counts(reps, classes, labels, num, den, block_sets, block_shingles), "sig", "left")
+        linked = F.col("class_size") - 1 + F.coalesce("links", F.lit(0))
+    grouped = known.select("doc_id", "n", "sig").join(placed, "sig").select("doc_id", "n", "comp", F.col("node").alias("class"), "class_size", linked.alias("n_links"))
+    alone = sets.filter(F.col("sig").isNull()).select("doc_id", "n", F.col("doc_id").alias("comp"), F.col("doc_id").alias("class"), F.lit(1).cast("long").alias("class_size"), F.lit(0).cast("long").alias("n_links"))
     known_id = lambda c: F.when(F.col(c) != _LAST, F.col(c))
     return grouped.unionByName(alone).select(
-        known_id("doc_id").alias("doc_id"), F.col("n").alias("n_shingles"), known_id("comp").alias("component_id"), known_id("class").alias("class_id"), "class_size"
+        known_id("doc_id").alias("doc_id"), F.col("n").alias("n_shingles"), known_id("comp").alias("component_id"), known_id("class").alias("class_id"), "class_size", *["n_links"] * count_links
     )

@@ -115,6 +115,42 @@ def test_jaccard_query(spark):
     assert got == {k: (n, c) for k, n, c in brute_components(texts_of(spark))}
 
 
+def brute_links(rows, width=5):
+    """For each row how many others it is linked with, where every pair of rows is compared."""
+    sets = []
+    for _, text in rows:
+        w = words(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+        sets.append({tuple(w[i : i + width]) for i in range(len(w) - width + 1)} if len(w) >= width else {tuple(w)} if w else set())
+    linked = lambda a, b: bool(a & b) and 4 * len(a & b) >= 3 * len(a | b)
+    return sorted(((k, len(s), sum(linked(s, o) for j, o in enumerate(sets) if j != i)) for i, ((k, _), s) in enumerate(zip(rows, sets))), key=repr)
+
+
+def links_of(df):
+    return sorted(((r["doc_id"], r["n_shingles"], r["n_links"]) for r in df.collect()), key=repr)
+
+
+@pytest.mark.parametrize("how", [{}, {"block_sets": 7}, {"block_sets": 5, "block_shingles": 300}])
+def test_jaccard_links(make, odd_rows, how):
+    rng = random.Random(9)
+    base = [f"b{i}" for i in range(60)]
+    rows = near_copies(4, groups=6)
+    for k in range(1000, 1060):
+        own = list(base)
+        for _ in range(rng.randrange(4)):
+            own[rng.randrange(60)] = f"n{rng.randrange(99)}"
+        rows.append((k, " ".join(own)))
+    # one id with two near copies that have no other partner
+    rows += [(2000, " ".join(f"t{i}" for i in range(50))), (2000, " ".join(f"t{i}" for i in range(51)))]
+    for given_rows in (rows, [r[:2] for r in odd_rows]):
+        found = brute_links(given_rows)
+        assert links_of(jaccard_join(make(*given_rows), group_bytes=2000, bucket_hashes=300, **how)) == found and any(r[2] > 1 for r in found)
+    assert "n_links" not in jaccard_join(make(*rows[:9]), count_links=False).columns
+
+
+def test_jaccard_links_of_the_query(spark):
+    assert links_of(QUERIES["op1_jaccard_join"](spark, SF)) == brute_links(texts_of(spark))
+
+
 def test_boundary_and_components(spark):
     assert boundary([(2, 1, 5), (4, 2, 5), (8, 50, 6)]) == 4 and boundary([(2, 9, 1)]) == 0 and boundary([]) == 0
     links = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(60, 90)] + [(7, 7)]
