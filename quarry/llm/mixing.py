@@ -2,9 +2,12 @@
 
 Token counts by cell (source, language, topic) are raked: factors of each
 dimension's values are scaled in turn until the weighted tokens meet the target
-share of every value. The weights give keep probabilities, calibrated so that
-the expected tokens kept are a stated share, and each document is kept or not by
-a hash of its id against its cell's probability.
+share of every value. The weights give keep probabilities, and each document is
+kept or not by a hash of its id against its cell's probability. The probabilities
+are calibrated so that the expected tokens kept are a stated share; where that
+clips many cells at 1, the sample stays between the observed shares and the
+targets. Without a stated share (``keep=None``) it is the largest that clips no
+cell, and the expected sample meets the targets as the weights do.
 
 DataFrame functions only. A pass over the documents makes the cells; each round
 works on cells alone, as a table that is settled now and then, and never on the
@@ -81,12 +84,12 @@ def rake(cells: DataFrame, temper: float, rounds: int, targets: Mapping[str, Map
     return state
 
 
-def calibrate(cells: DataFrame, keep: float, steps: int) -> DataFrame:
+def calibrate(cells: DataFrame, keep: float | None, steps: int) -> DataFrame:
     """``cells`` with ``probability`` = min(1, c * weight), c set so that ``keep`` of
     all tokens are expected to stay: cells that reach 1 count whole and c is set
-    anew for the others, ``steps`` times."""
-    scale = cells.agg(F.lit(keep).alias("c"))
-    for _ in range(steps):
+    anew for the others, ``steps`` times. Without ``keep``, c is 1 over the largest weight."""
+    scale = cells.agg((F.lit(1.0) / F.max("weight") if keep is None else F.lit(keep)).alias("c"))
+    for _ in range(0 if keep is None else steps):
         full = F.col("c") * F.col("weight") >= 1
         fixed = F.sum(F.when(full, F.col("tokens")).otherwise(0)).cast("double")
         free = F.sum(F.when(~full, F.col("tokens") * F.col("weight")).otherwise(0.0))
@@ -102,7 +105,7 @@ def mix_sources(
     source_col: str = "source",
     lang_col: str = "lang",
     temper: float = 0.7,
-    keep: float = 0.9,
+    keep: float | None = 0.9,
     rounds: int = 8,
     steps: int = 4,
     targets: Mapping[str, Mapping[str, float]] | None = None,

@@ -416,6 +416,26 @@ def test_rake_meets_its_targets(spark):
     assert sum(r["tokens"] * r["probability"] for r in kept) / sum(r["tokens"] for r in kept) == pytest.approx(0.9, abs=0.02) and all(0 <= r["probability"] <= 1 for r in kept)
 
 
+def test_sample_meets_its_targets(make):
+    rng = random.Random(8)
+    topics = ("a | b", "who?", "plain words here")
+    docs = [(k, rng.choices(topics, (1, 2, 5))[0], rng.choices("abc", (1, 3, 8))[0], rng.choices("xyz", (1, 2, 6))[0]) for k in range(4000)]
+    rows = [r.asDict() for r in mixing.mix_sources(make(*docs, extra=False), keep=None).collect()]
+    total = sum(r["_tokens"] for r in rows)
+    for dim in ("source", "lang", "_topic"):
+        seen, expected, selected = Counter(), Counter(), Counter()
+        for r in rows:
+            seen[r[dim]] += r["_tokens"]
+            expected[r[dim]] += r["_tokens"] * r["_probability"]
+            selected[r[dim]] += r["_tokens"] * r["_selected"]
+        goal = {k: (v / total) ** 0.7 for k, v in seen.items()}
+        for k, v in goal.items():
+            share = v / sum(goal.values())
+            assert expected[k] / sum(expected.values()) == pytest.approx(share, abs=1e-4)
+            assert selected[k] / sum(selected.values()) == pytest.approx(share, abs=0.03)
+    assert max(r["_probability"] for r in rows) == pytest.approx(1)
+
+
 def test_mixing_of_odd_rows(make, odd_rows):
     df = make(*odd_rows)
     for how in ({}, {"broadcast_cells": 0}, {"targets": {"lang": {"en": 1.0}}}):
