@@ -49,7 +49,6 @@ class WordTokens:
         from tokenizers import Tokenizer
 
         self._model = Tokenizer.from_file(path)
-        self._model.encode_special_tokens = True
         self._limit = limit
         self._clear()
 

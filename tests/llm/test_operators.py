@@ -527,6 +527,16 @@ def test_packing_query(spark):
     assert check_packed(rows, 2048) <= -(-sum(map(len, ids.values())) // 2048) + 2
 
 
+def test_packing_of_special_tokens(make):
+    from tokenizers import Tokenizer
+
+    model = Tokenizer.from_file(tokenizer_path())
+    texts = ["hello <|endoftext|> world", "a<|startoftext|>b", "<|endoftext|><|endoftext|>", "é<|endoftext|>\u00a0É 😀", "<|END|> <|endoftext | <|EndOfText|>", "it's<|endoftext|>'s"]
+    assert model.encode(texts[0], add_special_tokens=False).ids == [3306, 49407, 1002]
+    rows = packing.pack_documents(make(*enumerate(texts)), tokenizer_path(), with_ids=True).collect()
+    assert {r["doc_id"]: r["ids"] for r in rows} == {k: [*model.encode(t, add_special_tokens=False).ids, 0] for k, t in enumerate(texts)}
+
+
 def test_hierarchical_packing(spark):
     rng = random.Random(1)
     lengths = [rng.choice([rng.randrange(1, 40), rng.randrange(1, 100)]) for _ in range(3000)]
