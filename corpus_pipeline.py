@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import quality
-from quarry.llm.common import checkpoint_dir, documents, settle
+from quarry.llm.common import checkpoint_dir, documents, settle, settle_table
 from quarry.llm.jaccard import jaccard_join
 from quarry.llm.lines import line_dedup
 from quarry.llm.mixing import mix_sources
@@ -40,7 +40,15 @@ def remove_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest doc_id of each component of near copies; documents without an id stay."""
+    """One document of each component of near copies: that of the smallest doc_id, a null being
+    the largest. Where ids are repeated or null, rows are numbered and each is judged by its own
+    text: of rows that repeat an id and a text one stays, and different texts of one id are apart."""
+    if not docs.groupBy("doc_id").count().filter("doc_id IS NULL OR count > 1").isEmpty():
+        rows = settle_table(docs.select(COLUMNS).withColumn("_row", F.monotonically_increasing_id()))
+        parts = jaccard_join(rows, id_col="_row", count_links=False).select(F.col("doc_id").alias("_row"), "component_id")
+        first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("first")
+        kept = rows.select("_row", "doc_id").join(parts, "_row").groupBy("component_id").agg(first).select("first._row")
+        return rows.join(kept, "_row", "left_semi").select(COLUMNS)
     copies = settle(jaccard_join(docs, count_links=False).filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct())
     if copies.count() <= BROADCAST_IDS:
         copies = F.broadcast(copies)

@@ -32,6 +32,16 @@ def test_run(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0 and corpus_pipeline.ORACLE_SQL is None and len(corpus_pipeline.STAGES) == 5
 
 
+def test_near_copies_under_repeated_and_missing_ids(spark):
+    base = [f"w{i}" for i in range(80)]
+    near, other, third = " ".join(base), " ".join(f"o{i}" for i in range(40)), " ".join(f"t{i}" for i in range(40))
+    rows = [(1, near), (1, near), (2, near + " tail"), (2, other), (None, near), (None, third), (None, third), (4, ""), (4, None)]
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t or "")) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.drop_near_copies(spark, docs, SF)
+    assert got.columns == corpus_pipeline.COLUMNS
+    assert Counter((r["doc_id"], r["text"]) for r in got.collect()) == Counter([(1, near), (2, other), (None, third), (4, ""), (4, None)])
+
+
 def test_stages_on_an_empty_table(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
