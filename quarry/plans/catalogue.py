@@ -176,6 +176,11 @@ def knn_cosine_topk(spark, sf_dir):
     return _knn_rows(spark, sf_dir, "vec_id = 0", 50)
 
 
+@_query(_knn_sql("vec_id % 20 = 0", 50))
+def knn_batch_top50(spark, sf_dir):
+    return _knn_rows(spark, sf_dir, "vec_id % 20 = 0", 50)
+
+
 @_query(_knn_sql("vec_id % 20 = 0", 10))
 def knn_batch(spark, sf_dir):
     return _knn_rows(spark, sf_dir, "vec_id % 20 = 0", 10)

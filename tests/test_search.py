@@ -111,6 +111,12 @@ def test_query(spark, duck, name):
         assert got
 
 
+def test_top_50_of_every_asked_id(spark):
+    asked = spark.read.parquet(f"{SF}/embeddings.parquet").filter("vec_id % 20 = 0").count()
+    got = catalogue.QUERIES["knn_batch_top50"](spark, SF).groupBy("qid").count().collect()
+    assert len(got) == asked > 1 and all(r["count"] == 50 for r in got)
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0 and set(entry.oracle_sql()) <= set(entry.queries())
 
