@@ -25,13 +25,6 @@ def fold(text: str | Column) -> Column:
     return x
 
 
-def drop_invisible(text: str | Column) -> Column:
-    """Without characters that are ignored by default; private-use ones become spaces."""
-    ranges = ["AD", "34F", "61C", "115F-1160", "17B4-17B5", "180B-180F", "200B-200F", "202A-202E", "2060-206F", "3164", "FE00-FE0F", "FEFF", "FFA0", "FFF0-FFF8", "1BCA0-1BCA3", "1D173-1D17A", "E0000-E0FFF"]
-    ignorable = "[" + "".join("-".join(rf"\x{{{end}}}" for end in r.split("-")) for r in ranges) + "]"
-    return F.regexp_replace(F.regexp_replace(_c(text), ignorable, ""), r"\p{Co}", " ")
-
-
 def tokens(folded: str | Column) -> Column:
     """Terms of folded text in order, repeats included."""
     return F.regexp_extract_all(_c(folded), F.lit(TERM), F.lit(0))
