@@ -6,17 +6,19 @@ Scores are the margins through a logistic curve fitted on the training margins.
 
 Tokens are maximal runs of letters and digits (bytes above 127 count as letters)
 or of other marks; n-grams of one and two tokens, and three patterns of repeated
-tokens, are indicators in ``2**bits`` hashed columns. Training reads a sample of labelled rows whose size, ``max_rows``, is
-a documented bound on what reaches the driver (and is drawn by a hash of the
-id, so it does not follow file order); scoring is one pass of Arrow batches over
-all rows, whole texts, with the weights as a fixed-size broadcast.
+tokens, are indicators in ``2**bits`` hashed columns. Training reads a sample of at
+most ``max_rows`` labelled ids, drawn by a hash of the id, so it does not follow
+file order, each with one text. Their features are settled, and one task fits
+them; the driver sees the weights alone. Scoring is one pass of Arrow batches
+over all rows, whole texts, with the weights as a fixed-size broadcast.
 
 Labels are read from rows with crc32(id as text) mod 3 other than 1 alone; the
 rest are held out. Only the text enters a score.
 
 Defined results: a null or empty text has no n-grams and gets the curve's value
-at margin bias; a null id is held out; where labels repeat for an id the lowest
-counts; null labels are no labels; without labels of both classes every score is
+at margin bias, and is fitted as such if it is labelled; a null id is held out;
+where labels repeat for an id the lowest counts, and where documents do, the
+smallest text is fitted and every row is scored; null labels are no labels; without labels of both classes every score is
 that class's label (0.5 without any); an empty table gives no rows; other
 columns are ignored.
 """
@@ -31,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import hashing
-from quarry.llm.common import keyed_text, small_batches
+from quarry.llm.common import keyed_text, settle, small_batches
 
 _KIND = np.full(256, 2, np.uint8)
 _KIND[[9, 10, 11, 12, 13, 32]] = 0
@@ -168,7 +170,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         .groupBy("doc_id").agg(F.min("y").alias("y"))
     )
     drawn = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    sample = keyed_text(docs, id_col, text_col).join(F.broadcast(drawn), "doc_id").select("y", "text")
+    # rows that repeat an id count once: the bound is on rows, not on ids alone
+    sample = keyed_text(docs, id_col, text_col).join(F.broadcast(drawn), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text")).select("y", "text")
 
     def run(batches):
         for batch in batches:
@@ -179,10 +182,16 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 rows = [c.astype("<u4").tobytes() for c in np.split(columns, cut)]
                 yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int32()), pa.array(rows, pa.binary())], names=["y", "columns"])
 
-    got = sample.mapInArrow(run, "y int, columns binary").toArrow()
-    # rows come in no fixed order; the fit depends on it
-    rows = sorted(zip(got.column("columns").to_pylist(), got.column("y").to_pylist()))[: 2 * max_rows]
-    return fit([np.frombuffer(c, "<u4").astype(np.int64) for c, _ in rows], np.array([y for _, y in rows], np.int64), bits, **how)
+    def learn(batches):
+        # rows come in no fixed order; the fit depends on it
+        rows = sorted((c, y) for batch in batches for y, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+        model = fit([np.frombuffer(c, "<u4").astype(np.int64) for c, _ in rows], np.array([y for _, y in rows], np.int64), bits, **how)
+        curve = [model.bias, model.slope, model.shift]
+        yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in (model.ratio.tobytes(), model.weight.tobytes())] + [pa.array([x], pa.float64()) for x in curve], names=["ratio", "weight", "bias", "slope", "shift"])
+
+    found = settle(sample.mapInArrow(run, "y int, columns binary"))
+    one = found.coalesce(1).mapInArrow(learn, "ratio binary, weight binary, bias double, slope double, shift double").first()
+    return QualityModel(bits, np.frombuffer(one["ratio"], np.float32), np.frombuffer(one["weight"], np.float32), one["bias"], one["slope"], one["shift"])
 
 
 def score(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
