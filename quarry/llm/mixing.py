@@ -9,15 +9,19 @@ clips many cells at 1, the sample stays between the observed shares and the
 targets. Without a stated share (``keep=None``) it is the largest that clips no
 cell, and the expected sample meets the targets as the weights do.
 
-DataFrame functions only. A pass over the documents makes the cells; each round
-works on cells alone, as a table that is settled now and then, and never on the
-driver. Cells are broadcast to the documents if they are at most
-``broadcast_cells`` rows, and joined by shuffle beyond that.
+DataFrame functions only. A pass over the documents makes the cells. Up to
+``broadcast_cells`` cells, all rounds are one expression over one row of arrays:
+each dimension's values hold the positions of their cells, and a round is a fold
+over them. Beyond that the same rounds are joins and aggregations of a table of
+cells, settled after each round. Either way the driver sees no cell but their
+number. Cells are broadcast to the documents in the first case and joined by
+shuffle in the second.
 
 Defined results: a null source or language is a value of its own; a null or
 empty text has no tokens but its cell's probability; a null id is hashed as the
-text "null"; rows that repeat an id are kept or dropped together within a cell;
-an empty table gives no rows; the columns of the input are kept.
+text "null"; rows that repeat an id are kept or dropped together within a cell,
+and each by its own cell's probability in different ones; a null topic is a value
+of its own; an empty table gives no rows; the columns of the input are kept.
 """
 
 from __future__ import annotations
@@ -98,6 +102,60 @@ def calibrate(cells: DataFrame, keep: float | None, steps: int) -> DataFrame:
     return cells.join(F.broadcast(settle(scale)), F.lit(True)).withColumn("probability", F.least(F.lit(1.0), F.col("c") * F.col("weight"))).drop("c")
 
 
+def _let(name: str, value: str, body: str) -> str:
+    """SQL of ``body``, in which ``name`` is ``value``, computed once."""
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
+
+
+def _round_sql(weights: str, dims: tuple[str, ...] = DIMENSIONS) -> str:
+    """SQL of the weights after each of ``dims`` in turn has been scaled to its goals."""
+    if not dims:
+        return weights
+    dim, w, f = dims[0], f"w_{dims[0]}", f"f_{dims[0]}"
+    have = f"aggregate(v.cells, 0D, (s, i) -> s + get(held, i) * get({w}, i))"
+    factors = f"transform(by_{dim}, v -> {_let('h', have, 'if(h > 0, v.goal / h, 0D)')})"
+    scaled = _let(f, factors, f"transform({w}, (x, i) -> x * get({f}, get({dim}_of, i)) * everything)")
+    return _let(w, weights, _round_sql(scaled, dims[1:]))
+
+
+def _scale_sql(keep: float | None, steps: int) -> str:
+    """SQL of what weights are multiplied with: see ``calibrate``."""
+    if keep is None:
+        return "1D / array_max(weights)"
+    fixed = "s.fixed + if(c * get(weights, i) >= 1, get(held, i), 0D)"
+    free = "s.free + if(c * get(weights, i) >= 1, 0D, get(held, i) * get(weights, i))"
+    sums = f"aggregate(sequence(0, size(held) - 1), named_struct('fixed', 0D, 'free', 0D), (s, i) -> named_struct('fixed', {fixed}, 'free', {free}))"
+    anew = _let("t", sums, f"if(t.free > 0, greatest(({float(keep)!r}D * everything - t.fixed) / t.free, 0D), c)")
+    return f"aggregate(slice(sequence(0, {steps}), 2, {steps}), {float(keep)!r}D, (c, k) -> {anew})"
+
+
+def _raked_row(cells: DataFrame, temper: float, rounds: int, targets: Mapping[str, Mapping[str, float]], keep: float | None, steps: int) -> DataFrame:
+    """Cells with ``weight`` and ``probability``: what ``rake`` and ``calibrate`` give, from one row that
+    holds all cells, in their order, and for each dimension its values' goals and cells."""
+    ranks = [f"cast(dense_rank() OVER (ORDER BY {dim}) - 1 AS int) AS {dim}_at" for dim in DIMENSIONS]
+    numbered = cells.selectExpr("*", *ranks, f"cast(row_number() OVER (ORDER BY {', '.join(DIMENSIONS)}) - 1 AS int) AS cell")
+    # every cell counts for one value of each dimension; those of the first dimension give the cells
+    named = ", ".join(f"'{dim}', {dim}, '{dim}_at', {dim}_at" for dim in DIMENSIONS)
+    listed = ", ".join(f"'{dim}', {dim}, {dim}_at" for dim in DIMENSIONS)
+    counted = numbered.selectExpr(f"named_struct('cell', cell, 'tokens', cast(tokens AS double), {named}) AS c", f"stack({len(DIMENSIONS)}, {listed}) AS (dim, value, at)")
+    values = counted.groupBy("dim", "at", "value").agg(F.sum("c.tokens").alias("seen"), F.array_sort(F.collect_list("c")).alias("own"))
+    lists = [f"array_sort(collect_list(if(dim = '{dim}', named_struct('at', at, 'value', value, 'seen', seen, 'cells', own.cell), NULL))) AS {dim}s" for dim in DIMENSIONS]
+    row = values.groupBy().agg(F.expr(f"array_sort(flatten(collect_list(if(dim = '{DIMENSIONS[0]}', own, NULL)))) AS cells"), *map(F.expr, lists)).filter("size(cells) > 0")
+    row = row.selectExpr("*", "cells.tokens AS held", f"aggregate({DIMENSIONS[0]}s, 0D, (s, v) -> s + v.seen) AS everything", *(f"cells.{dim}_at AS {dim}_of" for dim in DIMENSIONS))
+    for dim in DIMENSIONS:
+        given = targets.get(dim)
+        share = F.create_map(*(x for k, v in given.items() for x in (F.lit(k), F.lit(float(v))))) if given else F.expr("map('', 0D)")
+        asked = "pow(v.seen, temper)" if given is None else "coalesce(try_element_at(share, v.value), 0D)"
+        row = row.withColumns({"temper": F.lit(float(temper)), "share": share}).withColumn("asked", F.expr(f"transform({dim}s, v -> {asked})"))
+        all_of = "aggregate(asked, 0D, (s, g) -> s + g)"
+        row = row.withColumn(f"by_{dim}", F.expr(_let("total", all_of, f"transform({dim}s, (v, i) -> named_struct('goal', get(asked, i) / total, 'cells', v.cells))")))
+    row = settle(row.select("cells", "held", "everything", *(f"{dim}_of" for dim in DIMENSIONS), *(f"by_{dim}" for dim in DIMENSIONS)))
+    weights = f"aggregate(slice(sequence(0, {rounds}), 2, {rounds}), transform(held, x -> 1D), (w, k) -> {_round_sql('w')})"
+    row = settle(row.withColumn("weights", F.expr(weights))).withColumn("scale", F.expr(_scale_sql(keep, steps)))
+    each = row.selectExpr("scale", "explode(arrays_zip(cells, weights)) AS c")
+    return each.selectExpr(*(f"c.cells.{dim}" for dim in DIMENSIONS), "c.weights AS weight", "least(1D, scale * c.weights) AS probability")
+
+
 def mix_sources(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -110,20 +168,28 @@ def mix_sources(
     steps: int = 4,
     targets: Mapping[str, Mapping[str, float]] | None = None,
     broadcast_cells: int = 100_000,
+    topic: str | Column | None = None,
 ) -> DataFrame:
-    """All rows and columns of ``docs`` with ``_topic``, ``_tokens``, ``_weight``, ``_probability`` and ``_selected``."""
+    """All rows and columns of ``docs`` with ``_topic``, ``_tokens``, ``_weight``, ``_probability`` and ``_selected``.
+    ``topic`` is a column of ``docs`` (or an expression over them) that holds the topic, such as a
+    model's; without one it is the coarse rule of ``topic_of``."""
     name = lambda c: F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("∅"))
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    of = topic_of(text) if topic is None else name(topic) if isinstance(topic, str) else F.coalesce(topic.cast("string"), F.lit("∅"))
     # the input's columns travel as one struct, so no name of theirs can clash
     own = docs.select(
-        F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), name(source_col).alias("_source"), name(lang_col).alias("_lang"), topic_of(text).alias("_topic"), token_count(text).alias("_tokens")
+        F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), name(source_col).alias("_source"), name(lang_col).alias("_lang"), of.alias("_topic"), token_count(text).alias("_tokens")
     )
     cells = settle(own.groupBy(F.col("_source").alias("source"), F.col("_lang").alias("lang"), F.col("_topic").alias("topic")).agg(F.sum("_tokens").alias("tokens")))
+    few = cells.count() <= broadcast_cells
+    if few:
+        # so few rows are one task's
+        cells = cells.coalesce(1)
     counted = cells.filter("tokens > 0")
-    weighed = calibrate(rake(counted, temper, rounds, targets or {}), keep, steps)
-    empty = cells.filter("tokens = 0").select("source", "lang", "topic", F.lit(1.0).alias("weight"), F.lit(1.0).alias("probability"))
-    table = settle(weighed.select("source", "lang", "topic", "weight", "probability").unionByName(empty)).toDF("_source", "_lang", "_topic", "_weight", "_probability")
-    if table.count() <= broadcast_cells:
+    weighed = _raked_row(counted, temper, rounds, targets or {}, keep, steps) if few else calibrate(rake(counted, temper, rounds, targets or {}), keep, steps)
+    empty = cells.filter("tokens = 0").select(*DIMENSIONS, F.lit(1.0).alias("weight"), F.lit(1.0).alias("probability"))
+    table = settle(weighed.select(*DIMENSIONS, "weight", "probability").unionByName(empty)).toDF("_source", "_lang", "_topic", "_weight", "_probability")
+    if few:
         table = F.broadcast(table)
     return (
         own.join(table, ["_source", "_lang", "_topic"])
