@@ -1,8 +1,10 @@
-"""Exact lexical normalization, for any Unicode text, in Arrow batches.
+"""Exact lexical normalization, for any Unicode text.
 
-Decomposition and composition are not SQL functions, so this is a pandas UDF;
-``text.fold`` does for composed text without compatibility characters. Python's
-Unicode tables are those of its version."""
+Decomposition and composition are not SQL functions, so they run as a pandas UDF,
+but only on texts that need them: ``plain`` are the characters for which the SQL
+form ``text.fold`` is proved equal one by one (each is a starter that composes
+with nothing beside it), and a text of such characters alone stays in the JVM.
+Python's Unicode tables are those of its version."""
 
 from __future__ import annotations
 
@@ -13,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quarry.functions import text as plain_text
+
 # Code points ignored by default, and private use.
 _IGNORED_RANGES = (
     (0xAD, 0xAD), (0x34F, 0x34F), (0x61C, 0x61C), (0x115F, 0x1160), (0x17B4, 0x17B5), (0x180B, 0x180F), (0x200B, 0x200F), (0x202A, 0x202E), (0x2060, 0x206F),
@@ -53,13 +57,52 @@ def normalize_for_lexical(text: str) -> str:
     return unicodedata.normalize("NFC", "".join(map(str.lower, x)).replace("ß", "ss"))
 
 
+def _folds(ch: str) -> bool:
+    """Whether ``text.fold`` does for this character, whatever stands beside it."""
+    folded = ch.lower().replace("i\u0307", "i")
+    for before, after in plain_text.FOLDED:
+        folded = folded.replace(before, after)
+    alone = unicodedata.category(ch)[0] not in "MC" and unicodedata.combining(ch) == 0 and unicodedata.is_normalized("NFC", ch)
+    # a final sigma is lowered by what is beside it; white space is not always kept as it is
+    return (alone or ch in "\t\n\r") and ch != "\u03a3" and normalize_for_lexical(ch) == folded
+
+
+def _ranges(chars: list[int]) -> str:
+    """A character class of sorted code points."""
+    out, start = [], None
+    for c, following in zip(chars, [*chars[1:], -1]):
+        start = c if start is None else start
+        if following != c + 1:
+            out.append(rf"\x{{{start:X}}}-\x{{{c:X}}}")
+            start = None
+    return "".join(out)
+
+
+def plain(texts: str | Column) -> Column:
+    """Whether a text consists of characters that ``text.fold`` normalizes exactly. Letters
+    beyond the European scripts go the exact way."""
+    known = [c for c in (*range(0x500), *range(0x2000, 0x2C00)) if _folds(chr(c))]
+    return (F.col(texts) if isinstance(texts, str) else texts).rlike(f"^[{_ranges(known)}]*\\z")
+
+
 def _normalized(texts: pd.Series) -> pd.Series:
     return texts.map(normalize_for_lexical, na_action="ignore")
 
 
 def normalized(texts: str | Column) -> Column:
-    return F.pandas_udf(_normalized, "string")(texts)
+    """Texts in the form that the term index holds; only those that need it pass through Python."""
+    x = F.col(texts) if isinstance(texts, str) else texts
+    exact = F.pandas_udf(_normalized, "string")(F.when(~plain(x), x))
+    return F.coalesce(exact, plain_text.fold(x))
+
+
+def _terms_of(texts: pd.Series) -> pd.Series:
+    return texts.map(lexical_terms, na_action="ignore")
+
 
+def query_terms(texts: str | Column) -> Column:
+    """``lexical_terms`` of each text: questions are few, so all go the exact way."""
+    return F.pandas_udf(_terms_of, "array<string>")(F.col(texts) if isinstance(texts, str) else texts)
 
 
 def is_term_char(ch: str) -> bool:

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 #: Terms of a query: at most so many, from so many leading characters.
 MAX_QUERY_TERMS, MAX_QUERY_CHARS = 32, 4096
 TERM = r"[\p{L}\p{N}\p{M}]+"
+#: Letters that terms do not tell apart, after lower case.
+FOLDED = (("ı", "i"), ("â", "a"), ("î", "i"), ("û", "u"), ("ß", "ss"))
 
 
 def _c(x: str | Column) -> Column:
@@ -20,7 +22,7 @@ def fold(text: str | Column) -> Column:
     makes two code points of the dotted capital I, which the first replacement
     folds; replacements search bytes, unlike a translation, which looks up every character."""
     x = F.lower(_c(text))
-    for before, after in (("i\u0307", "i"), ("ı", "i"), ("â", "a"), ("î", "i"), ("û", "u"), ("ß", "ss")):
+    for before, after in (("i\u0307", "i"), *FOLDED):
         x = F.replace(x, F.lit(before), F.lit(after))
     return x
 

@@ -100,6 +100,26 @@ def answer_metrics(outcomes: DataFrame, by: list[str] | None = None) -> DataFram
     )
 
 
+def answer_counts(outcomes: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """How many answers are complete (answerable and all expected facts found) and how many refuse."""
+    n = lambda c: F.sum(F.when(c, 1).otherwise(0)).cast("long")
+    complete = F.col("answerable") & (F.col("found") == F.col("expected"))
+    return outcomes.groupBy(*(by or [])).agg(n(complete).alias("complete"), n(F.col("abstained")).alias("refused"))
+
+
+def score_answers(answers: DataFrame) -> DataFrame:
+    """``answers`` (answerable, abstained, citations, invalid_citations, cited_texts, evidence) with ``valid_citations``
+    (some, and none invalid) and ``cited_evidence``: the answer is given, was to be given, and a cited text holds the evidence."""
+    valid = (F.size("citations") > 0) & (F.size("invalid_citations") == 0)
+    shown = F.exists("cited_texts", lambda t: F.exists("evidence", lambda e: t.contains(e)))
+    return answers.withColumns({"valid_citations": valid, "cited_evidence": F.col("answerable") & ~F.col("abstained") & shown})
+
+
+def judged_rate(verdicts: DataFrame, verdict: str = "verdict", by: list[str] | None = None) -> DataFrame:
+    """Share of YES among the verdicts that are given; null if none is."""
+    return verdicts.groupBy(*(by or [])).agg(F.avg(F.col(verdict).cast("int")).alias("yes_rate"), F.count(verdict).alias("judged"))
+
+
 def split_leaks(items: DataFrame, key: str, split: str = "split") -> DataFrame:
     """Keys that occur in more than one split."""
     return items.groupBy(key).agg(F.countDistinct(split).alias("splits")).filter("splits > 1")

@@ -1,9 +1,12 @@
 """Collections, documents, jobs and the index, as versioned Parquet tables.
 
-Every change is a plan over the current tables whose results are written as new
-versions; a manifest that is replaced in one step then names them, so a reader
-sees all of a change or none of it, and a failed writer leaves the old state. One
-writer at a time. Ids are taken from counters in the manifest and never reused.
+A table is a list of parts. What is only added (sources, chunks, postings, lengths)
+is written as one more part, and parts are joined into one when there are many;
+changes to rows are plans over the current table whose result is a new version. A
+manifest that is replaced in one step then names the parts, so a reader sees all of
+a change or none of it, and a failed writer leaves the old state. One writer at a
+time. Ids are taken from counters in the manifest and never reused. Queued
+jobs are claimed and published many at a time, so that N documents cost N.
 """
 
 from __future__ import annotations
@@ -12,16 +15,19 @@ import json
 import unicodedata
 import uuid
 from collections.abc import Mapping
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import text
 from quarry.functions.identity import LEXICAL_VERSION, space_fingerprint
 from quarry.operators import lexical
 
-APPLICATION, SCHEMA_VERSION = "quarry-store", 3
+APPLICATION, SCHEMA_VERSION = "quarry-store", 4
 PAGE_LIMIT = 200
+#: Parts of a table beyond which they are joined into one.
+MOST_PARTS = 32
 SCHEMAS = {
     "spaces": "id long, fingerprint string, model_id string, dimensions int, created_at timestamp",
     "collections": "id long, name string, name_key string, space_id long, protected boolean, created_at timestamp",
@@ -38,6 +44,15 @@ class StoreError(ValueError):
     """A change that the current state does not allow."""
 
 
+def _single_versions(manifest: dict) -> None:
+    """Schema 4: a table is a list of parts, not one version."""
+    manifest["tables"] = {name: [part] if isinstance(part, str) else part for name, part in manifest["tables"].items()}
+
+
+#: What brings a manifest from each schema to the next; run in order, each saved before the next.
+MIGRATIONS = {3: _single_versions}
+
+
 class Store:
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
@@ -52,6 +67,12 @@ class Store:
             raise StoreError("the folder holds the tables of another application")
         if self._manifest["schema"] > SCHEMA_VERSION or self._manifest["lexical"] > LEXICAL_VERSION:
             raise StoreError("the tables were written by a newer version")
+        while self._manifest["schema"] < SCHEMA_VERSION:
+            if self._manifest["schema"] not in MIGRATIONS:
+                raise StoreError("the tables are too old")
+            MIGRATIONS[self._manifest["schema"]](self._manifest)
+            self._manifest["schema"] += 1
+            self._save()
         if self._manifest["lexical"] < LEXICAL_VERSION:
             self.rebuild_lexical()
 
@@ -77,15 +98,25 @@ class Store:
         context.rename(fresh, self._path("manifest.json"), over)
 
     def table(self, name: str) -> DataFrame:
-        version = self._manifest["tables"].get(name)
-        return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.root}/{version}") if version else self.spark.createDataFrame([], SCHEMAS[name])
-
-    def _commit(self, **tables: DataFrame) -> None:
-        versions = {}
-        for name, df in tables.items():
-            versions[name] = f"{name}/{uuid.uuid4().hex}"
-            writer = df.select([f.split()[0] for f in SCHEMAS[name].split(", ")]).write
-            (writer.partitionBy("collection_id") if name == "chunks" else writer).parquet(f"{self.root}/{versions[name]}")
+        parts = [f"{self.root}/{p}" for p in self._manifest["tables"].get(name, [])]
+        if not parts:
+            return self.spark.createDataFrame([], SCHEMAS[name])
+        reader = self.spark.read.schema(SCHEMAS[name])
+        # each part of a partitioned table is a root of its own
+        return reduce(DataFrame.unionByName, map(reader.parquet, parts)) if name == "chunks" else reader.parquet(*parts)
+
+    def _write(self, name: str, df: DataFrame) -> str:
+        part = f"{name}/{uuid.uuid4().hex}"
+        writer = df.select([f.split()[0] for f in SCHEMAS[name].split(", ")]).write
+        (writer.partitionBy("collection_id") if name == "chunks" else writer).parquet(f"{self.root}/{part}")
+        return part
+
+    def _commit(self, added: Mapping[str, DataFrame] | None = None, **tables: DataFrame) -> None:
+        """New versions of ``tables``, and rows that are ``added`` to others."""
+        versions = {name: [self._write(name, df)] for name, df in tables.items()}
+        for name, df in (added or {}).items():
+            parts = self._manifest["tables"].get(name, [])
+            versions[name] = [*parts, self._write(name, df)] if len(parts) < MOST_PARTS else [self._write(name, self.table(name).unionByName(df.select(self.table(name).columns)))]
         self._manifest["tables"].update(versions)
         self._save()
 
@@ -94,6 +125,20 @@ class Store:
         self._manifest["next"][kind] = first + n
         return first
 
+    def _numbered(self, kind: str, keys: DataFrame, key: str) -> tuple[DataFrame, int]:
+        """``keys`` with a new ``number`` each, in order, and how many: ranges of keys are counted, then
+        numbered within; no window sees more than a range, or one row of each."""
+        ranged = keys.select(key).repartitionByRange(key).withColumn("_range", F.spark_partition_id()).persist()
+        counts = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
+        total = counts.agg(F.sum("_n").alias("n")).first()["n"] or 0
+        before = counts.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))
+        first = self._ids(kind, total)
+        place = F.row_number().over(Window.partitionBy("_range").orderBy(key)) - 1
+        out = ranged.withColumn("_place", place).join(F.broadcast(before), "_range").select(key, (F.col("_before") + F.col("_place") + first).cast("long").alias("number")).persist()
+        out.count()
+        ranged.unpersist()
+        return out, total
+
     def _one(self, df: DataFrame, what: str):
         row = df.limit(1).collect()
         if not row:
@@ -152,11 +197,10 @@ class Store:
         documents, jobs = self.table("documents"), self.table("jobs")
         here = documents.filter(F.col("collection_id") == collection)
         new = given.join(here, "sha256", "left_anti")
-        first = self._ids("documents", n := new.count())
-        numbered = new.rdd.zipWithIndex().map(lambda p: (p[0]["sha256"], p[1])).toDF("sha256 string, k long") if n else self.spark.createDataFrame([], "sha256 string, k long")
+        numbered, _ = self._numbered("documents", new, "sha256")
         now = F.current_timestamp()
         added = new.join(numbered, "sha256").select(
-            (F.col("k") + first).alias("id"), F.lit(collection).cast("long").alias("collection_id"), "sha256", text.clean_filename("filename").alias("filename"), "format",
+            F.col("number").alias("id"), F.lit(collection).cast("long").alias("collection_id"), "sha256", text.clean_filename("filename").alias("filename"), "format",
             F.lit(None).cast("string").alias("title"), F.lit("queued").alias("status"), F.lit(None).cast("string").alias("error"), F.lit(0).cast("long").alias("chunk_count"),
             F.array().cast("array<string>").alias("warnings"), now.alias("created_at"), now.alias("updated_at"),
         )
@@ -166,12 +210,11 @@ class Store:
             {"status": F.when(is_again, "queued").otherwise(F.col("status")), "error": F.when(~is_again, F.col("error"))}
         )
         queued = again.unionByName(added.select("id"))
-        start = self._ids("jobs", m := queued.count())
-        order = queued.rdd.zipWithIndex().map(lambda p: (p[0]["id"], p[1] + start)).toDF("document_id long, id long") if m else self.spark.createDataFrame([], "document_id long, id long")
+        order = self._numbered("jobs", queued.select(F.col("id").alias("document_id")), "document_id")[0].withColumnRenamed("number", "id")
         opened = order.select("id", "document_id", F.lit("ingest").alias("kind"), F.lit("queued").alias("status"), F.lit(None).cast("string").alias("error"), now.alias("created_at"), now.alias("updated_at"))
         sources = self.table("sources")
         fresh = given.join(sources, "sha256", "left_anti").select("sha256", F.length("content").cast("long").alias("size_bytes"), F.col("content").alias("bytes"))
-        self._commit(documents=kept.drop("again").unionByName(added), jobs=jobs.unionByName(opened), sources=sources.unionByName(fresh))
+        self._commit({"sources": fresh, "jobs": opened}, documents=kept.drop("again").unionByName(added))
         queued_now = order.select(F.col("document_id"), F.lit(False).alias("duplicate"))
         out = self.table("documents").filter(F.col("collection_id") == collection).join(given.select("sha256"), "sha256", "left_semi")
         return out.select("sha256", F.col("id").alias("document_id")).join(queued_now, "document_id", "left").withColumn("duplicate", F.coalesce("duplicate", F.lit(True)))
@@ -193,14 +236,19 @@ class Store:
     def _set(self, name: str, which, **values) -> DataFrame:
         return self.table(name).withColumns({c: F.when(which, v).otherwise(F.col(c)) for c, v in (values | {"updated_at": F.current_timestamp()}).items()})
 
+    def claim_batch(self, most: int = 10_000) -> DataFrame:
+        """The ``most`` oldest queued jobs start: (job, document)."""
+        taken = self.table("jobs").filter("status = 'queued'").orderBy("id").limit(most).select(F.col("id").alias("job"), F.col("document_id").alias("document")).persist()
+        if taken.count():
+            started, indexed = F.broadcast(taken.select(F.col("job").alias("id"), F.lit(1).alias("_t"))), F.broadcast(taken.select(F.col("document").alias("id"), F.lit(1).alias("_t")))
+            mark = lambda name, which, status: self.table(name).join(which, "id", "left").withColumns({"status": F.when(F.col("_t") == 1, status).otherwise(F.col("status")), "updated_at": F.when(F.col("_t") == 1, F.current_timestamp()).otherwise(F.col("updated_at"))}).drop("_t")
+            self._commit(jobs=mark("jobs", started, "running"), documents=mark("documents", indexed, "indexing"))
+        return taken
+
     def claim(self) -> tuple[int, int] | None:
         """The oldest queued job starts: (job, document)."""
-        row = self.table("jobs").filter("status = 'queued'").orderBy("id").limit(1).collect()
-        if not row:
-            return None
-        job, document = row[0]["id"], row[0]["document_id"]
-        self._commit(jobs=self._set("jobs", F.col("id") == job, status=F.lit("running")), documents=self._set("documents", F.col("id") == document, status=F.lit("indexing")))
-        return job, document
+        row = self.claim_batch(1).collect()
+        return (row[0]["job"], row[0]["document"]) if row else None
 
     def fail(self, job: int, message: str) -> None:
         row = self._one(self.table("jobs").filter((F.col("id") == job) & (F.col("status") == "running")), "running job")
@@ -217,27 +265,49 @@ class Store:
     def publish(self, job: int, chunks: DataFrame, title: str | None = None, warnings: list[str] | None = None) -> bool:
         """Replaces the chunks (ordinal, heading_path, text, token_count, page_start, page_end,
         embedding) of a job's document. False, and nothing, if the job no longer runs."""
-        row = self.table("jobs").filter((F.col("id") == job) & (F.col("status") == "running")).collect()
+        row = self.table("jobs").filter((F.col("id") == job) & (F.col("status") == "running")).select(F.col("id").alias("job"), F.col("document_id").alias("document")).collect()
         if not row:
             return False
-        document = row[0]["document_id"]
-        doc = self.table("documents").filter((F.col("id") == document) & (F.col("status") == "indexing")).collect()
-        if not doc:
-            return False
-        chunks = chunks.cache()
-        first = self._ids("chunks", n := chunks.count())
-        new = chunks.withColumns({"id": F.col("ordinal").cast("long") + first, "document_id": F.lit(document).cast("long"), "collection_id": F.lit(doc[0]["collection_id"]).cast("long")})
-        old = self.table("chunks").filter(F.col("document_id") == document).select(F.col("id").alias("chunk_id"))
+        outcome = self.spark.createDataFrame([(row[0]["job"], row[0]["document"], title, warnings or [], None)], "job long, document long, title string, warnings array<string>, error string")
+        return self.publish_batch(outcome, chunks.withColumn("document_id", F.lit(row[0]["document"]).cast("long"))) == 1
+
+    def publish_batch(self, outcomes: DataFrame, chunks: DataFrame) -> int:
+        """Ends the jobs of ``outcomes`` (job, document, title, warnings, error) that still run: documents
+        without an error get their ``chunks`` (document_id and what ``publish`` takes), others fail.
+        Rows are added; only documents that had chunks before cost a new version of the index."""
+        running = self.table("jobs").filter("status = 'running'").select(F.col("id").alias("job"))
+        open_ = self.table("documents").filter("status = 'indexing'").select(F.col("id").alias("document"), "collection_id")
+        ended = outcomes.join(running, "job").join(open_, "document").persist()
+        sound = ended.filter("error IS NULL").select(F.col("document").alias("document_id"), "collection_id")
+        new = chunks.drop("collection_id").join(sound, "document_id").persist()
+        counts = new.groupBy("document_id").agg(F.count("*").alias("chunk_count")).persist()
+        total = counts.agg(F.sum("chunk_count").alias("n")).first()["n"] or 0
+        first = self._ids("chunks", total)
+        # one row a document: what a batch has of them bounds this window
+        offsets = counts.select("document_id", (F.sum("chunk_count").over(Window.orderBy("document_id")) - F.col("chunk_count") + first).alias("offset"))
+        new = new.join(F.broadcast(offsets), "document_id").withColumn("id", (F.col("offset") + F.col("ordinal")).cast("long"))
         postings, lengths = lexical.build_index(new.withColumn("body", text.lexical_text("heading_path", "text")), "id", "body")
-        ready = {"status": F.lit("ready"), "chunk_count": F.lit(n).cast("long"), "title": F.lit(title).cast("string"), "warnings": F.array(*map(F.lit, warnings or [])).cast("array<string>"), "error": F.lit(None).cast("string")}
-        self._commit(
-            chunks=self.table("chunks").filter(F.col("document_id") != document).unionByName(new.select([f.split()[0] for f in SCHEMAS["chunks"].split(", ")])),
-            postings=self.table("postings").join(old, "chunk_id", "left_anti").unionByName(postings),
-            lengths=self.table("lengths").join(old, "chunk_id", "left_anti").unionByName(lengths),
-            documents=self._set("documents", F.col("id") == document, **ready),
-            jobs=self._set("jobs", F.col("id") == job, status=F.lit("succeeded")),
+        done = ended.join(counts, F.col("document") == F.col("document_id"), "left").select("job", "document", F.col("title").alias("_title"), F.col("warnings").alias("_warnings"), F.col("error").alias("_error"), F.coalesce("chunk_count", F.lit(0).cast("long")).alias("_count")).persist()
+        n = done.count()
+        ends, now = F.col("_count").isNotNull(), F.current_timestamp()
+        status = lambda good: F.when(ends & F.col("_error").isNull(), good).when(ends, "failed").otherwise(F.col("status"))
+        common = lambda good: {"status": status(good), "error": F.when(ends, F.col("_error")).otherwise(F.col("error")), "updated_at": F.when(ends, now).otherwise(F.col("updated_at"))}
+        filled = ends & F.col("_error").isNull()
+        documents = self.table("documents").join(F.broadcast(done.withColumnRenamed("document", "id")), "id", "left").withColumns(
+            common("ready") | {"title": F.when(filled, F.col("_title")).otherwise(F.col("title")), "warnings": F.when(filled, F.col("_warnings")).otherwise(F.col("warnings")), "chunk_count": F.when(filled, F.col("_count")).otherwise(F.col("chunk_count"))}
         )
-        return True
+        jobs = self.table("jobs").join(F.broadcast(done.withColumnRenamed("job", "id")), "id", "left").withColumns(common("succeeded"))
+        gone = self.table("chunks").join(F.broadcast(sound), "document_id", "left_semi").select(F.col("id").alias("chunk_id"))
+        index = {"chunks": new, "postings": postings, "lengths": lengths}
+        changed = {"documents": documents, "jobs": jobs}
+        if gone.isEmpty():
+            self._commit(index, **changed)
+        else:
+            left = {"chunks": self.table("chunks").join(sound, "document_id", "left_anti"), "postings": self.table("postings").join(gone, "chunk_id", "left_anti"), "lengths": self.table("lengths").join(gone, "chunk_id", "left_anti")}
+            self._commit(**changed, **{name: df.unionByName(index[name].select(df.columns)) for name, df in left.items()})
+        for df in (ended, counts, done):
+            df.unpersist()
+        return n
 
     def reindex(self, collection: int) -> int:
         """Queues every document of an idle collection again and clears its index."""
@@ -247,13 +317,12 @@ class Store:
             raise StoreError("the collection is busy")
         mine = docs.filter(inside).select(F.col("id").alias("document_id"))
         dropped = self.table("chunks").filter(inside).select(F.col("id").alias("chunk_id"))
-        n = mine.count()
-        start, now = self._ids("jobs", n), F.current_timestamp()
-        order = mine.rdd.zipWithIndex().map(lambda p: (p[0]["document_id"], p[1] + start)).toDF("document_id long, id long") if n else self.spark.createDataFrame([], "document_id long, id long")
-        jobs = order.select("id", "document_id", F.lit("ingest").alias("kind"), F.lit("queued").alias("status"), F.lit(None).cast("string").alias("error"), now.alias("created_at"), now.alias("updated_at"))
+        now = F.current_timestamp()
+        order, n = self._numbered("jobs", mine, "document_id")
+        jobs = order.withColumnRenamed("number", "id").select("id", "document_id", F.lit("ingest").alias("kind"), F.lit("queued").alias("status"), F.lit(None).cast("string").alias("error"), now.alias("created_at"), now.alias("updated_at"))
         self._commit(
             documents=self._set("documents", inside, status=F.lit("queued"), chunk_count=F.lit(0).cast("long")),
-            jobs=self.table("jobs").unionByName(jobs),
+            added={"jobs": jobs},
             chunks=self.table("chunks").filter(~inside),
             postings=self.table("postings").join(dropped, "chunk_id", "left_anti"),
             lengths=self.table("lengths").join(dropped, "chunk_id", "left_anti"),
@@ -284,6 +353,18 @@ class Store:
         self._commit(collections=bound, spaces=spaces.join(bound.select(F.col("space_id").alias("id")), "id", "left_semi"))
         return key
 
+    def query_space(self, collection: int, descriptor: Mapping) -> bool:
+        """Whether vectors of the model can be searched for in the collection: it must be bound to the
+        model's space. False without chunks (nothing to find yet); another model's need a reindex."""
+        row = self._one(self.table("collections").filter(F.col("id") == collection), "collection")
+        if self.table("chunks").filter(F.col("collection_id") == collection).isEmpty():
+            return False
+        if row["space_id"] is None:
+            return False
+        if self._one(self.table("spaces").filter(F.col("id") == row["space_id"]), "space")["fingerprint"] != space_fingerprint(descriptor):
+            raise StoreError("the collection was indexed by another model: reindex it")
+        return True
+
     # -- index and copies
 
     def rebuild_lexical(self) -> None:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import answers, identity, text, vectors
 from quarry.operators import chunking, dense, fusion, lexical, metrics
+from quarry.operators.store import Store
 from quarry.plans import retrieve as plans
 from quarry.sources import markup
 
@@ -110,6 +112,23 @@ def normalize_terms(spark, sf_dir):
     )
 
 
+@_query(
+    f"""WITH post AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({_tokens('text')}) AS term FROM documents) GROUP BY ALL)
+SELECT doc_id, count(*) AS n_terms, sum(tf)::BIGINT AS n_tokens, md5(string_agg(term, ' ' ORDER BY term)) AS terms FROM post GROUP BY doc_id"""
+)
+def exact_index_terms(spark, sf_dir):
+    """The index of texts that are written otherwise (letters and marks apart, full-width letters,
+    ligatures, soft hyphens) holds the terms of the texts as they were."""
+    apart = (("é", "e\u0301"), ("ö", "o\u0308"), ("ñ", "n\u0303"), ("ü", "u\u0308"), ("fi", "\ufb01"), ("th", "t\u00adh"))
+    wide = lambda chars: "".join(chr(ord(c) + 0xFEE0) for c in chars)
+    altered = F.translate("text", "AEMSxyz0", wide("AEMSxyz0"))
+    for whole, parts in apart:
+        altered = F.replace(altered, F.lit(whole), F.lit(parts))
+    postings, _ = lexical.build_index(_t(spark, sf_dir, "documents").select("doc_id", altered.alias("text")), "doc_id")
+    terms = F.md5(F.array_join(F.array_sort(F.collect_list("term")), " ").cast("binary"))
+    return postings.groupBy(F.col("chunk_id").alias("doc_id")).agg(F.count("*").alias("n_terms"), F.sum("tf").alias("n_tokens"), terms.alias("terms"))
+
+
 @_query(
     f"""WITH post AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({_tokens('text')}) AS term FROM documents) GROUP BY ALL)
 SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM post GROUP BY term"""
@@ -247,6 +266,46 @@ def hybrid_search(spark, sf_dir):
     return fusion.hydrate(ranked, docs, 8).select("qid", "chunk_id", "score", "lexical_rank", "dense_rank", "final_rank", "excerpt")
 
 
+_STORED = (
+    _bm25("SELECT vec_id AS qid, unnest(terms) AS term, generate_subscripts(terms, 1) AS phrase, false AS is_prefix FROM (SELECT vec_id, " + _terms("text") + " AS terms FROM embeddings JOIN documents ON doc_id = vec_id WHERE vec_id % 20 = 0)")
+    .replace("FROM documents", "FROM docs")
+    .replace("WITH wanted", "WITH docs AS (SELECT row_number() OVER (ORDER BY sha256(d.doc_id || chr(10) || text)) AS doc_id, d.doc_id AS key, text FROM documents d JOIN embeddings ON d.doc_id = vec_id),\nwanted", 1)
+    + ", near AS (SELECT q.vec_id AS qid, doc_id AS chunk_id, round(" + _COS.format(a="v.embedding", b="q.embedding") + """, 6) AS cosine FROM embeddings v JOIN docs ON v.vec_id = key, (SELECT * FROM embeddings WHERE vec_id % 20 = 0) q),
+den AS (SELECT qid, chunk_id, row_number() OVER (PARTITION BY qid ORDER BY cosine DESC, chunk_id) AS rank FROM near WHERE qid IN (SELECT key FROM docs) QUALIFY rank <= 50),
+fused AS (
+  SELECT qid, chunk_id, l.rank AS lexical_rank, d.rank AS dense_rank, round(coalesce(1 / (60.0 + l.rank), 0) + coalesce(1 / (60.0 + d.rank), 0), 12) AS score
+  FROM (SELECT * FROM lex WHERE rank <= 50) l FULL JOIN den d USING (qid, chunk_id)
+), numbered AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS fused_rank FROM fused),
+final AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY CASE WHEN least(lexical_rank, dense_rank) = 1 THEN 0 WHEN least(lexical_rank, dense_rank) <= 4 THEN 1 ELSE 2 END, fused_rank) AS final_rank FROM numbered)
+SELECT qid, key AS doc_id, score, lexical_rank, dense_rank, final_rank FROM final JOIN docs ON doc_id = chunk_id WHERE final_rank <= 16"""
+)
+
+
+@_query(_STORED)
+def stored_hybrid_search(spark, sf_dir):
+    """Documents are put into a store, as one chunk each, and searched for there."""
+    store = Store(spark, f"{spark.conf.get('spark.sql.warehouse.dir')}/store-{uuid.uuid4().hex}")
+    model = {"model_id": "given", "model_sha256": "", "pooling": "mean", "query_prefix": "", "document_prefix": "", "dimensions": 64, "normalized": True, "max_tokens": 512, "require_trailing_eos": False}
+    collection = store.create_collection("documents")
+    store.bind_space(collection, model)
+    vecs = _t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    docs = _t(spark, sf_dir, "documents").select("doc_id", "text").join(vecs, "doc_id")
+    content = F.encode(F.concat(F.col("doc_id").cast("string"), F.lit("\n"), "text"), "UTF-8")
+    store.enqueue(collection, docs.select(F.col("doc_id").cast("string").alias("filename"), F.lit("txt").alias("format"), content.alias("content")))
+    while (claimed := store.claim_batch()).count():
+        listed = claimed.join(store.table("documents").withColumnRenamed("id", "document"), "document").select("job", "document", F.col("filename").cast("long").alias("doc_id"))
+        chunks = listed.join(docs, "doc_id").select(
+            F.col("document").alias("document_id"), F.lit(0).alias("ordinal"), F.array().cast("array<string>").alias("heading_path"), "text", text.word_count("text").cast("int").alias("token_count"),
+            F.lit(None).cast("int").alias("page_start"), F.lit(None).cast("int").alias("page_end"), "embedding",
+        )
+        none = F.lit(None).cast("string")
+        store.publish_batch(listed.select("job", "document", none.alias("title"), F.array().cast("array<string>").alias("warnings"), none.alias("error")), chunks)
+    asked = docs.filter("doc_id % 20 = 0").select(F.col("doc_id").alias("qid"), F.col("text").alias("query"), "embedding")
+    found = plans.search(store, collection, asked, model, config=plans.RetrievalConfig(lexical=lexical.LexicalQuery()))
+    names = store.table("documents").select(F.col("id").alias("document_id"), F.col("filename").cast("long").alias("doc_id"))
+    return found.join(names, "document_id").select("qid", "doc_id", "score", "lexical_rank", "dense_rank", "final_rank")
+
+
 _OVERLAP = f"""round(len(list_filter({_terms('q.query')}, lambda t: list_contains({_tokens('d.text')}, t))) / len({_terms('q.query')}), 6)"""
 
 
@@ -509,6 +568,13 @@ def suspicious_text(spark, sf_dir):
     return _t(spark, sf_dir, "documents").select("doc_id", text.suspicious("text").alias("issue"))
 
 
+@_query(r"SELECT doc_id, sha256(text) AS sha256 FROM documents WHERE NOT regexp_matches(text, '\p{L}[-\x{AD}]\r?\n\p{Ll}')")
+def hyphen_join_back(spark, sf_dir):
+    """Words that are broken over lines are joined to the texts as they were."""
+    broken = F.regexp_replace("text", r"(\p{L}\p{Ll}{2})(\p{Ll}{3})", "$1-\n$2")
+    return _t(spark, sf_dir, "documents").filter(~F.col("text").rlike(r"\p{L}[-\x{AD}]\r?\n\p{Ll}")).select("doc_id", F.sha2(text.join_hyphenated(broken), 256).alias("sha256"))
+
+
 @_query()
 def hyphen_join(spark, sf_dir):
     broken = F.regexp_replace("text", r"(\p{Ll}{3})(\p{Ll}{3})", "$1-\n$2")
@@ -614,6 +680,21 @@ def chunk_words(spark, sf_dir):
     return chunking.word_windows(_t(spark, sf_dir, "documents"), 128, 32)
 
 
+@_query(
+    r"""WITH w AS (SELECT doc_id, regexp_extract_all(text, '\S+') AS words FROM documents)
+SELECT doc_id, true AS sound, len(words) > 512 AS several, len(words)::BIGINT AS words FROM w WHERE len(words) > 0"""
+)
+def chunk_structured_facts(spark, sf_dir):
+    """Chunks of plain text without overlap hold a document's words in order, each within the
+    budget, and are several where the words are more than one may have."""
+    parsed = _t(spark, sf_dir, "documents").select("doc_id", F.array(F.struct(F.lit("paragraph").alias("kind"), F.lit(None).cast("int").alias("level"), "text")).alias("blocks"), F.array().cast("array<int>").alias("pages"))
+    rows = chunking.chunk(parsed, chunking.ChunkerConfig(512, 512, 0)).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ordinal", "text"))).alias("c"), F.max("token_count").alias("most"), F.count("*").alias("n"))
+    joined = F.regexp_replace(F.array_join(F.transform("c", lambda x: x["text"]), ""), r"\s", "")
+    both = rows.join(_t(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    sound = (joined == F.regexp_replace("text", r"\s", "")) & (F.col("most") <= 512)
+    return both.select("doc_id", sound.alias("sound"), (F.col("n") > 1).alias("several"), text.word_count("text").cast("long").alias("words"))
+
+
 @_query()
 def chunk_structured(spark, sf_dir):
     docs = _t(spark, sf_dir, "documents").select("doc_id", markup.parsed(F.encode("text", "UTF-8"), F.lit("txt")).alias("p")).select("doc_id", "p.blocks", "p.pages")

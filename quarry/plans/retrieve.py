@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import text
 from quarry.operators import dense, fusion, lexical
+from quarry.operators.store import Store
 
 
 @dataclass(frozen=True)
@@ -39,3 +41,23 @@ def retrieve(chunks: DataFrame, questions: DataFrame, strategy: str = "hybrid",
     fused = fusion.fuse(empty if lex is None else lex, empty if den is None else den)
     ranked = fusion.promote_leaders(fused, config.max_context // 2)
     return fusion.hydrate(ranked, chunks.withColumn("excerpt", text.excerpt("text")), config.pool)
+
+
+def search(store: Store, collection: int, questions: DataFrame, descriptor: Mapping | None = None, strategy: str = "hybrid", config: RetrievalConfig = RetrievalConfig()) -> DataFrame:
+    """What ``retrieve`` gives over a collection of a store, from its postings, lengths and vectors as
+    they are stored. Term statistics cover all collections, results this one. Vectors of
+    another model are an error; without vectors of the model there are no dense results."""
+    if strategy not in ("lexical", "dense", "hybrid"):
+        raise ValueError(f"unknown strategy {strategy}")
+    if strategy != "lexical" and descriptor is None:
+        raise ValueError("a dense search needs the descriptor of the questions' model")
+    chunks = store.table("chunks").filter(F.col("collection_id") == collection).withColumnRenamed("id", "chunk_id")
+    known = strategy != "lexical" and store.query_space(collection, descriptor)
+    none = store.spark.createDataFrame([], "qid long, chunk_id long, rank long")
+    lex, den = none, none
+    if strategy != "dense":
+        lex = lexical.bm25(store.table("postings"), store.table("lengths"), questions, config.lexical, config.per_list, chunks.select("chunk_id"))
+    if known:
+        den = dense.knn(chunks.select("chunk_id", "embedding"), questions, config.per_list, "chunk_id")
+    ranked = fusion.promote_leaders(fusion.fuse(lex, den), config.max_context // 2)
+    return fusion.hydrate(ranked, chunks.withColumn("excerpt", text.excerpt("text")), config.pool)

@@ -63,10 +63,12 @@ def is_docx(data: bytes, most_entries: int = 10_000) -> bool:
 
 
 def corpus(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, name, content, kind, sha256) of the readable files of a folder;
-    hidden files and others are passed over. No file is an error on use."""
+    """(path, name, content, kind, sha256) of the readable files of a folder, by path;
+    hidden files and others are passed over. A folder without any is an error."""
     files = spark.read.format("binaryFile").load(folder)
     name = F.element_at(F.split("path", "/"), -1)
     kind = F.element_at(F.create_map(*(F.lit(x) for kv in EXTENSIONS.items() for x in kv)), extension(name))
-    listed = files.select("path", name.alias("name"), "content", kind.alias("kind"), F.sha2("content", 256).alias("sha256"))
-    return listed.filter(F.col("kind").isNotNull() & ~F.col("name").startswith("."))
+    listed = files.withColumns({"name": name, "kind": kind}).filter(F.col("kind").isNotNull() & ~F.col("name").startswith("."))
+    if listed.select("path").isEmpty():
+        raise ValueError(f"no readable file in {folder}")
+    return listed.select("path", "name", "content", "kind", F.sha2("content", 256).alias("sha256")).orderBy("path")

@@ -25,20 +25,19 @@ def prepare(document: DataFrame, config: chunking.ChunkerConfig, embed=vectors.f
     return chunks.withColumn("embedding", embed(shown))
 
 
-def work(store: Store, config: chunking.ChunkerConfig = chunking.ChunkerConfig(), embed=vectors.fake_embedding) -> int:
-    """Runs queued jobs, oldest first, until none is left; returns how many."""
+def work(store: Store, config: chunking.ChunkerConfig = chunking.ChunkerConfig(), embed=vectors.fake_embedding, most: int = 10_000) -> int:
+    """Runs queued jobs, oldest first and up to ``most`` at a time, until none is left; returns how many."""
     done = 0
-    while claimed := store.claim():
-        job, document = claimed
-        done += 1
-        source = store.table("documents").filter(F.col("id") == document).join(store.table("sources"), "sha256")
-        parsed = source.select(F.col("id").alias("doc_id"), markup.parsed("bytes", "format").alias("p")).select("doc_id", "p.*").cache()
-        row = parsed.select("title", "warnings", "error").first()
-        if row["error"]:
-            store.fail(job, row["error"])
-            continue
-        store.publish(job, prepare(parsed, config, embed), row["title"], list(row["warnings"]))
+    while n := (claimed := store.claim_batch(most)).count():
+        done += n
+        documents = store.table("documents").join(F.broadcast(claimed.withColumnRenamed("document", "id")), "id")
+        source = documents.join(store.table("sources"), "sha256")
+        parsed = source.select("job", F.col("id").alias("doc_id"), markup.parsed("bytes", "format").alias("p")).select("job", "doc_id", "p.*").persist()
+        outcomes = parsed.select("job", F.col("doc_id").alias("document"), "title", "warnings", "error")
+        chunks = prepare(parsed.filter("error IS NULL"), config, embed).withColumnRenamed("doc_id", "document_id")
+        store.publish_batch(outcomes, chunks)
         parsed.unpersist()
+        claimed.unpersist()
     return done
 
 
