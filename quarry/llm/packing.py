@@ -5,8 +5,10 @@ words. Its small result (a row per piece, no ids) is settled in the checkpoint
 folder. Then each partition packs its pieces best-fit, emits bins that are
 nearly full, and passes on its other bins as items; partitions of such items are
 merged, a few at a time, and packed again, until one partition holds what is
-left or a round stops lowering the number of bins. A task never holds more than
-``task_items`` lengths, so the tree grows with the input and its tasks do not.
+left or a round lowers the number of underfull bins by less than ``least_gain`` of
+them (bins over half full cannot be merged, however many there are). Partitions
+are as many as ``task_items`` lengths a task ask for, dealt by a hash, so the tree
+grows with the input and its tasks do not.
 
 Defined results: a null text is an empty one, which packs as its single end id;
 an empty table gives no rows; repeated rows are packed as documents of their
@@ -26,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import hashing
-from quarry.llm.common import keyed_text, settle
+from quarry.llm.common import keyed_text, settle, shuffle_partitions
 
 PIECES = "doc_id long, row long, piece int, start long, length long, ids_crc32 long"
 _PIECES = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
@@ -187,8 +189,9 @@ def best_fit(lengths: np.ndarray, capacity: int) -> np.ndarray:
     return bins
 
 
-def _round(items: DataFrame, capacity: int, level: int) -> DataFrame:
-    """Packs each partition of (item, length); ``bin`` is unique over all rounds."""
+def _round(items: DataFrame, capacity: int, first: int, stride: int) -> DataFrame:
+    """Packs each partition of (item, length), of at most ``stride`` items; bins are
+    numbered from ``first``, ``stride`` numbers a partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -197,6 +200,9 @@ def _round(items: DataFrame, capacity: int, level: int) -> DataFrame:
         if not got:
             return
         item, length = pa.concat_arrays([g[0] for g in got]), np.concatenate([g[1] for g in got])
+        # a partition's rows come in no fixed order, and a task may run again
+        rank = np.lexsort((item.to_numpy(), -length))
+        item, length = item.take(pa.array(rank)), length[rank]
         bins = best_fit(length, capacity)
         order = np.argsort(bins, kind="stable")
         sizes, owner = length[order], bins[order]
@@ -204,7 +210,7 @@ def _round(items: DataFrame, capacity: int, level: int) -> DataFrame:
         new = np.flatnonzero(np.diff(owner, prepend=-1))
         offset = before - np.repeat(before[new], np.diff(np.append(new, len(owner))))
         fill = np.bincount(bins, weights=length).astype(np.int64)
-        number = (level << 56) | (TaskContext.get().partitionId() << 32)
+        number = first + TaskContext.get().partitionId() * stride
         table = [item.take(pa.array(order)), pa.array(sizes), pa.array(owner + number), pa.array(offset), pa.array(fill[owner])]
         yield from pa.table(table, names=["item", "length", "bin", "offset", "fill"]).to_batches(50_000)
 
@@ -217,18 +223,21 @@ def pack(
     nearly_full: float = 0.998,
     task_items: int = 400_000,
     fan_in: int = 8,
+    least_gain: float = 0.05,
 ) -> DataFrame:
     """``pieces`` (settled; unique long ``item``, ``length``) with its sequence and offset."""
-    count = pieces.count()
-    parts = max(1, -(-count // task_items))
-    if count == 0:
+    left = pieces.count()
+    if left == 0:
         return pieces.select("item", F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    least = int(capacity * nearly_full)
-    items = pieces.select("item", "length")
-    placed, level = None, 0
-    open_bins = None
+    least, first, level = int(capacity * nearly_full), 0, 0
+    parts = max(1, -(-left // task_items))
+    items, placed = pieces.select("item", "length"), None
     while True:
-        packed = settle(_round(items.repartition(parts, F.xxhash64("item")), capacity, level))
+        # another deal each round, so that bins meet others than before
+        dealt = items.repartition(parts, F.xxhash64(F.lit(level), "item"))
+        packed = settle(_round(dealt, capacity, first, left))
+        # no fewer partitions than asked for, and numbers for as many again
+        first += 2 * max(parts, shuffle_partitions(pieces.sparkSession)) * left
         level += 1
         # a placement is (item, sequence, offset); a later round moves whole bins
         here = packed.select("item", F.col("bin").alias("sequence_id"), "offset")
@@ -241,18 +250,12 @@ def pack(
                 F.coalesce("to", "sequence_id").alias("sequence_id"),
                 (F.col("offset") + F.coalesce("shift", F.lit(0))).alias("offset"),
             )
-        bins = packed.filter(F.col("fill") < least).select(F.col("bin").alias("item"), F.col("fill").alias("length")).distinct()
-        left = bins.count()
-        if parts == 1 or left <= 1:
-            return placed
-        done = open_bins is not None and left >= open_bins and parts <= fan_in
-        open_bins = left
-        if done:
+        items = packed.filter(F.col("fill") < least).groupBy(F.col("bin").alias("item")).agg(F.max("fill").alias("length"))
+        before, left = left, items.count()
+        if parts == 1 or left <= 1 or (level > 1 and left > (1 - least_gain) * before):
             return placed
         placed = settle(placed)
-        # fewer partitions by the fan-in, unless the items that are left are too many for that
-        parts = max(-(-left // task_items), -(-parts // fan_in), 1) if -(-left // task_items) < parts else max(1, parts - 1)
-        items = bins
+        parts = max(1, -(-left // task_items), -(-parts // fan_in))
 
 
 def pack_documents(
