@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import documents
 from quarry.llm import lines, mixing
-from quarry.llm.fingerprints import digest, edit_fingerprints, likeness
+from quarry.llm.fingerprints import edit_fingerprints, encoded, likeness
 from quarry.llm.jaccard import jaccard_join
 from quarry.llm.licenses import scan_licenses
 from quarry.llm.packing import pack_documents
@@ -82,8 +82,8 @@ def op9_scaled_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id",
         F.length("text").cast("long").alias("n_chars"),
         F.sha2("edited", 256).alias("edited_sha256"),
-        digest("sketch").alias("fingerprint"),
-        digest("edited_sketch").alias("edited_fingerprint"),
+        encoded("sketch").alias("fingerprint"),
+        encoded("edited_sketch").alias("edited_fingerprint"),
         likeness("sketch", "edited_sketch").alias("near_edited"),
         likeness("sketch", "next_sketch").alias("near_next"),
     )
