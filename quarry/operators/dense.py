@@ -1,9 +1,9 @@
 """Exact nearest neighbours by cosine, many questions in one job.
 
-Questions are a bounded matrix that is broadcast. Each Arrow batch of vectors is
-one matrix product; a task keeps its best ``k`` per question, and a window over
-those picks the overall best. Where the questions are too many to broadcast they
-go in blocks.
+Questions are dealt by a hash to blocks of a bounded size; one block at a time
+passes through the driver and is broadcast as a matrix. Vectors meet it in slices
+of so many rows that their product is bounded too; a task keeps its best ``k`` per
+question, and a window over those picks the overall best.
 """
 
 from __future__ import annotations
@@ -13,8 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Questions a broadcast block holds at most.
-BLOCK = 4096
+#: Questions that a block holds on average at most, and numbers in a product of a slice and a block.
+BLOCK, PRODUCT = 4096, 1 << 22
 
 
 def _flat(column: pa.Array, dims: int) -> np.ndarray:
@@ -36,11 +36,12 @@ def knn(vectors: DataFrame, questions: DataFrame, k: int = 50, id_col: str = "ve
     Filter ``vectors`` first for a search within a collection."""
     if not 0 <= k <= 4096:
         raise ValueError("k must be 0 to 4096")
-    asked = questions.select(F.col(qid_col).cast("long"), vector_col).toArrow()
+    asked = questions.select(F.col(qid_col).cast("long").alias("qid"), vector_col)
+    blocks = max(1, -(-asked.count() // BLOCK))
     found = None
-    for lo in range(0, max(1, asked.num_rows), BLOCK):
-        part = asked.slice(lo, BLOCK)
-        best = _block(vectors, part, k, id_col, vector_col, places)
+    for k_block in range(blocks):
+        part = asked if blocks == 1 else asked.filter(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == k_block)
+        best = _block(vectors, part.toArrow(), k, id_col, vector_col, places)
         found = best if found is None else found.unionByName(best)
     order = Window.partitionBy("qid").orderBy(F.desc("cosine"), id_col)
     return found.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= k)
@@ -61,9 +62,8 @@ def _block(vectors: DataFrame, asked: pa.Table, k: int, id_col: str, vector_col:
         qids, matrix = shared.value
         ids, sims = np.zeros(0, np.int64), np.zeros((len(qids), 0))
         keep_ids = np.zeros((len(qids), 0), np.int64)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        rows = max(64, PRODUCT // len(qids))
+        for batch in (b.slice(lo, rows) for b in batches for lo in range(0, b.num_rows, rows)):
             now = np.round(matrix @ _unit(_flat(batch.column(1), dims)).T, places)
             ids = np.broadcast_to(batch.column(0).to_numpy(), now.shape)
             keep_ids, sims = np.hstack((keep_ids, ids)), np.hstack((sims, now))
