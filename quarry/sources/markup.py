@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import html
 import re
+import unicodedata
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -280,8 +281,25 @@ def parse_pages(texts: list[str]) -> Parsed:
         found = paragraph_blocks(join_hyphenated(text))
         blocks += found
         pages += [number] * len(found)
-    empty = [str(n) for n, t in enumerate(texts, 1) if not t.strip()]
-    return Parsed(blocks=demote_running_headers(blocks, pages), pages=pages, warnings=["ocr_required"] if empty and texts else [])
+    issues = [page_issue(t) for t in texts]
+    warnings = ["ocr_required"] if any(not t.strip() for t in texts) else []
+    for issue in dict.fromkeys(i for i in issues if i):
+        warnings.append(f"{issue} on pages {page_list([n for n, i in enumerate(issues, 1) if i == issue])}")
+    return Parsed(blocks=demote_running_headers(blocks, pages), pages=pages, warnings=warnings)
+
+
+def page_issue(text: str) -> str | None:
+    """Why a page's text looks garbled, as ``functions.text.suspicious`` says it of a column."""
+    words = text.split()
+    visible = sum(map(len, words))
+    if visible < 200:
+        return None
+    unmapped = sum(c == "\ufffd" or unicodedata.category(c) == "Cc" for w in words for c in w)
+    if unmapped * 1000 >= visible * 10:
+        return "unmapped characters"
+    single = "".join("1" if len(w) == 1 and unicodedata.category(w)[0] == "L" else "0" for w in words)
+    split = sum(len(run) for run in single.split("0") if len(run) >= 4)
+    return "words split into single letters" if split * 100 >= len(words) * 40 else None
 
 
 def join_hyphenated(text: str) -> str:

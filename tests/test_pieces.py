@@ -140,3 +140,11 @@ def test_corpus_folder(spark, tmp_path):
         (tmp_path / name).write_text("x")
     assert [r["name"] for r in corpus(spark, str(tmp_path)).collect()] == ["a.TXT", "b.md"]
     assert corpus(spark, str(tmp_path)).filter(F.col("kind") == "md").count() == 1
+
+
+def test_garbled_pages_are_told():
+    from quarry.sources.markup import parse_pages
+
+    good, torn, lost = "plain words of a page " * 20, "w o r d s " * 60, "a�" * 150
+    assert parse_pages([good, torn, torn, good, lost]).warnings == ["words split into single letters on pages 2-3", "unmapped characters on pages 5"]
+    assert parse_pages([good, " "]).warnings == ["ocr_required"] and parse_pages(["w o r d s"]).warnings == []
