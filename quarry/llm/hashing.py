@@ -114,6 +114,11 @@ def rolling(words: np.ndarray, width: int, base: int) -> np.ndarray:
     return mix(out)
 
 
+def release() -> None:
+    """Gives the memory that Arrow holds on to back: a worker is kept between tasks, beside others."""
+    pa.default_memory_pool().release_unused()
+
+
 def owners(counts: np.ndarray) -> np.ndarray:
     """Which text each of the consecutive items belongs to."""
     return np.repeat(np.arange(len(counts)), counts)

@@ -33,6 +33,8 @@ from quarry.llm.common import keyed_text, settle, shuffle_partitions
 PIECES = "doc_id long, row long, piece int, start long, length long, ids_crc32 long"
 _PIECES = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 _IDS = pa.list_(pa.int32())
+#: Words that a Python worker keeps the ids of: the more, the fewer are encoded again.
+KNOWN_WORDS = 1_200_000
 
 
 class WordTokens:
@@ -46,7 +48,7 @@ class WordTokens:
 
     _of: dict[str, "WordTokens"] = {}
 
-    def __init__(self, path: str, limit: int = 1_200_000) -> None:
+    def __init__(self, path: str, limit: int = KNOWN_WORDS) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -55,9 +57,10 @@ class WordTokens:
         self._clear()
 
     @classmethod
-    def of(cls, path: str) -> "WordTokens":
+    def of(cls, path: str, limit: int) -> "WordTokens":
         if path not in cls._of:
-            cls._of[path] = cls(path)
+            cls._of[path] = cls(path, limit)
+        cls._of[path]._limit = limit
         return cls._of[path]
 
     def _clear(self) -> None:
@@ -137,11 +140,11 @@ class WordTokens:
         return [ids[a:b] for a, b in zip(cut, cut[1:])]
 
 
-def token_pieces(keyed: DataFrame, tokenizer_path: str, capacity: int, end_id: int, with_ids: bool = False) -> DataFrame:
+def token_pieces(keyed: DataFrame, tokenizer_path: str, capacity: int, end_id: int, with_ids: bool = False, known_words: int = KNOWN_WORDS) -> DataFrame:
     """One row per piece of at most ``capacity`` ids; ``row`` tells apart rows that share a doc_id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = WordTokens.of(tokenizer_path)
+        coder = WordTokens.of(tokenizer_path, known_words)
         end = array("I", [end_id]).tobytes()
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
@@ -159,6 +162,7 @@ def token_pieces(keyed: DataFrame, tokenizer_path: str, capacity: int, end_id: i
                     arrays.append(pa.array([np.frombuffer(c, np.int32) for c in columns[6]], _IDS))
                 names = _PIECES.names + (["ids"] if with_ids else [])
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
+        hashing.release()
 
     numbered = keyed.withColumn("row", F.monotonically_increasing_id())
     return numbered.mapInArrow(run, PIECES + (", ids array<int>" if with_ids else ""))
@@ -266,11 +270,13 @@ def pack_documents(
     capacity: int = 2048,
     end_id: int = 0,
     with_ids: bool = False,
+    known_words: int = KNOWN_WORDS,
     **how,
 ) -> DataFrame:
     """Every piece of every document and its place in a sequence of ``capacity``
-    ids; ``with_ids`` adds the ids themselves."""
-    pieces = settle(token_pieces(keyed_text(docs, id_col, text_col), tokenizer_path, capacity, end_id, with_ids).withColumn("item", F.monotonically_increasing_id()))
+    ids; ``with_ids`` adds the ids themselves. ``known_words`` bounds the table of words in each
+    Python worker (about 100 bytes a word) and changes no result."""
+    pieces = settle(token_pieces(keyed_text(docs, id_col, text_col), tokenizer_path, capacity, end_id, with_ids, known_words).withColumn("item", F.monotonically_increasing_id()))
     whole = F.col("length") == capacity
     short = pieces.filter(~whole)
     placed = pack(short.select("item", "length"), capacity, **how)
