@@ -40,12 +40,40 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Folders of tables that were settled and not yet released.
+_settled: list[str] = []
+
+
+def settled_so_far() -> int:
+    return len(_settled)
+
+
+def release_tables(spark: SparkSession, since: int, *more: str) -> None:
+    """Deletes the tables that operators have settled since they were ``since``, and ``more`` folders:
+    for a caller that has written all that it asked operators for in between."""
+    for path in [*_settled[since:], *more]:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    del _settled[since:]
+
+
 def settle_table(df: DataFrame) -> DataFrame:
     """``df`` as a Parquet table in the shared checkpoint folder. Unlike a checkpoint it
-    carries nothing of the plan that made it, which matters in long loops."""
+    carries nothing of the plan that made it: in loops the constraints that a checkpoint
+    keeps of its columns double with every round."""
     path = f"{checkpoint_dir(df.sparkSession)}/settled-{uuid.uuid4().hex}"
+    _settled.append(path)
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def sized(df: DataFrame, rows: int = 250_000, weight: str | None = None) -> tuple[DataFrame, int]:
+    """``df`` settled as a table, in no more partitions than its rows need (or its sum of
+    ``weight``, ``rows`` of it a task), and how many rows it has. A small table then is
+    one task's, and what follows on it needs no exchange; a large one keeps its partitions."""
+    done = settle_table(df)
+    have = done.agg(F.count("*").alias("n"), (F.sum(weight) if weight else F.count("*")).alias("w")).first()
+    return done.coalesce(max(1, -(-(have["w"] or 0) // rows))), have["n"]
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -16,10 +16,13 @@
 4. Sets that meet under a key are compared with the list's pivot first (the set
    with fewest shingles of its own: the likely original). A list whose members
    then are in one component is done, so a large group of near copies costs its
-   size and not its square. In other lists whatever is outside the pivot's
-   component is compared, until no two sets of different components that share a
-   key are left uncompared: no link between components can be missed.
-   A pair is compared by its exact intersection of 64-bit shingle hashes.
+   size and not its square. In other lists some of the sets outside the pivot's
+   component, drawn by a hash, are compared with all of other components: 16 the
+   first time, 16 times as many each time after, until a list is in one component or
+   all of its sets have been drawn: no link between components can be missed.
+   A pair is compared by its exact intersection of 64-bit shingle hashes: at 10^13
+   different shingles two of them share a hash in a few million cases, and a link
+   is decided wrongly only if such a pair meets in two sets at the threshold's edge.
 5. All links lie within components, so each set's links are counted there: the
    sets of a component are dealt by a hash to blocks, and each pair of blocks is
    one group, where products of 0/1 matrices give all intersections. No pair
@@ -30,8 +33,10 @@ Words: maximal runs without ASCII white space, with A-Z in lower case.
 Defined results: a null or empty text has no shingles and is its own component;
 fewer words than the shingle form one shingle together; a null doc_id is larger
 than all others and is null in the result; rows that share a doc_id are one node
-of the graph if their sets' classes start with it; an empty table gives no rows; other columns are
-ignored.
+of the graph, linked with whatever one of them is linked with, and have one
+component (rows without an id stay apart); an empty table gives no rows; other
+columns are ignored. The frequencies that order and filter shingles stop at 255 a
+group and 65535 in all, which changes their order only.
 """
 
 from __future__ import annotations
@@ -44,7 +49,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.llm import hashing
-from quarry.llm.common import grouped_text, keyed_text, settle, shuffle_partitions, text_bytes
+from quarry.llm.common import grouped_text, keyed_text, settle, shuffle_partitions, sized, text_bytes
 from quarry.llm.components import components
 
 _LAST = np.iinfo(np.int64).max
@@ -103,6 +108,7 @@ def _shingle_sets(keyed: DataFrame, width: int, num: int, den: int, group_bytes:
 
     def ask(key, table):
         sets = _Sets(table, width, buckets)
+        hashing.release()
         rest = (sets.hash & np.uint64(0xFFFFFFFF)).astype("<u4")[sets.dealt]
         local = np.minimum(sets.local, 255).astype(np.uint8)[sets.dealt]
         rows = [(key[0].as_py(), b, rest[i:j].tobytes(), local[i:j].tobytes() if (local[i:j] > 1).any() else b"") for b, i, j in sets.parts()]
@@ -114,6 +120,7 @@ def _shingle_sets(keyed: DataFrame, width: int, num: int, den: int, group_bytes:
         _, which = np.unique(np.concatenate(rests), return_inverse=True)
         freq = np.minimum(np.bincount(which, weights=np.concatenate(local)), 65535).astype("<u2")[which]
         cut = np.concatenate(([0], np.cumsum([len(r) for r in rests])))
+        hashing.release()
         parts = [freq[a:b] for a, b in zip(cut[:-1], cut[1:])]
         return pa.table(
             [table.column("grp"), table.column("bucket"), pa.array([np.packbits(f > 1).tobytes() for f in parts], pa.binary()), pa.array([f[f > 1].tobytes() for f in parts], pa.binary())],
@@ -137,6 +144,7 @@ def _shingle_sets(keyed: DataFrame, width: int, num: int, den: int, group_bytes:
         all_of = all_of[np.argsort(sets.o[all_of], kind="stable")]
         end_all, end_shared = np.cumsum(np.where(alive, sets.n, 0)), np.cumsum(np.where(alive, held, 0))
         sig, toks, freqs = [], [], []
+        hashing.release()
         for i in range(len(sets.ids)):
             if not alive[i]:
                 sig.append(None), toks.append(None), freqs.append(None)
@@ -229,52 +237,43 @@ def _linked(pairs: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
     )
 
 
-def _pairs(left: DataFrame, right: DataFrame, apart: bool, num: int, den: int) -> DataFrame:
-    """Distinct pairs of ``left`` (key, node, n, most, comp) and ``right`` that the
-    sizes allow, of different components if ``apart``."""
-    other = right.select("key", *(F.col(c).alias(f"o_{c}") for c in ("node", "n", "most", "comp")))
-    fits = (F.col("n") <= F.col("o_most")) & (F.col("o_n") <= F.col("most")) & (den * F.col("n") >= num * F.col("o_n")) & (den * F.col("o_n") >= num * F.col("n"))
-    met = left.join(other, "key").filter(fits & (F.col("node") != F.col("o_node")))
-    if apart:
-        met = met.filter(F.col("comp") != F.col("o_comp"))
-    return met.select(F.least("node", "o_node").alias("a"), F.greatest("node", "o_node").alias("b")).distinct()
+def _fits(num: int, den: int):
+    """Whether the sets of an entry and of another (``o_``) may be linked and are not in one component."""
+    sizes = (den * F.col("n") >= num * F.col("o_n")) & (den * F.col("o_n") >= num * F.col("n"))
+    return (F.col("n") <= F.col("o_most")) & (F.col("o_n") <= F.col("most")) & sizes & (F.col("comp") != F.col("o_comp")) & (F.col("node") != F.col("o_node"))
 
 
-def _links(reps: DataFrame, entries: DataFrame, num: int, den: int) -> DataFrame | None:
+def _links(reps: DataFrame, entries: DataFrame, num: int, den: int, drawn: int = 16) -> DataFrame | None:
     """Labels (node, comp) over links among classes, or None without any."""
-    cols = ["key", "node", "n", "own", "most", "comp"]
-    rank = F.struct("own", "n", "node", "most", "comp")
-    state = entries.withColumn("comp", F.col("node"))
-    links, labels, before = None, None, None
-    while True:
-        lists = state.groupBy("key").agg(F.min(rank).alias("p"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("len"))
-        live = lists.filter("lo < hi").select("key", "len", *(F.col(f"p.{c}").alias(f"p_{c}") for c in ("node", "n", "most", "comp")))
-        state = settle(state.join(live, "key"))
-        outside = state.filter(F.col("comp") != F.col("p_comp"))
-        work = outside.agg(F.sum("len").cast("long").alias("w")).first()["w"]
-        if not work:
-            return labels
-        last = before is not None and (work <= 4 * before[1] or work > 0.8 * before[0])
-        if last:
-            pairs = _pairs(outside, state.select(*cols), True, num, den)
-        elif before is None:
-            pivots = live.select("key", F.col("p_node").alias("node"), F.col("p_n").alias("n"), F.col("p_most").alias("most"), F.col("p_comp").alias("comp"))
-            pairs = _pairs(state.select(*cols), pivots, True, num, den)
+    cols = ["node", "n", "most", "comp"]
+    others = [f"o_{c}" for c in cols]
+    state, count = sized(entries.withColumn("comp", F.col("node")))
+    pivot = F.min(F.struct("own", "n", "node", "most", "comp")).alias("p")
+    links = labels = None
+    turn = 0
+    while count:
+        lists = state.groupBy("key").agg(pivot, F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("len"))
+        # settled, so that the join does not share the aggregation's exchange and a key with very many sets can be split
+        live, _ = sized(lists.filter((F.col("lo") < F.col("hi")) & (F.lit(turn < 2) | (F.col("len") > drawn ** (turn - 1)))).select("key", "len", *(F.col(f"p.{c}").alias(f"o_{c}") for c in cols)))
+        state, count = sized(state.join(live, "key"))
+        if not count:
+            break
+        if turn == 0:
+            met = state
         else:
-            pivots = outside.groupBy("key").agg(F.min(rank).alias("p")).select("key", "p.node", "p.n", "p.most", "p.comp")
-            pairs = _pairs(state.select(*cols), pivots, True, num, den)
+            share = F.pmod(F.xxhash64("node"), F.lit(1 << 20)) * F.col("len")
+            now = (share < drawn**turn << 20) & (F.lit(turn == 1) | (share >= drawn ** (turn - 1) << 20))
+            outside = state.filter((F.col("comp") != F.col("o_comp")) & now).select("key", *(F.col(c).alias(f"o_{c}") for c in cols))
+            met = state.drop(*others).join(outside, "key")
+        pairs = met.filter(_fits(num, den)).select(F.least("node", "o_node").alias("a"), F.greatest("node", "o_node").alias("b")).distinct()
         found = _linked(pairs, reps, num, den)
-        links = settle(found if links is None else links.unionByName(found).distinct())
-        before = (work, before[1] if before else state.count())
-        if links.isEmpty():
-            labels = None
-        else:
+        links, many = sized(found if links is None else links.unionByName(found).distinct())
+        state = state.drop("len", *others)
+        if many:
             labels = components(links)
-        if last:
-            return labels
-        state = state.select(*cols)
-        if labels is not None:
-            state = state.drop("comp").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node")).select(*cols)
+            state = state.drop("comp").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        turn += 1
+    return labels
 
 
 def _links_within(n: np.ndarray, weight: np.ndarray, values: np.ndarray, at: np.ndarray, left: np.ndarray, right: np.ndarray | None, num: int, den: int, slab: int = 4096) -> np.ndarray:
@@ -339,6 +338,18 @@ def _link_counts(reps: DataFrame, classes: DataFrame, labels: DataFrame | None,
     return dealt.groupBy("grp", "lo", "hi").applyInArrow(count, "sig binary, links long").groupBy("sig").agg(F.sum("links").alias("links"))
 
 
+def _of_repeated_ids(known: DataFrame, alone: DataFrame, placed: DataFrame) -> tuple[DataFrame | None, bool]:
+    """(comp, whole): components that rows of one id have come to, and the one that they are together;
+    and whether there are any."""
+    rows = known.select("doc_id", "sig").join(placed.select("sig", "comp"), "sig").select("doc_id", "comp").unionByName(alone.select("doc_id", F.col("doc_id").alias("comp")))
+    several = rows.filter(F.col("doc_id") != _LAST).groupBy("doc_id").agg(F.min("comp").alias("a"), F.max("comp").alias("hi")).filter("a < hi")
+    repeated, many = sized(several)
+    if not many:
+        return None, False
+    apart = rows.join(repeated.select("doc_id", "a"), "doc_id").select("a", F.col("comp").alias("b")).filter("a < b").distinct()
+    return components(apart).select(F.col("node").alias("comp"), F.col("comp").alias("whole")), True
+
+
 def jaccard_join(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -362,10 +373,11 @@ def jaccard_join(
     classes = settle(known.groupBy("sig").agg(F.min("doc_id").alias("node"), F.count("*").alias("class_size")))
     of_class = Window.partitionBy("sig", "doc_id").orderBy("n")
     # a class's set is that of its smallest doc_id; repeated rows of that id carry the same one
-    reps = settle(
+    reps, _ = sized(
         known.join(classes.select("sig", F.col("node").alias("doc_id")), ["sig", "doc_id"])
         .withColumn("k", F.row_number().over(of_class)).filter("k = 1")
-        .select(F.col("doc_id").alias("node"), "sig", "n", "toks", "freq")
+        .select(F.col("doc_id").alias("node"), "sig", "n", "toks", "freq"),
+        4_000_000, "n",
     )
     small = boundary([(r["top"], r["subsets"], r["scans"]) for r in _costs(reps, num, den).collect()])
     labels = _links(reps, _entries(reps, small, num, den), num, den)
@@ -373,13 +385,17 @@ def jaccard_join(
         placed = classes.withColumn("comp", F.col("node"))
     else:
         placed = classes.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    whole, merged = _of_repeated_ids(known, sets.filter(F.col("sig").isNull()), placed)
     linked = F.lit(0).cast("long")
     if count_links:
         placed = placed.join(_link_counts(reps, classes, labels, num, den, block_sets, block_shingles), "sig", "left")
         linked = F.col("class_size") - 1 + F.coalesce("links", F.lit(0))
     grouped = known.select("doc_id", "n", "sig").join(placed, "sig").select("doc_id", "n", "comp", F.col("node").alias("class"), "class_size", linked.alias("n_links"))
     alone = sets.filter(F.col("sig").isNull()).select("doc_id", "n", F.col("doc_id").alias("comp"), F.col("doc_id").alias("class"), F.lit(1).cast("long").alias("class_size"), F.lit(0).cast("long").alias("n_links"))
+    rows = grouped.unionByName(alone)
+    if merged:
+        rows = rows.join(whole, "comp", "left").withColumn("comp", F.coalesce("whole", "comp")).drop("whole")
     known_id = lambda c: F.when(F.col(c) != _LAST, F.col(c))
-    return grouped.unionByName(alone).select(
+    return rows.select(
         known_id("doc_id").alias("doc_id"), F.col("n").alias("n_shingles"), known_id("comp").alias("component_id"), known_id("class").alias("class_id"), "class_size", *["n_links"] * count_links
     )
