@@ -46,3 +46,17 @@ def test_stages_on_an_empty_table(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, SF).count() == 0
+
+
+def test_stages_on_odd_rows(spark, make, odd_rows):
+    """Null ids and texts, repeated rows, very long texts, other columns of clashing names."""
+    docs = make(*odd_rows)
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, docs, SF).collect()
+        if name == "best-fit packing":
+            check_packed(got, 2048)
+            assert Counter(r["doc_id"] for r in got if r["piece"] == 0) == Counter(k for k, *_ in odd_rows)
+        else:
+            assert all(tuple(r.asDict()) == tuple(corpus_pipeline.COLUMNS) for r in got) and len(got) <= len(odd_rows)
+        if name == "line dedup":
+            assert Counter(r["doc_id"] for r in got) == Counter(k for k, *_ in odd_rows) and sum(r["text"] is None for r in got) == 2
