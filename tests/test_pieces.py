@@ -148,3 +148,16 @@ def test_garbled_pages_are_told():
     good, torn, lost = "plain words of a page " * 20, "w o r d s " * 60, "a�" * 150
     assert parse_pages([good, torn, torn, good, lost]).warnings == ["words split into single letters on pages 2-3", "unmapped characters on pages 5"]
     assert parse_pages([good, " "]).warnings == ["ocr_required"] and parse_pages(["w o r d s"]).warnings == []
+
+
+def test_nearest_in_many_blocks_and_slices(spark, monkeypatch):
+    from quarry.operators import dense
+
+    rng = random.Random(5)
+    vecs = spark.createDataFrame([(k, [rng.uniform(-1, 1) for _ in range(8)]) for k in range(500)], "vec_id long, embedding array<float>")
+    asked = vecs.filter("vec_id % 20 = 0").withColumnRenamed("vec_id", "qid")
+    found = lambda: sorted(tuple(r) for r in dense.knn(vecs, asked, 7).collect())
+    whole = found()
+    monkeypatch.setattr(dense, "BLOCK", 4)
+    monkeypatch.setattr(dense, "PRODUCT", 64)
+    assert len(whole) == 25 * 7 and found() == whole
