@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm.common import documents
-from quarry.llm import lines, mixing
+from quarry.llm import language, lines, mixing, trie
 from quarry.llm.fingerprints import edit_fingerprints, encoded, likeness
 from quarry.llm.jaccard import jaccard_join
 from quarry.llm.licenses import scan_licenses
@@ -95,5 +95,15 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_jaccard_join, op2_substring_dedup, op3_line_dedup, op4_tiff_media, op5_table_sharding, op6_license_scan, op7_quality_classifier, op8_source_mixing, op9_scaled_fingerprint, op10_best_fit_packing)}
-ORACLES: dict[str, str] = {"op3_line_dedup": lines.ORACLE, "op8_source_mixing": mixing.oracle()}
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    found = language.identify(docs, language.train(docs))
+    return found.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score", "accepted")
+
+
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.conversation_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet")).drop("digest")
+
+
+QUERIES = {f.__name__: f for f in (op1_jaccard_join, op2_substring_dedup, op3_line_dedup, op4_tiff_media, op5_table_sharding, op6_license_scan, op7_quality_classifier, op8_source_mixing, op9_scaled_fingerprint, op10_best_fit_packing, op11_language_id, op12_conversation_trie)}
+ORACLES: dict[str, str] = {"op3_line_dedup": lines.ORACLE, "op8_source_mixing": mixing.oracle(), "op12_conversation_trie": trie.ORACLE}
