@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import documents
 from quarry.llm import language, lines, mixing, trie
+from quarry.llm.alignment import align_tokens
 from quarry.llm.fingerprints import edit_fingerprints, encoded, likeness
 from quarry.llm.jaccard import jaccard_join
 from quarry.llm.licenses import scan_licenses
@@ -105,5 +106,9 @@ def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.conversation_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet")).drop("digest")
 
 
-QUERIES = {f.__name__: f for f in (op1_jaccard_join, op2_substring_dedup, op3_line_dedup, op4_tiff_media, op5_table_sharding, op6_license_scan, op7_quality_classifier, op8_source_mixing, op9_scaled_fingerprint, op10_best_fit_packing, op11_language_id, op12_conversation_trie)}
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_tokens(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.tiktoken"), tokenizer_path("piece_bpe_32k.model"))
+
+
+QUERIES = {f.__name__: f for f in (op1_jaccard_join, op2_substring_dedup, op3_line_dedup, op4_tiff_media, op5_table_sharding, op6_license_scan, op7_quality_classifier, op8_source_mixing, op9_scaled_fingerprint, op10_best_fit_packing, op11_language_id, op12_conversation_trie, op13_token_alignment)}
 ORACLES: dict[str, str] = {"op3_line_dedup": lines.ORACLE, "op8_source_mixing": mixing.oracle(), "op12_conversation_trie": trie.ORACLE}
