@@ -47,11 +47,14 @@ def question_scores(ranks: DataFrame, questions: DataFrame, context: int = 8) ->
     )
 
 
-def group_means(scores: DataFrame, places: int = 6) -> DataFrame:
-    """Means overall, per category and per split, in one pass."""
+def group_means(scores: DataFrame, places: int = 6, by: list[str] | None = None) -> DataFrame:
+    """Means overall, per category and per split, in one pass; with ``by`` within each of its
+    groups, and with how many questions miss the context and candidates were ``skipped``."""
+    by = by or []
     named = scores.withColumns({"category": F.coalesce("category", F.lit("uncategorized")), "split": F.coalesce("split", F.lit("unsplit"))})
     mean = lambda c: F.round(F.avg(F.col(c).cast("double")), places)
-    sets = named.groupingSets([[], ["category"], ["split"]], "category", "split").agg(
+    more = [F.sum((~F.col("in_context")).cast("long")).alias("missed"), F.sum("skipped").alias("skipped")] if by else []
+    sets = named.groupingSets([by, [*by, "category"], [*by, "split"]], *by, "category", "split").agg(
         F.grouping_id().alias("g"),
         F.count("*").alias("queries"),
         mean("found_at_5").alias("recall_at_5"),
@@ -59,9 +62,11 @@ def group_means(scores: DataFrame, places: int = 6) -> DataFrame:
         mean("reciprocal_rank").alias("mrr_at_10"),
         mean("ndcg").alias("ndcg_at_10"),
         mean("in_context").alias("in_context"),
+        *more,
     )
     kind = F.when(F.col("g") == 3, "overall").when(F.col("g") == 1, "category").otherwise("split")
-    return sets.select(kind.alias("kind"), F.coalesce("category", "split", F.lit("all")).alias("key"), "queries", "recall_at_5", "recall_at_10", "mrr_at_10", "ndcg_at_10", "in_context")
+    shown = ["queries", "recall_at_5", "recall_at_10", "mrr_at_10", "ndcg_at_10", "in_context", *(["missed", "skipped"] if by else [])]
+    return sets.select(*by, kind.alias("kind"), F.coalesce("category", "split", F.lit("all")).alias("key"), *shown)
 
 
 def nearest_rank(p: float, value: str | Column) -> Column:
@@ -76,8 +81,15 @@ def share(part: Column, whole: Column) -> Column:
 
 def confusion(outcomes: DataFrame, by: list[str] | None = None) -> DataFrame:
     """``answerable`` and ``abstained`` as a matrix; unanswerable is positive."""
+    return _rated(outcomes.groupBy(*(by or [])).agg(*_matrix()))
+
+
+def _matrix() -> list[Column]:
     n = lambda a, b: F.sum(F.when((F.col("answerable") == a) & (F.col("abstained") == b), 1).otherwise(0)).cast("long")
-    counted = outcomes.groupBy(*(by or [])).agg(n(False, True).alias("true_positive"), n(True, True).alias("false_positive"), n(True, False).alias("true_negative"), n(False, False).alias("false_negative"))
+    return [n(False, True).alias("true_positive"), n(True, True).alias("false_positive"), n(True, False).alias("true_negative"), n(False, False).alias("false_negative")]
+
+
+def _rated(counted: DataFrame) -> DataFrame:
     tp = F.col("true_positive")
     return counted.withColumn("precision", share(tp, tp + F.col("false_positive"))).withColumn("recall", share(tp, tp + F.col("false_negative")))
 
@@ -87,9 +99,13 @@ def answer_metrics(outcomes: DataFrame, by: list[str] | None = None) -> DataFram
     abstained, uncited, finish_reason. Rows whose ``by`` is null are left out."""
     for c in by or []:
         outcomes = outcomes.filter(F.col(c).isNotNull())
+    return outcomes.groupBy(*(by or [])).agg(*_rates())
+
+
+def _rates() -> list[Column]:
     answered, answerable = ~F.col("abstained"), F.col("answerable")
     n = lambda c: F.sum(F.when(c, 1).otherwise(0)).cast("long")
-    return outcomes.groupBy(*(by or [])).agg(
+    return [
         F.count("*").alias("probes"),
         share(n(answered & F.col("valid_citations")), n(answered)).alias("valid_citation_rate"),
         share(n(answerable & F.col("cited_evidence")), n(answerable)).alias("cited_evidence_coverage"),
@@ -97,7 +113,22 @@ def answer_metrics(outcomes: DataFrame, by: list[str] | None = None) -> DataFram
         F.avg(F.when(answerable, F.col("found") / F.col("expected"))).alias("coverage"),
         n(F.col("uncited")).alias("uncited"),
         *(n(F.col("finish_reason") == r).alias(f"finish_{r}") for r in ("stop", "length", "repetition")),
-    )
+    ]
+
+
+def answer_summary(outcomes: DataFrame, by: list[str]) -> DataFrame:
+    """All that is told of answers, in one pass: rates, the matrix of abstention, complete answers, refusals
+    of either kind, the share of YES verdicts and the mean share of distinct lines."""
+    n = lambda c: F.sum(F.when(c, 1).otherwise(0)).cast("long")
+    answerable, refused = F.col("answerable"), F.col("abstained")
+    more = [
+        n(answerable & (F.col("found") == F.col("expected"))).alias("complete"),
+        n(answerable & refused).alias("refused_answerable"),
+        n(~answerable & refused).alias("refused_unanswerable"),
+        F.avg(F.col("verdict").cast("int")).alias("judge_yes_rate"),
+        F.avg("distinct_line_ratio").alias("mean_distinct_line_ratio"),
+    ]
+    return _rated(outcomes.groupBy(*by).agg(*_rates(), *_matrix(), *more))
 
 
 def answer_counts(outcomes: DataFrame, by: list[str] | None = None) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable
 
@@ -11,8 +12,9 @@ from pyspark.sql import functions as F
 from quarry.functions import answers, identity, text, vectors
 from quarry.operators import chunking, dense, fusion, lexical, metrics
 from quarry.operators.store import Store
+from quarry.plans import answer, evaluate, rerank
 from quarry.plans import retrieve as plans
-from quarry.sources import markup
+from quarry.sources import markup, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -420,6 +422,83 @@ def group_means(spark, sf_dir):
     return metrics.group_means(_scores(spark, sf_dir))
 
 
+_EVALUATED = (
+    _bm25("SELECT vec_id AS qid, unnest(terms) AS term, generate_subscripts(terms, 1) AS phrase, false AS is_prefix FROM (SELECT vec_id, " + _terms("text") + " AS terms FROM embeddings JOIN documents ON doc_id = vec_id WHERE vec_id % 20 = 0)")
+    .replace("FROM documents", "FROM docs")
+    .replace("WITH wanted", "WITH docs AS (SELECT d.doc_id, text FROM documents d JOIN embeddings ON d.doc_id = vec_id),\nwanted", 1)
+    + ", den AS (SELECT qid, vec_id AS chunk_id, rank FROM (" + _knn_sql("vec_id % 20 = 0 AND vec_id IN (SELECT doc_id FROM documents)", 50, "v.vec_id IN (SELECT doc_id FROM documents)") + """)),
+lists AS (
+  SELECT 'lexical' AS strategy, qid, chunk_id, rank AS l, NULL::BIGINT AS d FROM lex WHERE rank <= 50 UNION ALL SELECT 'dense', qid, chunk_id, NULL, rank FROM den
+  UNION ALL SELECT 'hybrid', qid, chunk_id, l.rank, d.rank FROM (SELECT * FROM lex WHERE rank <= 50) l FULL JOIN den d USING (qid, chunk_id)
+), numbered AS (SELECT *, row_number() OVER (PARTITION BY strategy, qid ORDER BY round(coalesce(1 / (60.0 + l), 0) + coalesce(1 / (60.0 + d), 0), 12) DESC, chunk_id) AS fused_rank FROM lists),
+final AS (SELECT *, row_number() OVER (PARTITION BY strategy, qid ORDER BY CASE WHEN least(l, d) = 1 THEN 0 WHEN least(l, d) <= 4 THEN 1 ELSE 2 END, fused_rank) AS rank FROM numbered),
+questions AS (SELECT strategy, doc_id AS qid, text, doc_id % 3 = 0 AS require_all, CASE WHEN doc_id % 5 > 0 THEN 'c' || (doc_id % 4) END AS category, CASE WHEN doc_id % 40 = 0 THEN 'dev' ELSE 'holdout' END AS split
+  FROM docs, (VALUES ('lexical'), ('dense'), ('hybrid')) s(strategy) WHERE doc_id % 20 = 0),
+labels AS (SELECT strategy, qid, n AS label, (qid + n + 1) % 4 AS part, trim(regexp_replace(substr(text, n * 40 + 1, 8), '\\s+', ' ', 'g')) AS contains FROM questions, range(3) r(n)),
+ranks AS (
+  SELECT l.strategy, l.qid, label, min(rank) AS rank FROM labels l LEFT JOIN (SELECT strategy, qid, rank, doc_id % 4 AS part, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS hay FROM final JOIN docs ON doc_id = chunk_id WHERE rank <= 16) h
+  ON h.strategy = l.strategy AND h.qid = l.qid AND h.part = l.part AND contains(hay, l.contains) GROUP BY ALL
+), """
+    + _SCORED[len(_LABELLED) :].lstrip(", ").replace("PARTITION BY qid", "PARTITION BY strategy, qid").replace("SELECT qid, bool_and", "SELECT strategy, qid, bool_and").replace("GROUP BY qid", "GROUP BY strategy, qid")
+    .replace("EXCLUDE (qid)", "EXCLUDE (strategy, qid)").replace("USING (qid)", "USING (strategy, qid)").replace("SELECT qid, require_all", "SELECT strategy, qid, require_all")
+)
+
+
+@_query(
+    _EVALUATED
+    + """, named AS (SELECT * REPLACE (coalesce(category, 'uncategorized') AS category) FROM scores),
+keyed AS (SELECT 'overall' AS kind, 'all' AS key, * FROM named UNION ALL SELECT 'category', category, * FROM named UNION ALL SELECT 'split', split, * FROM named)
+SELECT strategy, kind, key, count(*) AS queries, round(avg(found_at_5::DOUBLE), 6) AS recall_at_5, round(avg(found_at_10::DOUBLE), 6) AS recall_at_10, round(avg(reciprocal_rank), 6) AS mrr_at_10,
+  round(avg(ndcg), 6) AS ndcg_at_10, round(avg(in_context::DOUBLE), 6) AS in_context, count(*) FILTER (NOT in_context) AS missed, 0::BIGINT AS skipped FROM keyed GROUP BY strategy, kind, key"""
+)
+def eval_retrieval_report(spark, sf_dir):
+    """All three strategies over the documents that have embeddings; every twentieth asks for
+    what others have in common with it. Documents are four parts, a label is never of the question's own."""
+    vecs = _t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
+    chunks = tables.spread(_t(spark, sf_dir, "documents"), "doc_id").select(F.col("doc_id").alias("chunk_id"), (F.col("doc_id") % 4).cast("string").alias("document"), "text").join(vecs, "chunk_id")
+    q = F.col("chunk_id")
+    asked = chunks.filter(q % 20 == 0).select(
+        q.alias("qid"), F.col("text").alias("query"), "embedding", (q % 3 == 0).alias("require_all"), F.when(q % 5 > 0, F.concat(F.lit("c"), (q % 4).cast("string"))).alias("category"),
+        F.when(q % 40 == 0, "dev").otherwise("holdout").alias("split"),
+    )
+    parts = F.array(*(F.struct(F.lit(n).cast("long").alias("label"), ((F.col("qid") + n + 1) % 4).cast("string").alias("document"), F.substring("query", n * 40 + 1, 8).alias("contains")) for n in range(3)))
+    labels = asked.select("qid", F.explode(parts).alias("l")).select("qid", "l.label", "l.document", "l.contains")
+    return evaluate.retrieval_report(evaluate.evaluate_retrieval(chunks, asked, labels, config=plans.RetrievalConfig(lexical=lexical.LexicalQuery())))
+
+
+@_query()
+def rerank_windows(spark, sf_dir):
+    """The lexical pool of each benchmark passage, reranked by the terms that windows of 400 characters share with it."""
+    top = _bm25_rows(spark, sf_dir, lexical.LexicalQuery(), 16)
+    docs = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+    ranked = top.join(docs, "chunk_id").select("qid", "chunk_id", F.col("rank").alias("final_rank"), F.col("rank").alias("lexical_rank"), F.lit(None).cast("long").alias("dense_rank"), "text")
+    got = rerank.rerank(ranked, _benchmark(spark, sf_dir), rerank.Reranker(rerank.shared_terms, 10, True, 400), 1)
+    return got.select("qid", "chunk_id", "final_rank", "rerank", F.round("rerank_score", 6).alias("rerank_score"), "whole", "fallback")
+
+
+def _first_source(system: str, user: str) -> tuple[str, str]:
+    """In place of a model: the first sentence of the first source, cited."""
+    source = re.search(r"\n\[1\] [^\n]*\n((?:\| [^\n]*\n)+)", user)
+    said = answers.first_sentence(" ".join(line[2:] for line in source[1].splitlines()).strip()) if source else ""
+    return (f"{said} [1]" if said else answers.REFUSAL_EN), "stop"
+
+
+@_query()
+def eval_answer_report(spark, sf_dir):
+    """Benchmark passages as questions, answered from documents' first sentences and scored as probes."""
+    top = _bm25_rows(spark, sf_dir, lexical.LexicalQuery(), 16)
+    docs = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.concat(F.lit("document "), F.col("doc_id").cast("string")).alias("title"), F.lit(None).cast("string").alias("filename"), F.array().cast("array<string>").alias("heading_path"), "text")
+    asked = _benchmark(spark, sf_dir)
+    contexts = answer.select_context(asked, top.join(docs, "chunk_id").withColumnRenamed("rank", "final_rank"))
+    q = F.col("qid")
+    probes = asked.select(
+        "qid", F.when(q % 4 > 0, F.array(F.substring("query", 1, 20), F.substring("query", 21, 20))).otherwise(F.array().cast("array<string>")).alias("expect"), (q % 4 > 0).alias("answerable"),
+        F.when(q % 5 > 0, F.concat(F.lit("c"), (q % 3).cast("string"))).alias("category"), F.when(q % 2 == 0, "dev").otherwise("holdout").alias("split"),
+    )
+    report = evaluate.answer_report(evaluate.evaluate_answers(probes, answer.answer(contexts, _first_source)))
+    return report.withColumns({c: F.round(c, 6) for c, kind in report.dtypes if kind == "double"})
+
+
 @_query(
     """SELECT l_returnflag, quantile_disc(l_extendedprice, 0.5) AS p50, quantile_disc(l_extendedprice, 0.95) AS p95, median(l_quantity) AS median_quantity FROM lineitem GROUP BY l_returnflag"""
 )
