@@ -237,12 +237,13 @@ def train(
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").cast("string").alias("lang"))
     rows = rows.filter(~held_out()).filter("lang IS NOT NULL AND text IS NOT NULL AND text != ''").select("lang", "text", F.xxhash64("text").alias("key"))
-    # as many languages as the model holds, with the share of each one's texts that is drawn
-    found = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()
+    # as many languages as the model holds, with the share of each one's different texts that is drawn
+    counted = rows.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct("key").alias("texts"))
+    found = counted.orderBy(F.desc("n"), "lang").limit(max_langs).collect()
     if not found:
         return fit([], bits, **how)
     each = max(1, max_rows // len(found))
-    drawn = docs.sparkSession.createDataFrame([(r["lang"], min(_RANGE, int(_RANGE * 2 * each / r["count"]) + 1)) for r in found], "lang string, below long")
+    drawn = docs.sparkSession.createDataFrame([(r["lang"], min(_RANGE, int(_RANGE * 2 * each / max(1, r["texts"])) + 1)) for r in found], "lang string, below long")
     keys = rows.select("lang", "key").join(F.broadcast(drawn), "lang").filter(F.pmod("key", F.lit(_RANGE)) < F.col("below")).select("lang", "key").distinct()
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("key", F.lit(_RANGE)), "key"))
     keys = keys.withColumn("place", place).filter(F.col("place") <= each).select("lang", "key")
