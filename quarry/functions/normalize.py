@@ -81,11 +81,11 @@ def _ranges(chars: list[int]) -> str:
 def plain(texts: str | Column) -> Column:
     """Whether a text consists of characters that ``text.fold`` normalizes exactly. Letters
     beyond the European scripts go the exact way. A class of many ranges is looked through range by
-    range for every character, so a class of the commonest is asked first."""
+    range for every character, so runs of the commonest are taken out first."""
     x = F.col(texts) if isinstance(texts, str) else texts
     known = [c for c in (*range(0x500), *range(0x2000, 0x2C00)) if _folds(chr(c))]
     common = [c for c in known if c < 0x80 or 0xBF <= c < 0x100]
-    return ~x.rlike(f"[^{_ranges(common)}]") | x.rlike(f"^[{_ranges(known)}]*\\z")
+    return F.regexp_replace(x, f"[{_ranges(common)}]+", "").rlike(f"^[{_ranges(known)}]*\\z")
 
 
 def _normalized(texts: pd.Series) -> pd.Series:

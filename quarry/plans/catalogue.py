@@ -34,6 +34,11 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents, for work on their texts."""
+    return tables.spread(_t(spark, sf_dir, "documents"), "doc_id")
+
+
 # --- SQL shared by oracles ------------------------------------------------------
 
 _FOLD = "replace(lower(translate({x}, 'İIıâîûÂÎÛ', 'iiiaiuaiu')), 'ß', 'ss')"
@@ -92,7 +97,7 @@ def _benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _bm25_rows(spark: SparkSession, sf_dir: str, how: lexical.LexicalQuery, k: int) -> DataFrame:
-    postings, lengths = lexical.build_index(_t(spark, sf_dir, "documents"), "doc_id")
+    postings, lengths = lexical.build_index(_docs(spark, sf_dir), "doc_id", keep=True)
     return lexical.bm25(postings, lengths, _benchmark(spark, sf_dir), how, k)
 
 
@@ -107,7 +112,7 @@ u AS (SELECT doc_id, term, min(i) AS i FROM (SELECT doc_id, unnest(whole) AS ter
 SELECT doc_id, len(list_distinct(toks)) AS n_terms, coalesce((SELECT string_agg(term, ' ' ORDER BY i) FROM u WHERE u.doc_id = t.doc_id), '') AS terms FROM t"""
 )
 def normalize_terms(spark, sf_dir):
-    return _t(spark, sf_dir, "documents").select(
+    return _docs(spark, sf_dir).select(
         "doc_id",
         F.size(F.array_distinct(text.tokens(text.fold("text")))).cast("long").alias("n_terms"),
         F.array_join(text.query_terms("text"), " ").alias("terms"),
@@ -126,7 +131,7 @@ def exact_index_terms(spark, sf_dir):
     altered = F.translate("text", "AEMSxyz0", wide("AEMSxyz0"))
     for whole, parts in apart:
         altered = F.replace(altered, F.lit(whole), F.lit(parts))
-    postings, _ = lexical.build_index(_t(spark, sf_dir, "documents").select("doc_id", altered.alias("text")), "doc_id")
+    postings, _ = lexical.build_index(_docs(spark, sf_dir).select("doc_id", altered.alias("text")), "doc_id")
     terms = F.md5(F.array_join(F.array_sort(F.collect_list("term")), " ").cast("binary"))
     return postings.groupBy(F.col("chunk_id").alias("doc_id")).agg(F.count("*").alias("n_terms"), F.sum("tf").alias("n_tokens"), terms.alias("terms"))
 
@@ -136,7 +141,7 @@ def exact_index_terms(spark, sf_dir):
 SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM post GROUP BY term"""
 )
 def term_document_freq(spark, sf_dir):
-    return lexical.document_frequency(lexical.build_index(_t(spark, sf_dir, "documents"), "doc_id")[0])
+    return lexical.document_frequency(lexical.build_index(_docs(spark, sf_dir), "doc_id")[0])
 
 
 @_query(_bm25(_ASKED) + "SELECT qid, chunk_id, score, rank FROM lex WHERE rank <= 10")
@@ -160,8 +165,8 @@ def bm25_stem(spark, sf_dir):
 FROM scored WHERE chunk_id IN (SELECT doc_id FROM documents WHERE lang = 'en') QUALIFY rank <= 5"""
 )
 def bm25_in_collection(spark, sf_dir):
-    docs = _t(spark, sf_dir, "documents")
-    postings, lengths = lexical.build_index(docs, "doc_id")
+    docs = _docs(spark, sf_dir)
+    postings, lengths = lexical.build_index(docs, "doc_id", keep=True)
     inside = docs.filter("lang = 'en'").select(F.col("doc_id").alias("chunk_id"))
     return lexical.bm25(postings, lengths, _benchmark(spark, sf_dir), lexical.LexicalQuery(), 5, inside)
 
@@ -242,11 +247,11 @@ final AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY tier, fused_ran
 def _lists(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """Documents with embeddings of the same id as chunks; every twentieth is asked
     for. The index needs no embeddings and the vectors no texts, so neither is joined in."""
-    docs = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+    docs = _docs(spark, sf_dir).select(F.col("doc_id").alias("chunk_id"), "text")
     vecs = _t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
     known = vecs.join(docs.select("chunk_id"), "chunk_id", "left_semi")
     asked = docs.filter("chunk_id % 20 = 0").join(vecs.select("chunk_id"), "chunk_id", "left_semi").select(F.col("chunk_id").alias("qid"), F.col("text").alias("query"))
-    lex = lexical.bm25(*lexical.build_index(docs), asked, lexical.LexicalQuery(), 50)
+    lex = lexical.bm25(*lexical.build_index(docs, keep=True), asked, lexical.LexicalQuery(), 50)
     return lex, dense.knn(known, known.filter("chunk_id % 20 = 0").select(F.col("chunk_id").alias("qid"), "embedding"), 50, "chunk_id")
 
 
@@ -455,7 +460,7 @@ def eval_retrieval_report(spark, sf_dir):
     """All three strategies over the documents that have embeddings; every twentieth asks for
     what others have in common with it. Documents are four parts, a label is never of the question's own."""
     vecs = _t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
-    chunks = tables.spread(_t(spark, sf_dir, "documents"), "doc_id").select(F.col("doc_id").alias("chunk_id"), (F.col("doc_id") % 4).cast("string").alias("document"), "text").join(vecs, "chunk_id")
+    chunks = _docs(spark, sf_dir).select(F.col("doc_id").alias("chunk_id"), (F.col("doc_id") % 4).cast("string").alias("document"), "text").join(vecs, "chunk_id")
     q = F.col("chunk_id")
     asked = chunks.filter(q % 20 == 0).select(
         q.alias("qid"), F.col("text").alias("query"), "embedding", (q % 3 == 0).alias("require_all"), F.when(q % 5 > 0, F.concat(F.lit("c"), (q % 4).cast("string"))).alias("category"),
@@ -613,7 +618,7 @@ def space_fingerprints(spark, sf_dir):
 
 @_query(r"SELECT doc_id, trim(regexp_replace(text, '[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+', ' ', 'g')) AS squashed, text[1:280] AS excerpt FROM documents")
 def squash_excerpt(spark, sf_dir):
-    return _t(spark, sf_dir, "documents").select("doc_id", text.squash("text").alias("squashed"), text.excerpt("text").alias("excerpt"))
+    return _docs(spark, sf_dir).select("doc_id", text.squash("text").alias("squashed"), text.excerpt("text").alias("excerpt"))
 
 
 _HTML = r"regexp_replace(html, '(?s)<!--.*?-->', ' ', 'g')"
@@ -644,20 +649,20 @@ _RUNS = r"list_sum(list_transform(regexp_extract_all(' ' || regexp_replace(text,
   WHEN coalesce({_RUNS}, 0) * 100 >= len(regexp_extract_all(text, '\S+')) * 40 THEN 'words split into single letters' END AS issue FROM documents"""
 )
 def suspicious_text(spark, sf_dir):
-    return _t(spark, sf_dir, "documents").select("doc_id", text.suspicious("text").alias("issue"))
+    return _docs(spark, sf_dir).select("doc_id", text.suspicious("text").alias("issue"))
 
 
 @_query(r"SELECT doc_id, sha256(text) AS sha256 FROM documents WHERE NOT regexp_matches(text, '\p{L}[-\x{AD}]\r?\n\p{Ll}')")
 def hyphen_join_back(spark, sf_dir):
     """Words that are broken over lines are joined to the texts as they were."""
     broken = F.regexp_replace("text", r"(\p{L}\p{Ll}{2})(\p{Ll}{3})", "$1-\n$2")
-    return _t(spark, sf_dir, "documents").filter(~F.col("text").rlike(r"\p{L}[-\x{AD}]\r?\n\p{Ll}")).select("doc_id", F.sha2(text.join_hyphenated(broken), 256).alias("sha256"))
+    return _docs(spark, sf_dir).filter(~F.col("text").rlike(r"\p{L}[-\x{AD}]\r?\n\p{Ll}")).select("doc_id", F.sha2(text.join_hyphenated(broken), 256).alias("sha256"))
 
 
 @_query()
 def hyphen_join(spark, sf_dir):
     broken = F.regexp_replace("text", r"(\p{Ll}{3})(\p{Ll}{3})", "$1-\n$2")
-    return _t(spark, sf_dir, "documents").select("doc_id", F.sha2(text.join_hyphenated(broken), 256).alias("sha256"))
+    return _docs(spark, sf_dir).select("doc_id", F.sha2(text.join_hyphenated(broken), 256).alias("sha256"))
 
 
 _SENTENCES = r"list_filter(regexp_extract_all(text, '[^.!?;\n]*(?:[.!?;\n]\s*|$)'), lambda s: s <> '')"
@@ -666,7 +671,7 @@ _SENTENCES = r"list_filter(regexp_extract_all(text, '[^.!?;\n]*(?:[.!?;\n]\s*|$)
 @_query(f"SELECT doc_id, len({_SENTENCES}) AS sentences, length({_SENTENCES}[1]) AS first_chars, sha256(array_to_string({_SENTENCES}, '')) AS joined FROM documents")
 def sentence_split(spark, sf_dir):
     s = text.sentences("text")
-    return _t(spark, sf_dir, "documents").select("doc_id", F.size(s).cast("long").alias("sentences"), F.length(F.get(s, 0)).cast("long").alias("first_chars"), F.sha2(F.array_join(s, ""), 256).alias("joined"))
+    return _docs(spark, sf_dir).select("doc_id", F.size(s).cast("long").alias("sentences"), F.length(F.get(s, 0)).cast("long").alias("first_chars"), F.sha2(F.array_join(s, ""), 256).alias("joined"))
 
 
 _KEY = r"trim(regexp_replace(regexp_replace({x}, '^\s*(?:\d+[.)]\s+)?(?:[*\-•]\s+)*', ''), '\s+', ' ', 'g'))"
@@ -675,7 +680,7 @@ _KEYS = "list_filter(list_transform(string_split(text, chr(10)), lambda l: " + _
 
 @_query(f"SELECT doc_id, round(CASE WHEN len({_KEYS}) = 0 THEN 1.0 ELSE len(list_distinct({_KEYS})) / len({_KEYS}) END, 6) AS ratio FROM documents")
 def distinct_line_ratio(spark, sf_dir):
-    return _t(spark, sf_dir, "documents").select("doc_id", F.round(text.distinct_line_ratio("text"), 6).alias("ratio"))
+    return _docs(spark, sf_dir).select("doc_id", F.round(text.distinct_line_ratio("text"), 6).alias("ratio"))
 
 
 @_query(
@@ -684,7 +689,7 @@ k AS (SELECT doc_id, i, {_KEY.format(x='line')} AS key FROM l), n AS (SELECT *,
 SELECT doc_id, max(c) AS longest_run, bool_or(c >= 3 AND length(key) >= 12) AS looped FROM (SELECT doc_id, key, island, count(*) AS c FROM n GROUP BY ALL) GROUP BY doc_id"""
 )
 def line_repeat_runs(spark, sf_dir):
-    lines = _t(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
+    lines = _docs(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
     keys = lines.select("doc_id", "i", text.line_key("line").alias("key")).filter("key != ''")
     own, same = Window.partitionBy("doc_id").orderBy("i"), Window.partitionBy("doc_id", "key").orderBy("i")
     runs = keys.withColumn("island", F.row_number().over(own) - F.row_number().over(same)).groupBy("doc_id", "key", "island").agg(F.count("*").alias("c"))
@@ -756,7 +761,7 @@ s AS (SELECT doc_id, words, unnest(range(0, greatest(0, ceil((len(words) - 128)
 SELECT doc_id, ordinal, array_to_string(words[ordinal * 96 + 1 : ordinal * 96 + 128], ' ') AS text, len(words[ordinal * 96 + 1 : ordinal * 96 + 128]) AS token_count FROM s"""
 )
 def chunk_words(spark, sf_dir):
-    return chunking.word_windows(_t(spark, sf_dir, "documents"), 128, 32)
+    return chunking.word_windows(_docs(spark, sf_dir), 128, 32)
 
 
 @_query(
@@ -766,7 +771,7 @@ SELECT doc_id, true AS sound, len(words) > 512 AS several, len(words)::BIGINT AS
 def chunk_structured_facts(spark, sf_dir):
     """Chunks of plain text without overlap hold a document's words in order, each within the
     budget, and are several where the words are more than one may have."""
-    parsed = _t(spark, sf_dir, "documents").select("doc_id", F.array(F.struct(F.lit("paragraph").alias("kind"), F.lit(None).cast("int").alias("level"), "text")).alias("blocks"), F.array().cast("array<int>").alias("pages"))
+    parsed = _docs(spark, sf_dir).select("doc_id", F.array(F.struct(F.lit("paragraph").alias("kind"), F.lit(None).cast("int").alias("level"), "text")).alias("blocks"), F.array().cast("array<int>").alias("pages"))
     rows = chunking.chunk(parsed, chunking.ChunkerConfig(512, 512, 0)).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ordinal", "text"))).alias("c"), F.max("token_count").alias("most"), F.count("*").alias("n"))
     joined = F.regexp_replace(F.array_join(F.transform("c", lambda x: x["text"]), ""), r"\s", "")
     both = rows.join(_t(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
@@ -776,13 +781,13 @@ def chunk_structured_facts(spark, sf_dir):
 
 @_query()
 def chunk_structured(spark, sf_dir):
-    docs = _t(spark, sf_dir, "documents").select("doc_id", markup.parsed(F.encode("text", "UTF-8"), F.lit("txt")).alias("p")).select("doc_id", "p.blocks", "p.pages")
+    docs = _docs(spark, sf_dir).select("doc_id", markup.parsed(F.encode("text", "UTF-8"), F.lit("txt")).alias("p")).select("doc_id", "p.blocks", "p.pages")
     return chunking.chunk(docs).select("doc_id", "ordinal", F.array_join("heading_path", " > ").alias("heading_path"), "text", "token_count")
 
 
 @_query()
 def parse_blocks(spark, sf_dir):
-    docs = _t(spark, sf_dir, "documents").select("doc_id", markup.parsed(F.encode("text", "UTF-8"), F.lit("md")).alias("p"))
+    docs = _docs(spark, sf_dir).select("doc_id", markup.parsed(F.encode("text", "UTF-8"), F.lit("md")).alias("p"))
     return docs.select("doc_id", F.posexplode("p.blocks").alias("at", "b")).select("doc_id", "at", "b.kind", "b.level", "b.text")
 
 
