@@ -125,3 +125,29 @@ def test_html_forms_agree(spark):
     both = catalogue.QUERIES["html_to_text"](spark, SF).join(catalogue.QUERIES["html_to_text_exact"](spark, SF).withColumnRenamed("visible", "exact"), "page_id")
     same = both.agg(F.avg((F.col("visible") == F.col("exact")).cast("double")).alias("a")).first()["a"]
     assert same > 0.9
+
+
+@pytest.mark.parametrize("block", [7, 4096])
+def test_nearest_with_ties_equals_all_products_sorted(spark, monkeypatch, block):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    # few directions, so that many cosines tie and the cut falls among them
+    points = rng.integers(-1, 2, (300, 3)).astype(float)
+    points[(points == 0).all(1)] = 1.0
+    vecs = spark.createDataFrame([(int(k) * 7 % 301, p.tolist()) for k, p in enumerate(points)], "vec_id long, embedding array<float>").repartition(5)
+    asked = spark.createDataFrame([(k, p.tolist()) for k, p in enumerate(points[:40])], "qid long, embedding array<float>")
+    monkeypatch.setattr(dense, "BLOCK", block)
+    monkeypatch.setattr(dense, "PRODUCT", 2048)
+    unit = points / np.linalg.norm(points, axis=1, keepdims=True)
+    cosine, ids = np.round(unit[:40] @ unit.T, 6), np.arange(300) * 7 % 301
+    want = [(q, int(ids[v]), float(cosine[q, v]), n) for q in range(40) for n, v in enumerate(np.lexsort((ids, -cosine[q]))[:9], 1)]
+    assert sorted(tuple(r) for r in dense.knn(vecs, asked, 9).collect()) == sorted(want)
+
+
+def test_questions_beyond_a_block_do_not_pass_through_the_driver(spark, monkeypatch):
+    vecs = spark.range(50).selectExpr("id AS vec_id", "array(cast(1 AS float), cast(id AS float)) AS embedding")
+    monkeypatch.setattr(dense, "BLOCK", 10)
+    found = dense.knn(vecs, vecs.withColumnRenamed("vec_id", "qid"), 3)
+    plan = found._jdf.queryExecution().toString()
+    assert "Broadcast" not in plan and "MapInArrow" in plan and found.count() == 150
