@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions.normalize import normalize_for_lexical
@@ -69,3 +70,68 @@ def unit_vectors(n: int, dims: int, seed: int = 1) -> np.ndarray:
         out[i] = (state >> 40) / 2**24 - 0.5
     v = out.reshape(n, dims)
     return (v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32)
+
+
+# --- random vectors, made in parallel ------------------------------------------------
+
+#: Rows whose numbers are drawn side by side.
+_SIDE_BY_SIDE = 4096
+
+
+def _steps(state: np.ndarray) -> np.ndarray:
+    """The next state of each sequence."""
+    state = state ^ (state << np.uint64(13))
+    state = state ^ (state >> np.uint64(7))
+    return state ^ (state << np.uint64(17))
+
+
+def _apply(matrix: np.ndarray, states: np.ndarray) -> np.ndarray:
+    """A step is linear over bits: of ``matrix``, what becomes of each single bit, those of the set bits are added."""
+    out = np.zeros(len(states), np.uint64)
+    for bit in range(64):
+        out ^= np.where(states >> np.uint64(bit) & np.uint64(1), matrix[bit], np.uint64(0))
+    return out
+
+
+def _leap(steps: int) -> np.ndarray:
+    """What ``steps`` steps make of each single bit, by squaring."""
+    total, power = np.uint64(1) << np.arange(64, dtype=np.uint64), _steps(np.uint64(1) << np.arange(64, dtype=np.uint64))
+    while steps:
+        if steps & 1:
+            total = _apply(power, total)
+        power = _apply(power, power)
+        steps >>= 1
+    return total
+
+
+def unit_rows(first: int, n: int, dims: int, seed: int = 1) -> np.ndarray:
+    """Rows ``first`` to ``first + n`` of what ``unit_vectors`` draws, without those before them."""
+    start = np.array([seed & 0xFFFFFFFFFFFFFFFF or 1], np.uint64)
+    states, leap = _apply(_leap(first * dims), start), _leap(dims)
+    while len(states) < n:
+        states = np.concatenate((states, _apply(leap, states)))
+        leap = _apply(leap, leap)
+    states, out = states[:n], np.empty((n, dims))
+    for k in range(dims):
+        states = _steps(states)
+        out[:, k] = (states >> np.uint64(40)).astype(np.float64) / 2**24 - 0.5
+    size = np.linalg.norm(out, axis=1, keepdims=True)
+    if not size.all():
+        raise ValueError("a vector of zeros cannot be brought to unit length: take more dimensions or another seed")
+    return (out / size).astype(np.float32)
+
+
+def random_vectors(spark: SparkSession, n: int, dims: int, seed: int = 1, first: int = 0, id_col: str = "vec_id") -> DataFrame:
+    """(id_col, embedding): ``n`` unit vectors from the ``first`` of the sequence on, each task drawing its own rows."""
+
+    def run(batches):
+        for batch in batches:
+            ids = batch.column(0).to_numpy()
+            for lo in range(0, len(ids), _SIDE_BY_SIDE):
+                part = ids[lo : lo + _SIDE_BY_SIDE]
+                rows = unit_rows(int(part[0]), len(part), dims, seed)
+                values = pa.ListArray.from_arrays(pa.array(np.arange(0, rows.size + 1, dims, dtype=np.int32)), pa.array(rows.ravel()))
+                yield pa.RecordBatch.from_arrays([pa.array(part - first), values], names=[id_col, "embedding"])
+
+    # ids of a partition of a range follow each other
+    return spark.range(first, first + n).mapInArrow(run, f"`{id_col}` long, embedding array<float>")

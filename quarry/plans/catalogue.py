@@ -14,7 +14,7 @@ from quarry.operators import chunking, dense, fusion, lexical, metrics
 from quarry.operators.store import Store
 from quarry.plans import answer, evaluate, rerank
 from quarry.plans import retrieve as plans
-from quarry.sources import markup, tables
+from quarry.sources import formats, markup, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -818,6 +818,31 @@ def collection_names(spark, sf_dir):
     return _t(spark, sf_dir, "documents").select("source", text.name_key("source").alias("key"), text.valid_name("source").alias("valid")).distinct()
 
 
+@_query(
+    """WITH f AS (SELECT page_id, CASE page_id % 7 WHEN 0 THEN 'a.md' WHEN 1 THEN 'b.TXT' WHEN 2 THEN 'c.pdf' WHEN 3 THEN 'd.csv' WHEN 4 THEN 'notes.v2' WHEN 5 THEN 'e.markdown' END AS name,
+  CASE page_id % 3 WHEN 1 THEN 'md' WHEN 2 THEN 'txt' END AS declared FROM pages),
+n AS (SELECT *, CASE name WHEN 'a.md' THEN 'md' WHEN 'b.TXT' THEN 'txt' WHEN 'c.pdf' THEN 'pdf' WHEN 'e.markdown' THEN 'md' END AS named FROM f),
+e AS (SELECT *, CASE WHEN name = 'd.csv' THEN 'unsupported file type' WHEN named = 'pdf' THEN 'pdf has to be uploaded as a file' WHEN declared <> named THEN 'the format contradicts the file name' END AS error FROM n)
+SELECT page_id, CASE WHEN error IS NULL THEN coalesce(declared, named, 'txt') END AS kind, error FROM e"""
+)
+def text_format_detection(spark, sf_dir):
+    k, d = F.col("page_id") % 7, F.col("page_id") % 3
+    name = F.when(k == 0, "a.md").when(k == 1, "b.TXT").when(k == 2, "c.pdf").when(k == 3, "d.csv").when(k == 4, "notes.v2").when(k == 5, "e.markdown")
+    return _t(spark, sf_dir, "pages").select("page_id", formats.detect_text(name, F.when(d == 1, "md").when(d == 2, "txt")).alias("f")).select("page_id", "f.kind", "f.error")
+
+
+@_query(
+    """SELECT page_id, CASE WHEN page_id % 3 = 0 AND NOT (page_id % 2 = 0 AND length(url) < 1020) THEN 'the file is not a PDF' END AS error,
+  CASE WHEN page_id % 3 > 0 THEN 'txt' WHEN page_id % 2 = 0 AND length(url) < 1020 THEN 'pdf' END AS kind FROM pages"""
+)
+def file_signatures(spark, sf_dir):
+    """Pages as uploads: every third calls itself a PDF, every second of all has its mark behind the address."""
+    page = F.col("page_id")
+    content = F.encode(F.concat("url", F.when(page % 2 == 0, "%PDF-1.7").otherwise(""), "html"), "UTF-8")
+    files = _t(spark, sf_dir, "pages").select("page_id", F.when(page % 3 == 0, "a.pdf").otherwise("a.txt").alias("name"), content.alias("content"))
+    return formats.accepted(files).select("page_id", "error", "kind")
+
+
 @_query(
     """WITH f AS (SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'a.md' WHEN 1 THEN 'x/b.TXT' WHEN 2 THEN 'c.pdf' WHEN 3 THEN 'd.csv' WHEN 4 THEN 'noext' ELSE 'e.md' END AS name,
   CASE page_id % 6 WHEN 2 THEN 'application/pdf; q=1' WHEN 4 THEN 'text/plain' WHEN 5 THEN 'application/pdf' END AS media FROM pages)
@@ -825,8 +850,6 @@ SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'md' WHEN 1 THEN 'txt' WHEN 2 THEN
   CASE page_id % 6 WHEN 3 THEN 'unsupported file type' WHEN 5 THEN 'the media type contradicts the file name' END AS error FROM f"""
 )
 def format_detection(spark, sf_dir):
-    from quarry.sources import formats
-
     k = F.col("page_id") % 6
     name = F.when(k == 0, "a.md").when(k == 1, "x/b.TXT").when(k == 2, "c.pdf").when(k == 3, "d.csv").when(k == 4, "noext").otherwise("e.md")
     media = F.when(k == 2, "application/pdf; q=1").when(k == 4, "text/plain").when(k == 5, "application/pdf")

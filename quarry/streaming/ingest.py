@@ -46,8 +46,8 @@ def ingest_stream(spark: SparkSession, folder: str, store: Store, collection: in
 
     def batch(files: DataFrame, _: int) -> None:
         name = F.element_at(F.split("path", "/"), -1)
-        listed = files.select(name.alias("filename"), "content", formats.detect(name, F.lit(None).cast("string")).alias("f"))
-        store.enqueue(collection, listed.filter("f.error IS NULL").select("filename", F.col("f.kind").alias("format"), "content"))
+        listed = formats.accepted(files.select(name.alias("filename"), "content"), "filename")
+        store.enqueue(collection, listed.filter("error IS NULL").select("filename", F.col("kind").alias("format"), "content"))
         work(store, config)
 
     stream = spark.readStream.format("binaryFile").schema(_FILES).load(folder)

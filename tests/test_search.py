@@ -151,3 +151,26 @@ def test_questions_beyond_a_block_do_not_pass_through_the_driver(spark, monkeypa
     found = dense.knn(vecs, vecs.withColumnRenamed("vec_id", "qid"), 3)
     plan = found._jdf.queryExecution().toString()
     assert "Broadcast" not in plan and "MapInArrow" in plan and found.count() == 150
+
+
+@pytest.mark.parametrize("dims", [2, 3, 64])
+def test_random_vectors_are_the_sequence_wherever_they_are_drawn(spark, dims):
+    import numpy as np
+
+    from quarry.functions import vectors
+
+    whole = vectors.unit_vectors(300, dims, 9)
+    assert np.array_equal(vectors.unit_rows(0, 300, dims, 9), whole)
+    assert np.array_equal(vectors.unit_rows(123, 45, dims, 9), whole[123:168])
+    got = vectors.random_vectors(spark, 200, dims, 9, first=100).orderBy("vec_id").collect()
+    assert [r["vec_id"] for r in got] == list(range(200))
+    assert np.array_equal(np.array([r["embedding"] for r in got], np.float32), whole[100:])
+
+
+def test_a_scale_is_measured(spark, tmp_path):
+    from quarry.plans.scale import Scale, measure
+
+    got = measure(spark, Scale(vectors=500, dims=8, questions=20, k=5, target_ms=60_000.0), str(tmp_path / "v")).first()
+    assert (got["vectors"], got["questions"], got["k"], got["passed"]) == (500, 20, 5, True) and 0 < got["p50_ms"] <= got["p95_ms"] <= got["max_ms"]
+    with pytest.raises(ValueError):
+        Scale(questions=5)
