@@ -279,14 +279,15 @@ class Store:
         open_ = self.table("documents").filter("status = 'indexing'").select(F.col("id").alias("document"), "collection_id")
         ended = outcomes.join(running, "job").join(open_, "document").persist()
         sound = ended.filter("error IS NULL").select(F.col("document").alias("document_id"), "collection_id")
-        new = chunks.drop("collection_id").join(sound, "document_id").persist()
-        counts = new.groupBy("document_id").agg(F.count("*").alias("chunk_count")).persist()
+        given = chunks.drop("collection_id").join(sound, "document_id").persist()
+        counts = given.groupBy("document_id").agg(F.count("*").alias("chunk_count")).persist()
         total = counts.agg(F.sum("chunk_count").alias("n")).first()["n"] or 0
         first = self._ids("chunks", total)
         # one row a document: what a batch has of them bounds this window
         offsets = counts.select("document_id", (F.sum("chunk_count").over(Window.orderBy("document_id")) - F.col("chunk_count") + first).alias("offset"))
-        new = new.join(F.broadcast(offsets), "document_id").withColumn("id", (F.col("offset") + F.col("ordinal")).cast("long"))
-        postings, lengths = lexical.build_index(new.withColumn("body", text.lexical_text("heading_path", "text")), "id", "body")
+        new = given.join(F.broadcast(offsets), "document_id").withColumn("id", (F.col("offset") + F.col("ordinal")).cast("long"))
+        counted = lexical.counted_terms(new.withColumn("body", text.lexical_text("heading_path", "text")), "id", "body").persist()
+        postings, lengths = lexical.index_of(counted)
         done = ended.join(counts, F.col("document") == F.col("document_id"), "left").select("job", "document", F.col("title").alias("_title"), F.col("warnings").alias("_warnings"), F.col("error").alias("_error"), F.coalesce("chunk_count", F.lit(0).cast("long")).alias("_count")).persist()
         n = done.count()
         ends, now = F.col("_count").isNotNull(), F.current_timestamp()
@@ -305,7 +306,7 @@ class Store:
         else:
             left = {"chunks": self.table("chunks").join(sound, "document_id", "left_anti"), "postings": self.table("postings").join(gone, "chunk_id", "left_anti"), "lengths": self.table("lengths").join(gone, "chunk_id", "left_anti")}
             self._commit(**changed, **{name: df.unionByName(index[name].select(df.columns)) for name, df in left.items()})
-        for df in (ended, counts, done):
+        for df in (ended, given, counts, counted, done):
             df.unpersist()
         return n
 
@@ -369,9 +370,11 @@ class Store:
 
     def rebuild_lexical(self) -> None:
         chunks = self.table("chunks").withColumn("body", text.lexical_text("heading_path", "text"))
-        postings, lengths = lexical.build_index(chunks, "id", "body")
+        counted = lexical.counted_terms(chunks, "id", "body").persist()
+        postings, lengths = lexical.index_of(counted)
         self._manifest["lexical"] = LEXICAL_VERSION
         self._commit(postings=postings, lengths=lengths)
+        counted.unpersist()
 
     def backup(self, target: str) -> "Store":
         """A consistent copy; the target must not hold anything."""
