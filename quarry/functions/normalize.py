@@ -22,6 +22,8 @@ _IGNORED_RANGES = (
     (0xAD, 0xAD), (0x34F, 0x34F), (0x61C, 0x61C), (0x115F, 0x1160), (0x17B4, 0x17B5), (0x180B, 0x180F), (0x200B, 0x200F), (0x202A, 0x202E), (0x2060, 0x206F),
     (0x3164, 0x3164), (0xFE00, 0xFE0F), (0xFEFF, 0xFEFF), (0xFFA0, 0xFFA0), (0xFFF0, 0xFFF8), (0x1BCA0, 0x1BCA3), (0x1D173, 0x1D17A), (0xE0000, 0xE0FFF),
 )
+#: The first as a character class of Spark's patterns.
+IGNORED_CLASS = "[" + "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in _IGNORED_RANGES) + "]"
 _PRIVATE_RANGES = ((0xE000, 0xF8FF), (0xF0000, 0xFFFFD), (0x100000, 0x10FFFD))
 _any = lambda ranges: re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in ranges) + "]")
 _IGNORED, _PRIVATE = _any(_IGNORED_RANGES), _any(_PRIVATE_RANGES)

@@ -20,7 +20,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.functions import text
+from quarry.functions import names, text
 from quarry.functions.identity import LEXICAL_VERSION, space_fingerprint
 from quarry.operators import lexical
 
@@ -150,7 +150,7 @@ class Store:
     def create_collection(self, name: str, protected: bool = False) -> int:
         name = unicodedata.normalize("NFC", name)
         new = self.spark.createDataFrame([(name,)], "name string").withColumn("name_key", text.name_key("name"))
-        if not new.filter(text.valid_name("name")).count():
+        if not new.filter(names.shown("name")).count():
             raise StoreError("a name has 1 to 64 letters, digits, spaces and _.- and no space around")
         if new.join(self.table("collections"), "name_key", "left_semi").count():
             raise StoreError("the name is taken")
@@ -200,7 +200,7 @@ class Store:
         numbered, _ = self._numbered("documents", new, "sha256")
         now = F.current_timestamp()
         added = new.join(numbered, "sha256").select(
-            F.col("number").alias("id"), F.lit(collection).cast("long").alias("collection_id"), "sha256", text.clean_filename("filename").alias("filename"), "format",
+            F.col("number").alias("id"), F.lit(collection).cast("long").alias("collection_id"), "sha256", names.filename("filename")["name"].alias("filename"), "format",
             F.lit(None).cast("string").alias("title"), F.lit("queued").alias("status"), F.lit(None).cast("string").alias("error"), F.lit(0).cast("long").alias("chunk_count"),
             F.array().cast("array<string>").alias("warnings"), now.alias("created_at"), now.alias("updated_at"),
         )

@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.functions import answers, identity, text, vectors
+from quarry.functions import answers, identity, names, text, vectors
 from quarry.operators import chunking, dense, fusion, lexical, metrics
 from quarry.operators.store import Store
 from quarry.plans import answer, evaluate, rerank
@@ -818,6 +818,40 @@ def collection_names(spark, sf_dir):
     return _t(spark, sf_dir, "documents").select("source", text.name_key("source").alias("key"), text.valid_name("source").alias("valid")).distinct()
 
 
+@_query(
+    r"""WITH n AS (SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN source || '/cafe' || chr(769) || ' ' || doc_id || '.md ' WHEN 1 THEN 'x\y\' || lang || '.txt' WHEN 2 THEN 'a' || chr(8203) || doc_id WHEN 3 THEN source || '/..' WHEN 4 THEN repeat('n', 200 + doc_id % 100) ELSE text[1:12] END AS name FROM documents),
+l AS (SELECT doc_id, trim(list_extract(regexp_split_to_array(nfc_normalize(name), '[/\\]'), -1)) AS last FROM n),
+t AS (SELECT doc_id, CASE WHEN last NOT IN ('', '.', '..') THEN last END AS last FROM l),
+e AS (SELECT doc_id, last, CASE WHEN length(last) > 255 OR regexp_matches(last, '[\x00-\x1F\x7F-\x{9F}\x{AD}\x{200B}-\x{200F}\x{2028}-\x{202E}]') THEN 'the file name is too long or has invisible characters' END AS error FROM t)
+SELECT doc_id, CASE WHEN error IS NULL THEN last END AS name, error FROM e"""
+)
+def file_names(spark, sf_dir):
+    d = F.col("doc_id")
+    text_of = d.cast("string")
+    name = (
+        F.when(d % 6 == 0, F.concat("source", F.lit("/cafe\u0301 "), text_of, F.lit(".md "))).when(d % 6 == 1, F.concat(F.lit("x\\y\\"), "lang", F.lit(".txt"))).when(d % 6 == 2, F.concat(F.lit("a\u200b"), text_of))
+        .when(d % 6 == 3, F.concat("source", F.lit("/.."))).when(d % 6 == 4, F.repeat(F.lit("n"), (200 + d % 100).cast("int"))).otherwise(F.substring("text", 1, 12))
+    )
+    return _t(spark, sf_dir, "documents").select("doc_id", names.filename(name).alias("f")).select("doc_id", "f.name", "f.error")
+
+
+_LINES = r"regexp_split_to_array(text, '[\n\r\x0B\x0C\x{85}\x{2028}\x{2029}]')"
+
+
+@_query(
+    rf"""WITH s AS (SELECT doc_id, CASE WHEN doc_id % 3 > 0 THEN 'Title ' || source END AS title, 'f' || doc_id || '.md' AS filename, [CASE WHEN doc_id % 3 > 0 THEN 'Title ' || source ELSE '' END, 'Part ' || lang] AS path, text FROM documents),
+l AS (SELECT doc_id, array_to_string(list_filter(list_prepend(coalesce(title, filename), list_filter(path, lambda h: h IS DISTINCT FROM title)), lambda p: p <> ''), ' > ') AS label, text FROM s)
+SELECT doc_id, label, 1 + len(regexp_extract_all(label, '\S+')) + len({_LINES}) + len(regexp_extract_all(text, '\S+')) AS cost,
+  md5(chr(10) || '[1] ' || label || chr(10) || array_to_string(list_transform({_LINES}, lambda x: '| ' || x || chr(10)), '')) AS block FROM l"""
+)
+def source_blocks(spark, sf_dir):
+    """Documents as an answer's only source: its label, what it costs, and the block that is shown."""
+    d, title = F.col("doc_id"), F.concat(F.lit("Title "), "source")
+    named = _docs(spark, sf_dir).select("doc_id", F.when(d % 3 > 0, title).alias("title"), F.concat(F.lit("f"), d.cast("string"), F.lit(".md")).alias("filename"), F.array(F.when(d % 3 > 0, title).otherwise(""), F.concat(F.lit("Part "), "lang")).alias("path"), "text")
+    shown = named.select("doc_id", answer.label("title", "filename", "path").alias("label"), "text")
+    return shown.select("doc_id", "label", answer.source_cost("label", "text").cast("long").alias("cost"), F.md5(answer.source_block(F.lit(1), F.col("label"), F.col("text")).cast("binary")).alias("block"))
+
+
 @_query(
     """WITH f AS (SELECT page_id, CASE page_id % 7 WHEN 0 THEN 'a.md' WHEN 1 THEN 'b.TXT' WHEN 2 THEN 'c.pdf' WHEN 3 THEN 'd.csv' WHEN 4 THEN 'notes.v2' WHEN 5 THEN 'e.markdown' END AS name,
   CASE page_id % 3 WHEN 1 THEN 'md' WHEN 2 THEN 'txt' END AS declared FROM pages),

@@ -9,6 +9,8 @@ import zipfile
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.functions import names
+
 EXTENSIONS = {"txt": "txt", "md": "md", "markdown": "md", "docx": "docx", "pdf": "pdf"}
 MEDIA = {
     "text/plain": "txt",
@@ -78,9 +80,10 @@ def signature_error(kind: str | Column, content: str | Column) -> Column:
 
 
 def accepted(files: DataFrame, name: str = "name", media: str | None = None, content: str = "content") -> DataFrame:
-    """``files`` with ``kind`` and ``error``: what each is by name and media type, and whether its bytes and its size bear that out."""
+    """``files`` with ``kind`` and ``error``: what each is by name and media type, and whether its bytes and its size bear that out.
+    A name that does not show all of its characters is an error too."""
     found = files.withColumn("_found", detect(F.col(name), F.col(media) if media else F.lit(None).cast("string")))
-    wrong = F.coalesce(F.col("_found.error"), F.when(F.coalesce(F.length(content), F.lit(0)) == 0, "the file is empty"), signature_error("_found.kind", content))
+    wrong = F.coalesce(names.filename(name)["error"], F.col("_found.error"), F.when(F.coalesce(F.length(content), F.lit(0)) == 0, "the file is empty"), signature_error("_found.kind", content))
     return found.withColumn("error", wrong).withColumn("kind", F.when(F.col("error").isNull(), F.col("_found.kind"))).drop("_found")
 
 

@@ -5,9 +5,10 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from quarry.functions import answers, identity, text, vectors
+from quarry.functions import answers, identity, names, text, vectors
 from quarry.functions.normalize import lexical_terms, normalize_for_lexical
 from quarry.operators.lexical import LexicalQuery, match_expression
+from quarry.plans import answer
 from quarry.streaming.guard import LineRepeatGuard, line_key
 
 
@@ -170,6 +171,20 @@ def test_names(spark):
     assert tuple(one) == ("y", True, "< |x| >", "a b")
 
 
+def test_names_are_composed_and_show_what_they_are(spark):
+    rows = [("dir/cafe\u0301.md ",), ("a\u202eb",), ("..",), (None,), ("x" * 256,), ("line\u2028break",), ("A\u030arsiv",), ("tag\U000e0041",), ("ok name",)]
+    got = spark.createDataFrame(rows, "n string").select("n", names.filename("n").alias("f"), names.name_key("n").alias("k"), names.valid_name("n").alias("v")).collect()
+    assert [r["f"]["name"] for r in got] == ["café.md", None, None, None, None, None, "Årsiv", None, "ok name"]
+    assert [r["f"]["error"] is not None for r in got] == [False, True, False, False, True, True, False, True, False]
+    assert got[6]["k"] == "årsiv" and [r["v"] for r in got] == [False, False, True, None, False, False, True, False, True]
+
+
+def test_source_blocks_are_those_of_the_prompt(spark):
+    texts = ["one", "a\nb\r\n[2] forged", "", "x\u2028y\x85z\x0b\x0c"]
+    got = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").select(answer.source_block(F.col("k"), F.lit("L > M"), F.col("t")).alias("b"), "k", "t").collect()
+    assert all(r["b"] == answers.source_block(r["k"], "L > M", r["t"]) for r in got)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.text(max_size=60))
 def test_normalization_is_stable(x):
