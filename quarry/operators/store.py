@@ -1,8 +1,9 @@
 """Collections, documents, jobs and the index, as versioned Parquet tables.
 
 A table is a list of parts. What is only added (sources, chunks, postings, lengths)
-is written as one more part, and parts are joined into one when there are many;
-changes to rows are plans over the current table whose result is a new version. A
+is written as one more part, and parts are joined into one when there are many.
+Documents and jobs, whose rows change, are in parts by ranges of ids: a change is a plan over
+the ranges that it touches, whose result replaces them alone. A
 manifest that is replaced in one step then names the parts, so a reader sees all of
 a change or none of it, and a failed writer leaves the old state. One writer at a
 time. Ids are taken from counters in the manifest and never reused. Queued
@@ -17,7 +18,7 @@ import uuid
 from collections.abc import Mapping
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import names, text
@@ -26,8 +27,10 @@ from quarry.operators import lexical
 
 APPLICATION, SCHEMA_VERSION = "quarry-store", 4
 PAGE_LIMIT = 200
-#: Parts of a table beyond which they are joined into one.
+#: Parts of a table, or of a range of ids, beyond which they are joined into one.
 MOST_PARTS = 32
+#: Tables whose rows change, in parts of so many ids.
+RANGED, RANGE = ("documents", "jobs"), 100_000
 SCHEMAS = {
     "spaces": "id long, fingerprint string, model_id string, dimensions int, created_at timestamp",
     "collections": "id long, name string, name_key string, space_id long, protected boolean, created_at timestamp",
@@ -49,6 +52,18 @@ def _single_versions(manifest: dict) -> None:
     manifest["tables"] = {name: [part] if isinstance(part, str) else part for name, part in manifest["tables"].items()}
 
 
+def _range_of(column: str) -> Column:
+    return F.floor(F.col(column) / RANGE).cast("long")
+
+
+def _crowded(parts: list[str]) -> list[str]:
+    """The parts of every range that has too many of them; a table without ranges is one."""
+    by: dict[str, list[str]] = {}
+    for p in parts:
+        by.setdefault(p.rsplit("=", 1)[1] if "/_range=" in p else "", []).append(p)
+    return [p for some in by.values() if len(some) > MOST_PARTS for p in some]
+
+
 #: What brings a manifest from each schema to the next; run in order, each saved before the next.
 MIGRATIONS = {3: _single_versions}
 
@@ -97,26 +112,49 @@ class Store:
         over[0] = options.OVERWRITE
         context.rename(fresh, self._path("manifest.json"), over)
 
-    def table(self, name: str) -> DataFrame:
-        parts = [f"{self.root}/{p}" for p in self._manifest["tables"].get(name, [])]
+    def table(self, name: str, ranges: set[int] | None = None) -> DataFrame:
+        """The current rows, or those of some ranges of ids (and maybe others)."""
+        parts = [f"{self.root}/{p}" for p in self._parts(name, ranges)[0]]
         if not parts:
             return self.spark.createDataFrame([], SCHEMAS[name])
         reader = self.spark.read.schema(SCHEMAS[name])
         # each part of a partitioned table is a root of its own
         return reduce(DataFrame.unionByName, map(reader.parquet, parts)) if name == "chunks" else reader.parquet(*parts)
 
-    def _write(self, name: str, df: DataFrame) -> str:
+    def _write(self, name: str, df: DataFrame) -> list[str]:
+        """New parts with the rows of ``df``."""
         part = f"{name}/{uuid.uuid4().hex}"
-        writer = df.select([f.split()[0] for f in SCHEMAS[name].split(", ")]).write
-        (writer.partitionBy("collection_id") if name == "chunks" else writer).parquet(f"{self.root}/{part}")
-        return part
-
-    def _commit(self, added: Mapping[str, DataFrame] | None = None, **tables: DataFrame) -> None:
-        """New versions of ``tables``, and rows that are ``added`` to others."""
-        versions = {name: [self._write(name, df)] for name, df in tables.items()}
+        rows = df.select([f.split()[0] for f in SCHEMAS[name].split(", ")])
+        if name not in RANGED:
+            (rows.write.partitionBy("collection_id") if name == "chunks" else rows.write).parquet(f"{self.root}/{part}")
+            return [part]
+        rows.withColumn("_range", _range_of("id")).repartition("_range").write.partitionBy("_range").parquet(f"{self.root}/{part}")
+        listed = [f.getPath().getName() for f in self._fs.listStatus(self._path(part)) if f.isDirectory()]
+        return [f"{part}/{d}" for d in sorted(listed) if d.startswith("_range=")]
+
+    def _parts(self, name: str, ranges: set[int] | None) -> tuple[list[str], list[str]]:
+        """Parts that hold ids of ``ranges`` (all if None), and the others. Parts of older versions hold any."""
+        within = lambda p: ranges is None or "/_range=" not in p or int(p.rsplit("=", 1)[1]) in ranges
+        parts = self._manifest["tables"].get(name, [])
+        return [p for p in parts if within(p)], [p for p in parts if not within(p)]
+
+    def _touched(self, ids: DataFrame, column: str = "id") -> set[int]:
+        """The ranges of some ids: few, as a batch's ids follow each other."""
+        return {r[0] for r in ids.select(_range_of(column)).distinct().collect()}
+
+    def _commit(self, added: Mapping[str, DataFrame] | None = None, changed: Mapping[str, tuple[set[int], DataFrame]] | None = None, **tables: DataFrame) -> None:
+        """New versions of ``tables``, new rows of the ranges of ids that are ``changed``, and rows that are ``added``."""
+        versions = {name: self._write(name, df) for name, df in tables.items()}
+        for name, (ranges, df) in (changed or {}).items():
+            versions[name] = [*self._parts(name, ranges)[1], *self._write(name, df)]
         for name, df in (added or {}).items():
-            parts = self._manifest["tables"].get(name, [])
-            versions[name] = [*parts, self._write(name, df)] if len(parts) < MOST_PARTS else [self._write(name, self.table(name).unionByName(df.select(self.table(name).columns)))]
+            parts = [*versions.get(name, self._manifest["tables"].get(name, [])), *self._write(name, df)]
+            full = _crowded(parts)
+            if full:
+                both = self.spark.read.schema(SCHEMAS[name])
+                rows = reduce(DataFrame.unionByName, map(both.parquet, (f"{self.root}/{p}" for p in full)))
+                parts = [*(p for p in parts if p not in full), *self._write(name, rows)]
+            versions[name] = parts
         self._manifest["tables"].update(versions)
         self._save()
 
@@ -205,8 +243,8 @@ class Store:
             F.array().cast("array<string>").alias("warnings"), now.alias("created_at"), now.alias("updated_at"),
         )
         again = here.join(given.select("sha256"), "sha256", "left_semi").filter("status = 'failed'").select("id")
-        is_again = F.col("again").isNotNull()
-        kept = documents.join(again.withColumn("again", F.lit(1)), "id", "left").withColumns(
+        is_again, ranges = F.col("again").isNotNull(), self._touched(again)
+        kept = self.table("documents", ranges).join(again.withColumn("again", F.lit(1)), "id", "left").withColumns(
             {"status": F.when(is_again, "queued").otherwise(F.col("status")), "error": F.when(~is_again, F.col("error"))}
         )
         queued = again.unionByName(added.select("id"))
@@ -214,7 +252,7 @@ class Store:
         opened = order.select("id", "document_id", F.lit("ingest").alias("kind"), F.lit("queued").alias("status"), F.lit(None).cast("string").alias("error"), now.alias("created_at"), now.alias("updated_at"))
         sources = self.table("sources")
         fresh = given.join(sources, "sha256", "left_anti").select("sha256", F.length("content").cast("long").alias("size_bytes"), F.col("content").alias("bytes"))
-        self._commit({"sources": fresh, "jobs": opened}, documents=kept.drop("again").unionByName(added))
+        self._commit({"sources": fresh, "jobs": opened, "documents": added}, {"documents": (ranges, kept.drop("again"))} if ranges else None)
         queued_now = order.select(F.col("document_id"), F.lit(False).alias("duplicate"))
         out = self.table("documents").filter(F.col("collection_id") == collection).join(given.select("sha256"), "sha256", "left_semi")
         return out.select("sha256", F.col("id").alias("document_id")).join(queued_now, "document_id", "left").withColumn("duplicate", F.coalesce("duplicate", F.lit(True)))
@@ -233,16 +271,33 @@ class Store:
         self._one(self.table("documents").filter(F.col("id") == document), "document")
         self._keep_documents(self.table("documents").filter(F.col("id") != document))
 
-    def _set(self, name: str, which, **values) -> DataFrame:
-        return self.table(name).withColumns({c: F.when(which, v).otherwise(F.col(c)) for c, v in (values | {"updated_at": F.current_timestamp()}).items()})
+    def _set(self, name: str, which, ranges: set[int] | None = None, **values) -> DataFrame:
+        return self.table(name, ranges).withColumns({c: F.when(which, v).otherwise(F.col(c)) for c, v in (values | {"updated_at": F.current_timestamp()}).items()})
+
+    def _oldest(self, most: int) -> DataFrame:
+        """The ``most`` oldest queued jobs: ranges of ids are looked through from the first that had any, ever more at a time."""
+        known = sorted({int(p.rsplit("=", 1)[1]) for p in self._manifest["tables"].get("jobs", []) if "/_range=" in p})
+        known = [r for r in known if r >= self._manifest.get("queued_from", 0)]
+        step = 2
+        while True:
+            taken = self.table("jobs", set(known[:step])).filter("status = 'queued'").orderBy("id").limit(most).select(F.col("id").alias("job"), F.col("document_id").alias("document")).persist()
+            if taken.count() >= most or step >= len(known):
+                return taken
+            taken.unpersist()
+            step *= 2
 
     def claim_batch(self, most: int = 10_000) -> DataFrame:
         """The ``most`` oldest queued jobs start: (job, document)."""
-        taken = self.table("jobs").filter("status = 'queued'").orderBy("id").limit(most).select(F.col("id").alias("job"), F.col("document_id").alias("document")).persist()
-        if taken.count():
-            started, indexed = F.broadcast(taken.select(F.col("job").alias("id"), F.lit(1).alias("_t"))), F.broadcast(taken.select(F.col("document").alias("id"), F.lit(1).alias("_t")))
-            mark = lambda name, which, status: self.table(name).join(which, "id", "left").withColumns({"status": F.when(F.col("_t") == 1, status).otherwise(F.col("status")), "updated_at": F.when(F.col("_t") == 1, F.current_timestamp()).otherwise(F.col("updated_at"))}).drop("_t")
-            self._commit(jobs=mark("jobs", started, "running"), documents=mark("documents", indexed, "indexing"))
+        taken = self._oldest(most)
+        first = taken.agg(F.min("job").alias("first")).first()["first"]
+        if first is not None:
+            self._manifest["queued_from"] = first // RANGE
+            changed = {}
+            for name, column, status in (("jobs", "job", "running"), ("documents", "document", "indexing")):
+                ranges, which = self._touched(taken, column), F.broadcast(taken.select(F.col(column).alias("id"), F.lit(1).alias("_t")))
+                now = {"status": F.when(F.col("_t") == 1, status).otherwise(F.col("status")), "updated_at": F.when(F.col("_t") == 1, F.current_timestamp()).otherwise(F.col("updated_at"))}
+                changed[name] = (ranges, self.table(name, ranges).join(which, "id", "left").withColumns(now).drop("_t"))
+            self._commit(changed=changed)
         return taken
 
     def claim(self) -> tuple[int, int] | None:
@@ -252,11 +307,14 @@ class Store:
 
     def fail(self, job: int, message: str) -> None:
         row = self._one(self.table("jobs").filter((F.col("id") == job) & (F.col("status") == "running")), "running job")
-        failed = {"status": F.lit("failed"), "error": F.lit(message)}
-        self._commit(jobs=self._set("jobs", F.col("id") == job, **failed), documents=self._set("documents", F.col("id") == row["document_id"], **failed))
+        failed, changed = {"status": F.lit("failed"), "error": F.lit(message)}, {}
+        for name, key in (("jobs", job), ("documents", row["document_id"])):
+            changed[name] = ({key // RANGE}, self._set(name, F.col("id") == key, {key // RANGE}, **failed))
+        self._commit(changed=changed)
 
     def requeue_running(self) -> None:
         """After a restart: what was running is queued again."""
+        self._manifest["queued_from"] = 0
         self._commit(
             jobs=self._set("jobs", F.col("status") == "running", status=F.lit("queued")),
             documents=self._set("documents", F.col("status") == "indexing", status=F.lit("queued")),
@@ -275,8 +333,10 @@ class Store:
         """Ends the jobs of ``outcomes`` (job, document, title, warnings, error) that still run: documents
         without an error get their ``chunks`` (document_id and what ``publish`` takes), others fail.
         Rows are added; only documents that had chunks before cost a new version of the index."""
-        running = self.table("jobs").filter("status = 'running'").select(F.col("id").alias("job"))
-        open_ = self.table("documents").filter("status = 'indexing'").select(F.col("id").alias("document"), "collection_id")
+        outcomes = outcomes.persist()
+        job_ranges, document_ranges = self._touched(outcomes, "job"), self._touched(outcomes, "document")
+        running = self.table("jobs", job_ranges).filter("status = 'running'").select(F.col("id").alias("job"))
+        open_ = self.table("documents", document_ranges).filter("status = 'indexing'").select(F.col("id").alias("document"), "collection_id", (F.col("chunk_count") > 0).alias("had"))
         ended = outcomes.join(running, "job").join(open_, "document").persist()
         sound = ended.filter("error IS NULL").select(F.col("document").alias("document_id"), "collection_id")
         given = chunks.drop("collection_id").join(sound, "document_id").persist()
@@ -294,19 +354,19 @@ class Store:
         status = lambda good: F.when(ends & F.col("_error").isNull(), good).when(ends, "failed").otherwise(F.col("status"))
         common = lambda good: {"status": status(good), "error": F.when(ends, F.col("_error")).otherwise(F.col("error")), "updated_at": F.when(ends, now).otherwise(F.col("updated_at"))}
         filled = ends & F.col("_error").isNull()
-        documents = self.table("documents").join(F.broadcast(done.withColumnRenamed("document", "id")), "id", "left").withColumns(
+        documents = self.table("documents", document_ranges).join(F.broadcast(done.withColumnRenamed("document", "id")), "id", "left").withColumns(
             common("ready") | {"title": F.when(filled, F.col("_title")).otherwise(F.col("title")), "warnings": F.when(filled, F.col("_warnings")).otherwise(F.col("warnings")), "chunk_count": F.when(filled, F.col("_count")).otherwise(F.col("chunk_count"))}
         )
-        jobs = self.table("jobs").join(F.broadcast(done.withColumnRenamed("job", "id")), "id", "left").withColumns(common("succeeded"))
-        gone = self.table("chunks").join(F.broadcast(sound), "document_id", "left_semi").select(F.col("id").alias("chunk_id"))
+        jobs = self.table("jobs", job_ranges).join(F.broadcast(done.withColumnRenamed("job", "id")), "id", "left").withColumns(common("succeeded"))
         index = {"chunks": new, "postings": postings, "lengths": lengths}
-        changed = {"documents": documents, "jobs": jobs}
-        if gone.isEmpty():
-            self._commit(index, **changed)
+        changed = {"documents": (document_ranges, documents), "jobs": (job_ranges, jobs)}
+        if ended.filter("error IS NULL AND had").isEmpty():
+            self._commit(index, changed)
         else:
+            gone = self.table("chunks").join(F.broadcast(sound), "document_id", "left_semi").select(F.col("id").alias("chunk_id"))
             left = {"chunks": self.table("chunks").join(sound, "document_id", "left_anti"), "postings": self.table("postings").join(gone, "chunk_id", "left_anti"), "lengths": self.table("lengths").join(gone, "chunk_id", "left_anti")}
-            self._commit(**changed, **{name: df.unionByName(index[name].select(df.columns)) for name, df in left.items()})
-        for df in (ended, given, counts, counted, done):
+            self._commit(None, changed, **{name: df.unionByName(index[name].select(df.columns)) for name, df in left.items()})
+        for df in (outcomes, ended, given, counts, counted, done):
             df.unpersist()
         return n
 

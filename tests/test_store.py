@@ -92,3 +92,45 @@ def test_datasets(spark, tmp_path):
     (tmp_path / "p.jsonl").write_text('{"id":"a","lang":"tr","query":"q","expect":["x|"],"answerable":true}\n')
     with pytest.raises(DatasetError):
         load_probes(spark, str(tmp_path / "p.jsonl"))
+
+
+def test_changes_touch_only_ranges_of_ids(spark, tmp_path, monkeypatch):
+    from quarry.operators import store as module
+
+    monkeypatch.setattr(module, "RANGE", 4)
+    store = Store(spark, str(tmp_path / "s"))
+    key = store.create_collection("c")
+    store.enqueue(key, files(spark, *((f"{k}.txt", "txt", f"text number {k}") for k in range(10))))
+    parts = lambda name: {p.rsplit("=", 1)[1]: p for p in store._manifest["tables"][name]}
+    before = {name: parts(name) for name in ("jobs", "documents")}
+    assert sorted(before["jobs"]) == ["0", "1", "2"] and store.table("jobs").count() == store.table("documents").count() == 10
+    taken = store.claim_batch(3)
+    assert sorted(r["job"] for r in taken.collect()) == [1, 2, 3]
+    for name in before:
+        assert {r for r in before[name] if parts(name)[r] != before[name][r]} == {"0"}
+    store.fail(1, "no")
+    assert work(store) == 7
+    states = {r["id"]: r["status"] for r in store.table("jobs").collect()}
+    assert [states[k] for k in range(1, 11)] == ["failed", "running", "running"] + ["succeeded"] * 7
+    assert store.claim() is None
+    store.requeue_running()
+    assert store.claim()[0] == 2 and store.claim()[0] == 3
+    # what failed is queued again under a new job, later ones as more ranges
+    again = store.enqueue(key, files(spark, ("0.txt", "txt", "text number 0"), *((f"{k}.txt", "txt", f"text number {k}") for k in range(1, 12))))
+    assert again.filter("NOT duplicate").count() == 3
+    assert work(store) == 3 and store.table("documents").filter("status = 'ready'").count() == 10
+    assert store.table("documents").select("id").distinct().count() == store.table("documents").count() == 12
+    opened = Store(spark, str(tmp_path / "s"))
+    assert opened.table("jobs").count() == 13 and opened.table("chunks").count() == 10
+
+
+def test_ranges_of_many_parts_are_joined(spark, tmp_path, monkeypatch):
+    from quarry.operators import store as module
+
+    monkeypatch.setattr(module, "MOST_PARTS", 2)
+    store = Store(spark, str(tmp_path / "s"))
+    key = store.create_collection("c")
+    for k in range(4):
+        store.enqueue(key, files(spark, (f"{k}.txt", "txt", f"text {k}")))
+    assert len(store._manifest["tables"]["jobs"]) <= 2 and store.table("jobs").count() == 4
+    assert work(store) == 4 and len(store._manifest["tables"]["documents"]) == 1
