@@ -1,7 +1,8 @@
 """Incremental ingestion: files that arrive in a folder become indexed documents.
 
 The file source's checkpoint remembers what was read; a batch that is run again
-changes nothing, as contents are known by their hash within a collection.
+changes nothing, as contents are known by their hash within a collection. Files whose
+bytes or names do not bear out their format are passed over.
 """
 
 from __future__ import annotations
@@ -42,7 +43,10 @@ def work(store: Store, config: chunking.ChunkerConfig = chunking.ChunkerConfig()
 
 
 def ingest_stream(spark: SparkSession, folder: str, store: Store, collection: int, checkpoint: str, config: chunking.ChunkerConfig = chunking.ChunkerConfig(), available_now: bool = True) -> StreamingQuery:
-    """Watches ``folder``; every micro-batch is queued and worked off."""
+    """Watches ``folder``; every micro-batch is queued and worked off. What a run before this one had
+    begun and not ended is queued again first: a store has one writer at a time."""
+    if not store.table("jobs").filter("status = 'running'").isEmpty():
+        store.requeue_running()
 
     def batch(files: DataFrame, _: int) -> None:
         name = F.element_at(F.split("path", "/"), -1)

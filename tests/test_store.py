@@ -70,6 +70,19 @@ def test_ingest_stream(spark, tmp_path):
     assert sorted((d["filename"], d["status"], d["title"]) for d in docs) == [("a.md", "ready", "A"), ("b.txt", "ready", None)]
 
 
+def test_a_stream_goes_on_with_what_a_lost_run_had_begun(spark, tmp_path):
+    store, folder = Store(spark, str(tmp_path / "s")), tmp_path / "in"
+    folder.mkdir()
+    c = store.create_collection("c")
+    (folder / "a.txt").write_text("one two")
+    (folder / "no.pdf").write_text("not a PDF")
+    store.enqueue(c, files(spark, ("a.txt", "txt", "one two"), ("b.txt", "txt", "three")))
+    assert store.claim_batch().count() == 2  # and then the run is lost
+    ingest_stream(spark, str(folder), Store(spark, str(tmp_path / "s")), c, str(tmp_path / "cp")).awaitTermination(120)
+    docs = Store(spark, str(tmp_path / "s")).table("documents").collect()
+    assert sorted((d["filename"], d["status"]) for d in docs) == [("a.txt", "ready"), ("b.txt", "ready")]
+
+
 def test_repeat_guard_stream(spark, tmp_path):
     spark.createDataFrame([(1, 0, "the same long line\n" * 3), (2, 0, "a line of text\nother\n")], "conv_id long, turn long, text string").write.parquet(str(tmp_path / "in"))
     pieces = spark.readStream.schema("conv_id long, turn long, text string").parquet(str(tmp_path / "in"))
