@@ -3,7 +3,8 @@
 A table is a list of parts. What is only added (sources, chunks, postings, lengths)
 is written as one more part, and parts are joined into one when there are many.
 Documents and jobs, whose rows change, are in parts by ranges of ids: a change is a plan over
-the ranges that it touches, whose result replaces them alone. A
+the ranges that it touches, whose result replaces them alone. Chunks of single documents
+that are deleted are listed as gone, and reads leave them out until ``compact`` does it for good. A
 manifest that is replaced in one step then names the parts, so a reader sees all of
 a change or none of it, and a failed writer leaves the old state. One writer at a
 time. Ids are taken from counters in the manifest and never reused. Queued
@@ -40,7 +41,10 @@ SCHEMAS = {
     "chunks": "id long, document_id long, collection_id long, ordinal int, heading_path array<string>, text string, token_count int, page_start int, page_end int, embedding array<float>",
     "postings": "chunk_id long, term string, tf long",
     "lengths": "chunk_id long, dl long",
+    "gone": "chunk_id long",
 }
+#: By what chunks that are gone are left out of each table.
+GONE_BY = {"chunks": "id", "postings": "chunk_id", "lengths": "chunk_id"}
 
 
 class StoreError(ValueError):
@@ -112,14 +116,19 @@ class Store:
         over[0] = options.OVERWRITE
         context.rename(fresh, self._path("manifest.json"), over)
 
-    def table(self, name: str, ranges: set[int] | None = None) -> DataFrame:
-        """The current rows, or those of some ranges of ids (and maybe others)."""
+    def table(self, name: str, ranges: set[int] | None = None, written: bool = False) -> DataFrame:
+        """The current rows, or those of some ranges of ids (and maybe others); with ``written`` also what is gone."""
         parts = [f"{self.root}/{p}" for p in self._parts(name, ranges)[0]]
         if not parts:
             return self.spark.createDataFrame([], SCHEMAS[name])
         reader = self.spark.read.schema(SCHEMAS[name])
         # each part of a partitioned table is a root of its own
-        return reduce(DataFrame.unionByName, map(reader.parquet, parts)) if name == "chunks" else reader.parquet(*parts)
+        rows = reduce(DataFrame.unionByName, map(reader.parquet, parts)) if name == "chunks" else reader.parquet(*parts)
+        if written or not self._manifest.get("deleted") or name not in (*GONE_BY, "sources"):
+            return rows
+        if name == "sources":
+            return rows.join(self.table("documents").select("sha256").distinct(), "sha256", "left_semi")
+        return rows.join(self.table("gone").withColumnRenamed("chunk_id", GONE_BY[name]), GONE_BY[name], "left_anti").select(rows.columns)
 
     def _write(self, name: str, df: DataFrame) -> list[str]:
         """New parts with the rows of ``df``."""
@@ -250,7 +259,8 @@ class Store:
         queued = again.unionByName(added.select("id"))
         order = self._numbered("jobs", queued.select(F.col("id").alias("document_id")), "document_id")[0].withColumnRenamed("number", "id")
         opened = order.select("id", "document_id", F.lit("ingest").alias("kind"), F.lit("queued").alias("status"), F.lit(None).cast("string").alias("error"), now.alias("created_at"), now.alias("updated_at"))
-        sources = self.table("sources")
+        # the bytes of a document that was deleted may still be there, and then serve again
+        sources = self.table("sources", written=True)
         fresh = given.join(sources, "sha256", "left_anti").select("sha256", F.length("content").cast("long").alias("size_bytes"), F.col("content").alias("bytes"))
         self._commit({"sources": fresh, "jobs": opened, "documents": added}, {"documents": (ranges, kept.drop("again"))} if ranges else None)
         queued_now = order.select(F.col("document_id"), F.lit(False).alias("duplicate"))
@@ -268,8 +278,23 @@ class Store:
         return self._one(self.table("documents").filter(F.col("id") == document).join(self.table("sources"), "sha256"), "document")
 
     def delete_document(self, document: int) -> None:
-        self._one(self.table("documents").filter(F.col("id") == document), "document")
-        self._keep_documents(self.table("documents").filter(F.col("id") != document))
+        """Drops a document with its jobs and chunks, and its source if no other document has it. Nothing is
+        rewritten but the ranges of its ids: its chunks are gone for readers, on disk until ``compact``."""
+        ranges = {document // RANGE}
+        self._one(self.table("documents", ranges).filter(F.col("id") == document), "document")
+        mine = F.col("document_id") == document
+        job_ranges = self._touched(self.table("jobs").filter(mine))
+        changed = {"documents": (ranges, self.table("documents", ranges).filter(F.col("id") != document)), "jobs": (job_ranges, self.table("jobs", job_ranges).filter(~mine))}
+        gone = self.table("chunks").filter(mine).select(F.col("id").alias("chunk_id"))
+        self._manifest["deleted"] = self._manifest.get("deleted", 0) + 1
+        self._commit({"gone": gone}, changed)
+
+    def compact(self) -> None:
+        """Writes the tables without what single deletions left in them."""
+        if self._manifest.get("deleted"):
+            tables = {name: self.table(name) for name in (*GONE_BY, "sources")}
+            self._manifest["deleted"] = 0
+            self._commit(**tables, gone=self.spark.createDataFrame([], SCHEMAS["gone"]))
 
     def _set(self, name: str, which, ranges: set[int] | None = None, **values) -> DataFrame:
         return self.table(name, ranges).withColumns({c: F.when(which, v).otherwise(F.col(c)) for c, v in (values | {"updated_at": F.current_timestamp()}).items()})

@@ -137,6 +137,37 @@ def test_changes_touch_only_ranges_of_ids(spark, tmp_path, monkeypatch):
     assert opened.table("jobs").count() == 13 and opened.table("chunks").count() == 10
 
 
+def test_a_deleted_document_is_gone_without_a_rewrite(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"))
+    key, other = store.create_collection("c"), store.create_collection("d")
+    store.enqueue(key, files(spark, *((f"{k}.txt", "txt", f"text number{k}") for k in range(5))))
+    store.enqueue(other, files(spark, ("0.txt", "txt", "text number0")))
+    assert work(store) == 6
+    of = lambda name, collection=key: store.table("documents").filter((F.col("collection_id") == collection) & (F.col("filename") == name)).first()["id"]
+    before = {name: list(store._manifest["tables"][name]) for name in ("chunks", "postings", "lengths", "sources")}
+    store.delete_document(of("1.txt"))
+    store.delete_document(of("0.txt"))
+    for again in (store, Store(spark, str(tmp_path / "s"))):
+        assert {name: again._manifest["tables"][name] for name in before} == before
+        assert again.table("documents").count() == again.table("jobs").count() == again.table("chunks").count() == again.table("lengths").count() == 4
+        # the other collection still has the content of one of them
+        assert again.table("sources").count() == 4 and again.table("postings").filter("term IN ('number0', 'number1')").count() == 1
+    with pytest.raises(StoreError):
+        store.delete_document(999)
+    # what is deleted may come back, as a document of its own
+    assert store.enqueue(key, files(spark, ("1.txt", "txt", "text number1"))).filter("NOT duplicate").count() == 1
+    assert work(store) == 1 and store.table("sources").count() == 5 and store.table("chunks").count() == 5
+    counts = {name: store.table(name).count() for name in store._manifest["tables"] if name != "gone"}
+    copy = store.backup(str(tmp_path / "copy"))
+    store.compact()
+    assert {name: store.table(name).count() for name in counts} == counts == {name: copy.table(name).count() for name in counts}
+    assert store.table("gone").count() == 0 and all(set(store._manifest["tables"][name]).isdisjoint(before[name]) for name in before)
+    store.delete_document(of("2.txt"))
+    assert store.reindex(key) == 3 and work(store) == 3 and store.table("chunks").count() == 4
+    store.delete_collection(key)
+    assert store.table("chunks").count() == store.table("sources").count() == store.table("documents").count() == 1
+
+
 def test_ranges_of_many_parts_are_joined(spark, tmp_path, monkeypatch):
     from quarry.operators import store as module
 
