@@ -16,6 +16,7 @@ from quarry.llm.quality import held_out, score, train
 from quarry.llm.sharding import assign_shards
 from quarry.llm.substring import substring_dedup
 from quarry.llm.tiff import media_features, text_media
+from quarry.sources.tables import spread
 
 SHARDS = [f"shard-{k:03d}" for k in range(64)]
 
@@ -97,7 +98,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
+    docs = spread(documents(spark, sf_dir), "doc_id")
     found = language.identify(docs, language.train(docs))
     return found.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score", "accepted")
 
@@ -107,7 +108,7 @@ def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return align_tokens(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.tiktoken"), tokenizer_path("piece_bpe_32k.model"))
+    return align_tokens(spread(documents(spark, sf_dir), "doc_id"), tokenizer_path("byte_bpe_50k.tiktoken"), tokenizer_path("piece_bpe_32k.model"))
 
 
 QUERIES = {f.__name__: f for f in (op1_jaccard_join, op2_substring_dedup, op3_line_dedup, op4_tiff_media, op5_table_sharding, op6_license_scan, op7_quality_classifier, op8_source_mixing, op9_scaled_fingerprint, op10_best_fit_packing, op11_language_id, op12_conversation_trie, op13_token_alignment)}
