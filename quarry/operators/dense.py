@@ -37,7 +37,7 @@ class Best:
     """The ``k`` nearest of each question so far, by falling cosine and rising id. What comes
     in is measured against the least cosine that can still matter, and sorted once there is enough of it."""
 
-    def __init__(self, qids: np.ndarray, matrix: np.ndarray, k: int, places: int) -> None:
+    def __init__(self, qids: np.ndarray, matrix: np.ndarray | None, k: int, places: int) -> None:
         self.qids, self.matrix, self.k, self.places = qids, matrix, k, places
         self.bar = np.full(len(qids), -np.inf)
         self.found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -52,10 +52,14 @@ class Best:
                 self.bar = np.maximum(self.bar, np.partition(now, now.shape[1] - self.k, axis=1)[:, now.shape[1] - self.k])
                 near = now >= self.bar[:, None]
             q, v = np.nonzero(near)
-            self.found.append((q, ids[lo + v], now[q, v]))
-            self.held += len(q)
-            if self.held > 4 * len(self.qids) * self.k + PRODUCT // 8:
-                self.settle()
+            self.keep(q, ids[lo + v], now[q, v])
+
+    def keep(self, q: np.ndarray, ids: np.ndarray, values: np.ndarray) -> None:
+        """Takes in candidates: places of questions, ids, and how near these are."""
+        self.found.append((q, ids, values))
+        self.held += len(q)
+        if self.held > 4 * len(self.qids) * self.k + PRODUCT // 8:
+            self.settle()
 
     def settle(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         q, ids, cosine = (np.concatenate(x) for x in zip(*self.found)) if self.found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))

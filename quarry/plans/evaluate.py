@@ -93,7 +93,7 @@ def evaluate_retrieval(
         raise ValueError(f"strategies are {', '.join(STRATEGIES)}")
     if not 0 < rank_depth <= config.per_list:
         raise ValueError(f"rank_depth must be 1 to {config.per_list}")
-    lex = lexical.bm25(*(index or lexical.build_index(chunks, keep=True)), questions, config.lexical, config.per_list)
+    lex = lexical.bm25(*index, questions, config.lexical, config.per_list) if index else lexical.search(chunks, questions, config.lexical, config.per_list)
     den = dense.knn(chunks.select("chunk_id", "embedding"), questions, config.per_list, "chunk_id")
     fused = fusion.fuse(_runs(lex, [s for s in strategies if s != "dense"]), _runs(den, [s for s in strategies if s != "lexical"]))
     leaders = config.max_context // 2

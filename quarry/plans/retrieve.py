@@ -33,8 +33,7 @@ def retrieve(chunks: DataFrame, questions: DataFrame, strategy: str = "hybrid",
         raise ValueError(f"unknown strategy {strategy}")
     lex = den = None
     if strategy != "dense":
-        postings, lengths = index or lexical.build_index(chunks, keep=True)
-        lex = lexical.bm25(postings, lengths, questions, config.lexical, config.per_list)
+        lex = lexical.bm25(*index, questions, config.lexical, config.per_list) if index else lexical.search(chunks, questions, config.lexical, config.per_list)
     if strategy != "lexical":
         den = dense.knn(chunks.select("chunk_id", "embedding"), questions, config.per_list, "chunk_id")
     empty = (lex if den is None else den).select("qid", "chunk_id", "rank").limit(0)

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from quarry.operators import dense, fusion, metrics
+from quarry.operators import dense, fusion, lexical, metrics
 from quarry.plans import catalogue
 from quarry.plans.retrieve import retrieve
 
@@ -174,3 +174,56 @@ def test_a_scale_is_measured(spark, tmp_path):
     assert (got["vectors"], got["questions"], got["k"], got["passed"]) == (500, 20, 5, True) and 0 < got["p50_ms"] <= got["p95_ms"] <= got["max_ms"]
     with pytest.raises(ValueError):
         Scale(questions=5)
+
+
+def _bm25_by_hand(rows, asked, k):
+    """Scores of whole terms and of prefixes (``x*``) by the formula."""
+    held = {}
+    for key, body in rows:
+        held.setdefault(key, []).extend((body or "").split())
+    average = sum(map(len, held.values())) / len(held)
+    out = set()
+    for qid, wanted in asked.items():
+        scores = {}
+        for p in wanted:
+            f = {c: sum(t.startswith(p[:-1]) if p[-1] == "*" else t == p for t in terms) for c, terms in held.items()}
+            n = sum(x > 0 for x in f.values())
+            idf = max(math.log((len(held) - n + 0.5) / (n + 0.5)), 1e-6)
+            for c, x in f.items():
+                if x:
+                    scores[c] = scores.get(c, 0) + idf * x * 2.2 / (x + 1.2 * (0.25 + 0.75 * len(held[c]) / average))
+        best = sorted(((-round(s, 6), c) for c, s in scores.items()))[:k]
+        out |= {(qid, c, -s, i) for i, (s, c) in enumerate(best, 1)}
+    return out
+
+
+@pytest.mark.parametrize("how, marks", [(lexical.LexicalQuery(), ""), (lexical.LexicalQuery(3), "*")])
+def test_search_is_the_formula_over_blocks_rounds_and_slices(spark, monkeypatch, how, marks):
+    words = ["alpha", "alphabet", "beta", "bet", "gamma", "common", "rare"]
+    rows = [(i, " ".join(words[(i * 7 + j * j) % (5 if i % 3 else 7)] for j in range(1 + i % 9)) + " common") for i in range(60)]
+    rows += [(5, "rare alpha"), (5, "rare rare"), (60, None), (61, ""), (62, "unasked words only")]
+    asked = {q: [words[q % 7], words[(q * 3 + 1) % 7]] for q in range(30)} | {30: ["absent"]}
+    asked = {q: list(dict.fromkeys(ws)) for q, ws in asked.items()}
+    chunks = spark.createDataFrame(rows, "chunk_id long, text string").repartition(3)
+    questions = spark.createDataFrame([(q, " ".join(ws)) for q, ws in asked.items()], "qid long, query string")
+    expected = _bm25_by_hand(rows, {q: [w + marks for w in ws] for q, ws in asked.items()}, 4)
+    got = lambda df: {(r["qid"], r["chunk_id"], r["score"], r["rank"]) for r in df.collect()}
+    assert got(lexical.search(chunks, questions, how, 4)) == expected
+    monkeypatch.setattr(dense, "BLOCK", 12)
+    monkeypatch.setattr(lexical, "ROUND", 16)
+    monkeypatch.setattr(lexical, "SLICE", 5)
+    assert got(lexical.search(chunks, questions, how, 4)) == expected
+    assert got(lexical.bm25(*lexical.build_index(chunks), questions, how, 4)) == expected
+    inside = spark.createDataFrame([(c,) for c in range(0, 60, 2)], "chunk_id long")
+    few = {r[:2] for r in got(lexical.search(chunks, questions, how, 60, inside))}
+    assert few == {r[:2] for r in _bm25_by_hand(rows, {q: [w + marks for w in ws] for q, ws in asked.items()}, 60) if r[1] % 2 == 0 and r[1] < 60}
+    assert lexical.search(chunks, questions.limit(0), how, 4).count() == 0 and lexical.search(chunks.limit(0), questions, how, 4).count() == 0
+
+
+def test_pairs_of_questions_and_chunks_are_no_rows(spark):
+    chunks = spark.createDataFrame([(i, "same words") for i in range(200)], "chunk_id long, text string")
+    questions = spark.createDataFrame([(q, "same words") for q in range(50)], "qid long, query string")
+    found = lexical.bm25(*lexical.build_index(chunks), questions, k=2)
+    assert found.count() == 100
+    plan = found._jdf.queryExecution().optimizedPlan().toString().split("InMemoryRelation")[0]
+    assert "Join" not in plan and "MapInArrow" in plan
