@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from quarry.functions import text
 
+#: How far beside a percentile its bounds are looked for.
+BESIDE = 0.005
+
 
 def label_ranks(ranked: DataFrame, labels: DataFrame) -> DataFrame:
     """(qid, label, rank): the first position whose chunk is of the label's document
@@ -74,6 +77,27 @@ def nearest_rank(p: float, value: str | Column) -> Column:
     return F.expr(f"percentile_disc({p / 100}) within group (order by {value})").cast("double")
 
 
+def nearest_ranks(rows: DataFrame, by: str, value: str, percents: dict[str, float]) -> DataFrame:
+    """``nearest_rank`` of each of ``percents`` (name to percent) for few groups of many values, null groups and NaN
+    included: (by, n, names). An aggregate of all values of a group would meet in one task. Here approximate
+    percentiles 10 times their error beside the rank bound it; values below are only counted, and
+    of those between, about a hundredth, distinct ones are ranked."""
+    names, v = list(percents), F.nanvl(F.col(value).cast("double"), F.lit(float("inf")))
+    beside = [min(1.0, max(0.0, p / 100 + side * BESIDE)) for p in percents.values() for side in (-1, 1)]
+    bounds = rows.groupBy(F.col(by).alias("_g")).agg(F.count(value).alias("n"), F.percentile_approx(v, beside, round(10 / BESIDE)).alias("_b"))
+    near = rows.select(by, value).join(F.broadcast(bounds), F.col(by).eqNullSafe(F.col("_g")))
+    low, high = (lambda i: F.get("_b", F.lit(2 * i))), (lambda i: F.get("_b", F.lit(2 * i + 1)))
+    below = near.groupBy("_g").agg(*(F.count(F.when(v < low(i), 1)).alias(f"_below{i}") for i in range(len(names))))
+    which = F.array(*(F.when((v >= low(i)) & (v <= high(i)), i) for i in range(len(names))))
+    counts = near.select("_g", "n", F.col(value).alias("_v"), F.explode(F.array_compact(which)).alias("_i")).groupBy("_g", "n", "_i", "_v").agg(F.count("*").alias("_c"))
+    left = F.element_at(F.array(*(F.col(f"_below{i}") for i in range(len(names)))), F.col("_i") + 1)
+    upto = left + F.sum("_c").over(Window.partitionBy("_g", "_i").orderBy("_v"))
+    rank = F.greatest(F.lit(1), F.ceil(F.col("n") * F.element_at(F.array(*(F.lit(p / 100) for p in percents.values())), F.col("_i") + 1)))
+    ranked = counts.join(F.broadcast(below.withColumnRenamed("_g", "_h")), F.col("_g").eqNullSafe(F.col("_h"))).withColumn("_reached", upto >= rank)
+    found = ranked.filter("_reached").groupBy("_g").agg(*(F.min(F.when(F.col("_i") == i, F.col("_v"))).cast("double").alias(name) for i, name in enumerate(names)))
+    return bounds.drop("_b").withColumnRenamed("_g", by).join(F.broadcast(found), F.col(by).eqNullSafe(F.col("_g")), "left").select(by, "n", *names)
+
+
 def share(part: Column, whole: Column) -> Column:
     """Null, never zero, over nothing."""
     return F.when(whole > 0, part / whole)

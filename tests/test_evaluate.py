@@ -6,10 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarry.functions import answers
-from quarry.operators import chunking
+from quarry.operators import chunking, metrics
 from quarry.operators.lexical import LexicalQuery
 from quarry.operators.store import Store, StoreError
-from quarry.plans import evaluate, rerank
+from quarry.plans import catalogue, evaluate, rerank
 from quarry.plans.answer import Budget, answer, select_context
 from quarry.plans.retrieve import RetrievalConfig, retrieve
 from quarry.sources import formats
@@ -233,3 +233,16 @@ def test_a_corpus_is_indexed_once_and_known_again(spark, tmp_path):
     (bad / "x.txt").write_bytes(b"\xff\xfe\x00")
     with pytest.raises(StoreError, match="x.txt"):
         evaluate.index_corpus(store, store.create_collection("more"), formats.corpus(spark, str(bad)))
+
+
+def test_nearest_ranks_of_few_groups_are_exact(spark):
+    rows = [(g, float((i * i * 7919) % 1013) if i % 5 else 3.0) for g, n in (("a", 3000), ("b", 1), ("c", 40), (None, 777)) for i in range(n)] + [("c", float("nan")), ("a", None), ("d", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(3)
+    got = metrics.nearest_ranks(df, "g", "v", {"p0": 0, "p50": 50, "p95": 95, "p100": 100})
+    one = df.groupBy("g").agg(F.count("v").alias("n"), *(metrics.nearest_rank(p, "v").alias(f"p{p}") for p in (0, 50, 95, 100)))
+    shown = lambda df: sorted(map(str, df.collect()))
+    assert shown(got) == shown(one)
+    # no aggregate holds all values of a group
+    assert "percentiledisc" not in got._jdf.queryExecution().optimizedPlan().toString().lower().replace("_", "")
+    query = catalogue.QUERIES["percentile_nearest_rank"](spark, "/root/testdata/sf0.001")
+    assert "percentile_disc" not in query._jdf.queryExecution().optimizedPlan().toString().lower()
