@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -29,34 +30,54 @@ _any = lambda ranges: re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in
 _IGNORED, _PRIVATE = _any(_IGNORED_RANGES), _any(_PRIVATE_RANGES)
 _I_FORMS = frozenset("i\u0131I\u0130")
 _HATTED = _I_FORMS | frozenset("aAuU")
-_I = str.maketrans("İIı", "iii")
+_DOT_OR_HAT = re.compile("[\u0307\u0302]")
+_RUNS = re.compile(r"([\x00-\x7f]?[^\x00-\x7f]+)")
 
 
 def _without_marks(text: str) -> str:
     """Without the dot above among the marks of an i and the circumflex among
     those of an a, i or u; ``text`` is decomposed."""
-    if "\u0307" not in text and "\u0302" not in text:
-        return text
-    out, base = [], ""
-    for ch in text:
-        if unicodedata.category(ch)[0] != "M":
-            base = ch
-        elif (ch == "\u0307" and base in _I_FORMS) or (ch == "\u0302" and base in _HATTED):
-            continue
-        out.append(ch)
-    return "".join(out)
+    out, done, last, base = [], 0, -1, ""
+    for found in _DOT_OR_HAT.finditer(text):
+        at = before = found.start()
+        # back to what the marks stand on, or to the mark before whose base is known
+        while before > 0 and before - 1 != last and unicodedata.category(text[before - 1])[0] == "M":
+            before -= 1
+        if before - 1 != last or before == 0:
+            base = text[before - 1] if before else ""
+        last = at
+        if base in _I_FORMS if text[at] == "\u0307" else base in _HATTED:
+            out.append(text[done:at])
+            done = at + 1
+    return "".join(out) + text[done:]
+
+
+def _normal(text: str) -> str:
+    x = _IGNORED.sub("", unicodedata.normalize("NFKD", text))
+    x = _without_marks(x).replace("\u0130", "i").replace("I", "i").replace("\u0131", "i")
+    x = _PRIVATE.sub(" ", x)
+    # no letter's lower case depends on its neighbours: those of a sigma would, so then it is one character at a time
+    x = "".join(map(str.lower, x)) if "\u03a3" in x else x.lower()
+    return unicodedata.normalize("NFC", x.replace("ß", "ss"))
+
+
+_remembered = lru_cache(1 << 16)(_normal)
+
+
+def _run(text: str) -> str:
+    return _remembered(text) if len(text) <= 8 else _normal(text)
 
 
 def normalize_for_lexical(text: str) -> str:
     """Compatibility-decomposed, invisible characters out, i forms and the Turkish
-    circumflex folded, lower case, recomposed."""
+    circumflex folded, lower case, recomposed. An ASCII character composes with none before it, so what is to be
+    done is done run by run of others, each with the character that its marks may stand on; runs recur."""
     if text.isascii():
         return text.lower()
-    x = _IGNORED.sub("", unicodedata.normalize("NFKD", text))
-    x = _without_marks(x)
-    x = _PRIVATE.sub(" ", x.translate(_I))
-    # one character at a time: no letter's lower case depends on its neighbours
-    return unicodedata.normalize("NFC", "".join(map(str.lower, x)).replace("ß", "ss"))
+    parts = _RUNS.split(text)
+    parts[::2] = map(str.lower, parts[::2])
+    parts[1::2] = map(_run, parts[1::2])
+    return "".join(parts)
 
 
 def _folds(ch: str) -> bool:

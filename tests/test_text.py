@@ -1,11 +1,13 @@
 """Text functions on literal values, and their SQL forms against the exact ones."""
 
+import random
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from quarry.functions import answers, identity, names, text, vectors
+from quarry.functions import answers, identity, names, normalize, text, vectors
 from quarry.functions.normalize import lexical_terms, normalize_for_lexical
 from quarry.operators.lexical import LexicalQuery, match_expression
 from quarry.plans import answer
@@ -190,3 +192,14 @@ def test_source_blocks_are_those_of_the_prompt(spark):
 def test_normalization_is_stable(x):
     once = normalize_for_lexical(x)
     assert normalize_for_lexical(once) == once or any(c in once for c in "ͅς")
+
+
+def test_normalizing_by_runs_is_normalizing_the_whole(monkeypatch):
+    rng = random.Random(3)
+    usual = "iıIİaAuUxΣσß é̇̂́­ﬁ"
+    for _ in range(5000):
+        t = "".join(rng.choice(usual) if rng.random() < 0.8 else chr(rng.choice((rng.randrange(0xD800), rng.randrange(0xE000, 0x20000)))) for _ in range(rng.randrange(14)))
+        assert normalize.normalize_for_lexical(t) == (t.lower() if t.isascii() else normalize._normal(t)), ascii(t)
+    seen = []
+    monkeypatch.setattr(normalize, "_run", lambda run: seen.append(run) or normalize._normal(run))
+    assert normalize.normalize_for_lexical("plain words " * 1000 + "café") == "plain words " * 1000 + "café" and sum(map(len, seen)) < 5
